@@ -50,7 +50,7 @@ def chain_walk(delegations: DataFrame, max_hops: int = WALK_HOPS) -> DataFrame:
 def hop_facts(delegations: DataFrame, principals: DataFrame) -> DataFrame:
     """Delegations with the time their delegatee was disabled."""
     disabled = principals.select(F.col("principal_id").alias("delegatee"), F.col("disabled_at").alias("disabled_at"))
-    return lookup_join(delegations, disabled, ["delegatee"], "left", salt_on=["delegation_id"])
+    return delegations.join(disabled, "delegatee", "left")
 
 
 def chain_facts(delegations: DataFrame, principals: DataFrame, max_hops: int = MAX_DEPTH - 1) -> DataFrame:
@@ -118,9 +118,8 @@ def credential_facts(
     holder = principals.select(
         F.col("principal_id").alias("grantee_principal"), F.col("disabled_at").alias("grantee_disabled")
     )
-    granted = lookup_join(granted, holder, ["grantee_principal"], "left", salt_on=["grant_id"])
-    facts = lookup_join(credentials.select(*CREDENTIAL), granted, ["grant_id"])
-    return lookup_join(facts, chain_facts(delegations, principals, max_hops), ["delegation_id"], "left")
+    facts = credentials.select(*CREDENTIAL).join(granted.join(holder, "grantee_principal", "left"), "grant_id")
+    return facts.join(chain_facts(delegations, principals, max_hops), "delegation_id", "left")
 
 
 def _direct() -> Column:

@@ -1,10 +1,12 @@
-"""Join placement: where a lookup side goes, decided by its measured size.
+"""Join placement: where a lookup side goes, decided by its size.
 
-`lookup_join` never broadcasts on trust. If Spark's own estimate of the lookup side is under the session's
-broadcast threshold the planner is left to decide. Otherwise the lookup side is checkpointed once (it is
-governance state, not the fact), measured, and broadcast only if it fits; beyond that the fact is spread over
-`spread` salts per key and the lookup side repeated per salt, so a key that owns a third of the fact still
-lands on `spread` tasks.
+`lookup_join` is for a fact (requests, shipments, audit events) against governance state. It never broadcasts on
+trust and gives no hint. If Spark's estimate of the lookup side is under the session's broadcast threshold the
+planner is left to it. Otherwise the lookup side is first written to a table in the shared folder, which gives the
+planner its real size: under the threshold Spark broadcasts it, and beyond it the fact is spread over `spread` salts
+per key with the lookup side repeated per salt, so a key that owns a third of the fact still lands on `spread` tasks.
+
+Joins among governance tables are plain joins: their keys are ids, and AQE splits a hot one.
 """
 
 from __future__ import annotations
@@ -14,15 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import shared_dir
-
-BROADCAST_BYTES = 64 * 1024 * 1024
+from wardline.session import scratch
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a frame once in the shared checkpoint folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame once to the shared folder and read it back: lineage is cut and its size is known."""
+    path = scratch(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def planner_bytes(df: DataFrame) -> int | None:
@@ -33,6 +34,11 @@ def planner_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def _too_big(df: DataFrame, limit: int) -> bool:
+    size = planner_bytes(df)
+    return size is None or size > limit
+
+
 def broadcast_threshold(df: DataFrame) -> int:
     size = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
     units = {"k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "b": 1, "": 1}
@@ -40,15 +46,6 @@ def broadcast_threshold(df: DataFrame) -> int:
     return int(digits) * units[size[len(digits):]]
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Row bytes of a staged frame: text lengths plus 16 bytes per field."""
-    width = sum(
-        (F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f.name)))), F.lit(0)) for f in df.schema.fields),
-        F.lit(16 * len(df.columns)),
-    )
-    return int(df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0])
-
-
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
@@ -58,7 +55,6 @@ def lookup_join(
     null_safe: Sequence[str] = (),
     salt_on: Sequence[str] | None = None,
     spread: int = 32,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join a large fact to a lookup side on shared key names; fact keys are kept, lookup keys dropped.
 
@@ -68,15 +64,10 @@ def lookup_join(
     renamed = lookup.select(
         *[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c) for c in lookup.columns if c not in keys]
     )
-    estimate = planner_bytes(renamed)
-    salted = False
-    if estimate is None or estimate > broadcast_threshold(fact):
+    limit, salted = broadcast_threshold(fact), False
+    if _too_big(renamed, limit):
         renamed = stage(renamed)
-        if measured_bytes(renamed) <= broadcast_bytes:
-            renamed = F.broadcast(renamed)
-        else:
-            salted = True
-
+        salted = _too_big(renamed, limit)
     if salted:
         tell_apart = list(salt_on) if salt_on else fact.columns
         fact = fact.withColumn("__salt", F.pmod(F.xxhash64(*tell_apart), F.lit(spread)).cast("int"))
