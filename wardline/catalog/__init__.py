@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules registers them."""
 
-from wardline.catalog import reading  # noqa: F401
+from wardline.catalog import authority, reading, scalar  # noqa: F401
 from wardline.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from wardline.sources.derived import oracle_ctes
+from wardline.sources.derived import PRESENTED, oracle_ctes
 
 AS_OF = "2024-01-16 00:00:00"
 
@@ -107,21 +107,59 @@ pad AS (
   SELECT kid, unhex(list_aggregate(list_transform(range(0, 64), lambda i: printf('%02x', xor(CAST(concat('0x', substr(rpad(secret_hex, 128, '0'), 2*i+1, 2)) AS INT), 54))), 'string_agg', '')) AS ipad,
     unhex(list_aggregate(list_transform(range(0, 64), lambda i: printf('%02x', xor(CAST(concat('0x', substr(rpad(secret_hex, 128, '0'), 2*i+1, 2)) AS INT), 92))), 'string_agg', '')) AS opad
   FROM gov_key
+),
+tok AS (
+  SELECT request_id, event_ts, @PRESENTED@ AS token FROM (
+    SELECT request_id, event_ts, concat(body, '.', @SIGN@) AS token FROM (
+      SELECT c.*, p.ipad, p.opad, base64(encode(CAST(to_json({sub: c.sub, act_as: c.act_as, grant_id: c.grant_id,
+        delegation_id: c.delegation_id, exp: c.exp, jti: c.jti, chain: c.chain, kid: c.kid}) AS VARCHAR))) AS body
+      FROM gov_claim c JOIN pad p ON p.kid = c.sign_kid))
+),
+tok_doc AS (
+  SELECT *, CASE WHEN len(parts) = 2 THEN TRY(decode(from_base64(parts[1]))) END AS doc
+  FROM (SELECT *, string_split(token, '.') AS parts FROM tok)
+),
+tok_stage AS (
+  SELECT t.request_id, t.event_ts, t.doc, CASE WHEN t.token IS NULL OR t.token = '' THEN 'absent'
+      WHEN len(t.parts) <> 2 THEN 'not_two_parts' WHEN t.doc IS NULL THEN 'bad_base64' WHEN NOT json_valid(t.doc) THEN 'bad_json'
+      WHEN p.ipad IS NULL THEN 'unknown_key' WHEN @VERIFY@ <> t.parts[2] THEN 'bad_signature'
+      WHEN try_cast(t.doc->>'$.exp' AS DOUBLE) IS NULL THEN 'no_expiry'
+      WHEN try_cast(t.doc->>'$.exp' AS DOUBLE) <= epoch(t.event_ts) THEN 'expired' END AS stage
+  FROM tok_doc t LEFT JOIN pad p ON p.kid = CASE WHEN json_valid(t.doc) THEN coalesce(t.doc->>'$.kid', 'default') END
+),
+ver AS (
+  SELECT request_id, event_ts, stage IS NULL AS verified, CASE WHEN stage IS NULL THEN doc->>'$.sub' END AS sub,
+    CASE WHEN stage IS NULL THEN doc->>'$.grant_id' END AS grant_id,
+    CASE WHEN stage IS NULL THEN doc->>'$.delegation_id' END AS delegation_id FROM tok_stage
+),
+viewer AS (
+  SELECT a.sub, a.audit_org AS viewer_org FROM gov_audit_claim a JOIN gov_principal p ON p.principal_id = a.sub
+    AND p.org_id = a.audit_org AND p.kind = 'human' AND (p.disabled_at IS NULL OR p.disabled_at > @AS_OF@)
+),
+suspect AS (
+  SELECT * REPLACE (CASE WHEN seq % 7 = 5 THEN concat('g-', CAST(CAST(substr(grant_id, 3) AS BIGINT) + 3 AS VARCHAR)) ELSE grant_id END AS grant_id)
+  FROM ev
 )
 """
+
+
+def hmac_sql(message: str, ipad: str = "ipad", opad: str = "opad") -> str:
+    return f"sha256({opad} || unhex(sha256({ipad} || encode({message}))))"
+
+
 FACTS = (
     FACTS.replace("@LIVE_AS_OF@", live(f"TIMESTAMP '{AS_OF}'"))
     .replace("@LIVE_EVENT@", live("r.event_ts"))
     .replace("@RANK_ROW@", rank("s.classification"))
     .replace("@RANK_MAX@", rank("a.max_classification"))
     .replace("@RANK_Q@", rank("q.max_classification"))
+    .replace("@PRESENTED@", PRESENTED.strip())
+    .replace("@SIGN@", hmac_sql("body"))
+    .replace("@VERIFY@", hmac_sql("t.parts[1]", "p.ipad", "p.opad"))
+    .replace("@AS_OF@", f"TIMESTAMP '{AS_OF}'")
 )
 
 
-def hmac_sql(message: str, ipad: str = "ipad", opad: str = "opad") -> str:
-    return f"sha256({opad} || unhex(sha256({ipad} || encode({message}))))"
-
-
 def _split_ctes(text: str) -> dict[str, str]:
     """Name → text of each CTE of a comma-separated list whose entries start at the beginning of a line."""
     found = re.split(r"(?m)^(\w+) AS \(", text.strip())

@@ -9,25 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.oracle import AS_OF, with_prelude
-from wardline.operators import audit, auth, guard
-from wardline.sources.derived import Derived
+from wardline.operators import audit, auth, credentials, guard
+from wardline.sources.derived import PRESENTED, Derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+CLAIM_FIELDS = ["sub", "act_as", "grant_id", "delegation_id", "exp", "jti", "chain", "kid"]
+
+
 class Context(Derived):
     """Frames the queries share, each built at most once per query."""
 
     as_of = property(lambda self: F.lit(AS_OF).cast("timestamp"))
 
     @cached_property
-    def credentials(self) -> DataFrame:
+    def presented(self) -> DataFrame:
         return auth.credentials_of(self.requests)
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return auth.resolve(self.credentials, self.grants, self.delegations, self.principals)
+        return auth.resolve(self.presented, self.grants, self.delegations, self.principals)
 
     @cached_property
     def auths(self) -> DataFrame:
@@ -38,6 +41,31 @@ class Context(Derived):
     def guarded(self) -> DataFrame:
         return guard.guarded(self.shipments, self.auths)
 
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """Presented tokens, some of them damaged or forged."""
+        signed = credentials.sign_claims(self.claims, self.keys, CLAIM_FIELDS, kid="sign_kid")
+        return signed.select("request_id", "event_ts", F.expr(PRESENTED).alias("token"))
+
+    @cached_property
+    def verified(self) -> DataFrame:
+        return credentials.verify_tokens(self.tokens, self.keys, F.col("event_ts"))
+
+    @cached_property
+    def audit_tokens(self) -> DataFrame:
+        signed = credentials.sign_claims(self.audit_claims, self.keys, ["sub", "audit_org", "exp"])
+        return signed.select(F.col("sub").alias("holder"), "token")
+
+    @cached_property
+    def viewers(self) -> DataFrame:
+        return credentials.viewer_orgs(self.audit_tokens, self.keys, self.principals, self.as_of)
+
+    @cached_property
+    def suspect_events(self) -> DataFrame:
+        """The trail with some reads filed under a neighbouring grant: what reconciliation must find."""
+        moved = F.concat(F.lit("g-"), (F.substring("grant_id", 3, 20).cast("long") + 3).cast("string"))
+        return self.events.withColumn("grant_id", F.when(F.col("seq") % 7 == 5, moved).otherwise(F.col("grant_id")))
+
     @cached_property
     def judged_reads(self) -> DataFrame:
         return audit.judged_reads(self.requests, self.resolved)

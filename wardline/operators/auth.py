@@ -49,7 +49,9 @@ def chain_walk(delegations: DataFrame, max_hops: int = WALK_HOPS) -> DataFrame:
 
 def hop_facts(delegations: DataFrame, principals: DataFrame) -> DataFrame:
     """Delegations with the time their delegatee was disabled."""
-    disabled = principals.select(F.col("principal_id").alias("delegatee"), F.col("disabled_at").alias("disabled_at"))
+    disabled = principals.filter(F.col("disabled_at").isNotNull()).select(
+        F.col("principal_id").alias("delegatee"), "disabled_at"
+    )
     return delegations.join(disabled, "delegatee", "left")
 
 
@@ -115,7 +117,7 @@ def credential_facts(
         F.col("approved_at").alias("g_approved"), F.col("expires_at").alias("g_expires"),
         F.col("revoked_at").alias("g_revoked"),
     )
-    holder = principals.select(
+    holder = principals.filter(F.col("disabled_at").isNotNull()).select(
         F.col("principal_id").alias("grantee_principal"), F.col("disabled_at").alias("grantee_disabled")
     )
     facts = credentials.select(*CREDENTIAL).join(granted.join(holder, "grantee_principal", "left"), "grant_id")

@@ -19,13 +19,16 @@ STAGES = (
 )
 
 
-def sign_claims(claims: DataFrame, keys: DataFrame, fields: list[str], out: str = "token") -> DataFrame:
-    """Issue one token per row: `fields` (columns of `claims`) become the claims, signed under the row's `kid`.
+def sign_claims(
+    claims: DataFrame, keys: DataFrame, fields: list[str], out: str = "token", kid: str = "kid"
+) -> DataFrame:
+    """Issue one token per row: `fields` (columns of `claims`) become the claims, signed under the key named in `kid`.
 
-    A NULL `kid` is signed with the key called `default`.
+    A NULL there means the key called `default`.
     """
-    body = F.base64(F.encode(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), "UTF-8"))
-    payload = claims.withColumn("__body", body).withColumn("__kid", F.coalesce(F.col("kid"), F.lit("default")))
+    encoded = F.base64(F.encode(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), "UTF-8"))
+    body = F.translate(encoded, "\r\n", "")  # Spark may wrap base64 text into lines
+    payload = claims.withColumn("__body", body).withColumn("__kid", F.coalesce(F.col(kid), F.lit("default")))
     pads = key_pads(keys).withColumnRenamed("kid", "__kid")
     signed = lookup_join(payload, pads, ["__kid"], "left")
     token = F.concat_ws(".", F.col("__body"), hmac_hex(F.col("__body"), "ipad", "opad"))

@@ -29,7 +29,7 @@ def stage(df: DataFrame) -> DataFrame:
 def planner_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate; None where the session does not expose it."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return None
 

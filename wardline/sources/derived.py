@@ -6,6 +6,8 @@ the Spark side and with the plain table name in the oracle.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,33 @@ SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS event_ts, concat('p-', C
 FROM {events}
 """
 
+# Claims each request signs. `kid` is what the token says, `sign_kid` the key really used.
+CLAIM = """
+SELECT request_id, event_ts, subject AS sub, CASE WHEN delegation_id IS NOT NULL THEN concat('p-', substr(grant_id, 3)) END AS act_as,
+  grant_id, delegation_id, CASE request_id % 29 WHEN 6 THEN '1704844800' WHEN 7 THEN 'soon' WHEN 12 THEN NULL ELSE '1709251200' END AS exp,
+  concat('j-', CAST(request_id AS STRING)) AS jti, split(delegation_id, ',') AS chain,
+  CASE WHEN request_id % 29 = 10 THEN 'k-99' WHEN request_id % 4 = 0 THEN NULL
+       ELSE concat('k-', CAST(1 + request_id % 24 AS STRING)) END AS kid,
+  CASE WHEN request_id % 29 IN (10, 11) THEN 'k-7' WHEN request_id % 4 = 0 THEN 'default'
+       ELSE concat('k-', CAST(1 + request_id % 24 AS STRING)) END AS sign_kid
+FROM {gov_request}
+"""
+
+# How a signed token is damaged on its way, by request: other claims under the old signature, bad base64, three parts,
+# empty, absent, bytes that are not text, text that is not JSON, no signature.
+PRESENTED = """
+CASE request_id % 29 WHEN 1 THEN concat('eyJzdWIiOiJwLTMiLCJncmFudF9pZCI6ImctMyIsImV4cCI6IjE3MDkyNTEyMDAifQ==.', split_part(token, '.', 2))
+  WHEN 2 THEN concat('!!!.', split_part(token, '.', 2)) WHEN 3 THEN concat(token, '.x') WHEN 4 THEN '' WHEN 5 THEN NULL
+  WHEN 8 THEN concat('/wA=.', split_part(token, '.', 2)) WHEN 9 THEN concat('bm90IGpzb24=.', split_part(token, '.', 2))
+  WHEN 13 THEN split_part(token, '.', 1) ELSE token END
+"""
+
+# One audit token per principal; some name an organisation that is not theirs.
+AUDIT_CLAIM = """
+SELECT principal_id AS sub, CASE WHEN CAST(substr(principal_id, 3) AS BIGINT) % 5 = 2 THEN 'org-0' ELSE org_id END AS audit_org,
+  '1709251200' AS exp, 'default' AS kid FROM {gov_principal}
+"""
+
 # Test keys, one per nation plus `default`; a deployment reads its own key table instead.
 KEY = """
 SELECT CASE WHEN n_nationkey = 0 THEN 'default' ELSE concat('k-', CAST(n_nationkey AS STRING)) END AS kid,
@@ -103,7 +132,8 @@ SELECT CASE WHEN n_nationkey = 0 THEN 'default' ELSE concat('k-', CAST(n_nationk
 
 TEXTS = {
     "gov_org": ORG, "gov_principal": PRINCIPAL, "gov_grant": GRANT, "gov_delegation": DELEGATION,
-    "gov_shipment": SHIPMENT, "gov_request": REQUEST, "gov_key_text": KEY,
+    "gov_shipment": SHIPMENT, "gov_request": REQUEST, "gov_key_text": KEY, "gov_claim": CLAIM,
+    "gov_audit_claim": AUDIT_CLAIM,
 }
 USES = {
     "gov_org": ("region",), "gov_principal": ("customer", "nation"), "gov_grant": ("customer", "nation"),
@@ -119,23 +149,49 @@ class Derived:
         self.spark, self.sf_dir = spark, sf_dir
         self.base = base_tables(spark, sf_dir)
 
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.sql(TEXTS[name], **{t: self.base[t] for t in USES[name]})
+    def _table(self, name: str, **sources: DataFrame) -> DataFrame:
+        return self.spark.sql(TEXTS[name], **(sources or {t: self.base[t] for t in USES[name]}))
+
+    @cached_property
+    def orgs(self) -> DataFrame:
+        return self._table("gov_org")
 
-    orgs = property(lambda self: self._table("gov_org"))
-    principals = property(lambda self: self._table("gov_principal"))
-    grants = property(lambda self: self._table("gov_grant"))
-    delegations = property(lambda self: self._table("gov_delegation"))
-    shipments = property(lambda self: self._table("gov_shipment"))
-    requests = property(lambda self: self._table("gov_request"))
+    @cached_property
+    def principals(self) -> DataFrame:
+        return self._table("gov_principal")
 
-    @property
+    @cached_property
+    def grants(self) -> DataFrame:
+        return self._table("gov_grant")
+
+    @cached_property
+    def delegations(self) -> DataFrame:
+        return self._table("gov_delegation")
+
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return self._table("gov_shipment")
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        return self._table("gov_request")
+
+
+    @cached_property
     def keys(self) -> DataFrame:
         return self._table("gov_key_text").select("kid", F.sha2("secret_text", 256).alias("secret_hex"))
 
+    @cached_property
+    def claims(self) -> DataFrame:
+        return self._table("gov_claim", gov_request=self.requests)
+
+    @cached_property
+    def audit_claims(self) -> DataFrame:
+        return self._table("gov_audit_claim", gov_principal=self.principals)
+
 
 def oracle_ctes() -> str:
     """The same texts as a CTE list for the oracle, with plain table names."""
-    plain = {t: t for t in ("region", "nation", "customer", "orders", "events")}
+    plain = {t: t for t in ("region", "nation", "customer", "orders", "events", "gov_request", "gov_principal")}
     texts = ",\n".join(f"{name} AS ({text.format(**plain)})" for name, text in TEXTS.items())
     return texts + ",\ngov_key AS (SELECT kid, sha256(secret_text) AS secret_hex FROM gov_key_text)"
