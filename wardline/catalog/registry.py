@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalog.oracle import AS_OF, with_prelude
 from wardline.operators import audit, auth, credentials, guard
+from wardline.plans.placement import stage
 from wardline.sources.derived import PRESENTED, Derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +31,8 @@ class Context(Derived):
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return auth.resolve(self.presented, self.grants, self.delegations, self.principals)
+        """Written once, so that everything in one query sees the same authorisations and knows their size."""
+        return stage(auth.resolve(self.presented, self.grants, self.delegations, self.principals))
 
     @cached_property
     def auths(self) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.functions.crypto import hmac_hex, key_pads, length_prefixed, set_digest
 from wardline.functions.scalars import class_rank
@@ -111,18 +112,25 @@ def audit_reads(requests: DataFrame, resolved: DataFrame, shipments: DataFrame)
 
 
 # --- sealing and verification ----------------------------------------------
-def payload() -> Column:
-    """Canonical text of an event: every stored field, length-prefixed, in this order."""
-    text = lambda c: F.col(c).cast("string")
-    return length_prefixed(
-        text("seq"), F.unix_micros("event_ts").cast("string"), text("subject"), text("acting_for"), text("grant_id"),
-        text("delegation_id"), text("chain"), text("provider_org"), text("grantee_org"), text("action"),
-        text("resource"), text("request"), text("decision"), text("deny_reason"), text("row_count"), text("set_id"),
-        text("row_digest"), F.to_json("columns_served"), F.to_json("columns_masked"), text("kid"),
-    )
+SEALED_FIELDS = (
+    "seq", "event_ts", "subject", "acting_for", "grant_id", "delegation_id", "chain", "provider_org", "grantee_org",
+    "action", "resource", "request", "decision", "deny_reason", "row_count", "set_id", "row_digest", "columns_served",
+    "columns_masked", "kid",
+)
+
+
+def payload(fields: tuple[str, ...] = SEALED_FIELDS) -> Column:
+    """Canonical text of an event: the fields in this order, length-prefixed; times in microseconds, lists as JSON."""
+    special = {
+        "event_ts": F.unix_micros("event_ts").cast("string"), "columns_served": F.to_json("columns_served"),
+        "columns_masked": F.to_json("columns_masked"),
+    }
+    return length_prefixed(*[special[f] if f in special else F.col(f).cast("string") for f in fields])
 
 
-def seal(events: DataFrame, keys: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def seal(
+    events: DataFrame, keys: DataFrame, segment: int = SEGMENT, fields: tuple[str, ...] = SEALED_FIELDS
+) -> DataFrame:
     """Add segment, prev_hash and hash. Inside a segment each hash covers the one before it.
 
     A group holds at most `segment` rows, because `seq` is unique and a segment is a range of it.
@@ -131,9 +139,11 @@ def seal(events: DataFrame, keys: DataFrame, segment: int = SEGMENT) -> DataFram
         events = events.withColumn("kid", F.lit("default"))
     prepared = lookup_join(
         events.withColumn("segment", F.floor(F.col("seq") / segment)), key_pads(keys), ["kid"], "left", salt_on=["seq"]
-    ).withColumn("__text", payload())
+    ).withColumn("__text", payload(fields))
     kept = [c for c in prepared.columns if c not in ("ipad", "opad", "__text")]
-    schema = ", ".join(f"`{c}` {prepared.schema[c].dataType.simpleString()}" for c in kept)
+    schema = StructType(
+        [prepared.schema[c] for c in kept] + [StructField("prev_hash", StringType()), StructField("hash", StringType())]
+    )
 
     def link(table):
         import hashlib
@@ -152,7 +162,7 @@ def seal(events: DataFrame, keys: DataFrame, segment: int = SEGMENT) -> DataFram
             "hash", pa.array(after, pa.string())
         )
 
-    return prepared.groupBy("segment").applyInArrow(link, f"{schema}, `prev_hash` string, `hash` string")
+    return prepared.groupBy("segment").applyInArrow(link, schema)
 
 
 def heads(sealed: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -182,7 +192,7 @@ def seal_heads(head_rows: DataFrame, keys: DataFrame, segment: int = SEGMENT, le
     return out
 
 
-def recheck(sealed: DataFrame, keys: DataFrame) -> DataFrame:
+def recheck(sealed: DataFrame, keys: DataFrame, fields: tuple[str, ...] = SEALED_FIELDS) -> DataFrame:
     """Add `bad`: the stored hash does not recompute, or the stored link is not the hash before it.
 
     The check uses the *stored* previous hash, so all rows are checked at once.
@@ -190,7 +200,7 @@ def recheck(sealed: DataFrame, keys: DataFrame) -> DataFrame:
     before = F.lag("hash").over(Window.partitionBy("segment").orderBy("seq"))
     linked = sealed.withColumn("__before", before)
     pads = lookup_join(linked, key_pads(keys), ["kid"], "left", salt_on=["seq"])
-    again = hmac_hex(F.concat(length_prefixed(F.coalesce("__before", F.lit(""))), payload()), "ipad", "opad")
+    again = hmac_hex(F.concat(length_prefixed(F.coalesce("__before", F.lit(""))), payload(fields)), "ipad", "opad")
     bad = ~F.col("hash").eqNullSafe(again) | ~F.col("prev_hash").eqNullSafe(F.col("__before"))
     return pads.withColumn("bad", bad).drop("__before", "ipad", "opad")
 
@@ -215,18 +225,17 @@ def previous_by_seq(rows: DataFrame, value: str = "hash", width: int = SEGMENT,
     earlier range that has rows, found by the same step one level up. Only the top level is a single window, over
     rows / width^levels rows.
     """
-    bucketed = rows.withColumn("__b", F.floor(F.col("seq") / width))
     if levels == 0:
         return rows.withColumn(out, F.lag(value).over(Window.orderBy("seq")))
+    bucketed = rows.withColumn("__b", F.floor(F.col("seq") / width))
     w = Window.partitionBy("__b").orderBy("seq")
     inner = bucketed.withColumn("__first", F.row_number().over(w) == 1).withColumn("__lag", F.lag(value).over(w))
     tails = rows.groupBy(F.floor(F.col("seq") / width).alias("seq")).agg(F.max_by(value, "seq").alias("__tail"))
-    before = previous_by_seq(tails, "__tail", width, levels - 1, "__prev_tail").select(
-        F.col("seq").alias("__b"), "__prev_tail"
-    )
-    joined = lookup_join(inner, before, ["__b"], "left", salt_on=["seq"])
-    return joined.withColumn(out, F.when(F.col("__first"), F.col("__prev_tail")).otherwise(F.col("__lag"))).drop(
-        "__b", "__first", "__lag", "__prev_tail"
+    found = f"__before_{levels}"
+    before = previous_by_seq(tails, "__tail", width, levels - 1, found).select(F.col("seq").alias("__b"), found)
+    joined = inner.join(before, "__b", "left")  # a bucket holds at most `width` rows
+    return joined.withColumn(out, F.when(F.col("__first"), F.col(found)).otherwise(F.col("__lag"))).drop(
+        "__b", "__first", "__lag", found
     )
 
 
@@ -276,38 +285,49 @@ def reconstruct(audit: DataFrame, grants: DataFrame, delegations: DataFrame) ->
     return lookup_join(df, d, ["delegation_id"], "left", salt_on=["seq"])
 
 
-def reconcile(
-    audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: DataFrame, resolved: DataFrame | None = None
-) -> DataFrame:
-    """(seq, n_bad): allowed reads that served rows outside their grant.
-
-    Each distinct (set, grant, delegation) is checked once, however many events repeat it. With `resolved` the
-    check is strict: region and the scope left after delegation count too.
-    """
+def _checked(audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: DataFrame, resolved: DataFrame | None):
+    """(reads, claim key, served rows outside their claim). A claim is a distinct (set, grant, delegation): it is
+    checked once, however many events repeat it."""
     reads = audit.filter((F.col("action") == "read") & (F.col("decision") == "allow"))
     key = ["set_id", "grant_id", *(["subject", "delegation_id"] if resolved is not None else [])]
     claims = reads.select(*key).distinct()
     g = grants.select("grant_id", "provider_org", "grantee_org", "max_classification")
-    claims = lookup_join(claims, g, ["grant_id"], "left", salt_on=["set_id"])
+    claims = claims.join(g, "grant_id", "left")
     if resolved is not None:
         scope = resolved.select(*CREDENTIAL, "region_scope")
         claims = lookup_join(claims, scope, CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["set_id"])
     facts = shipments.select("shipment_id", "owner_org", "region", "classification", "partner_org")
     served = facts.join(rows, "shipment_id")  # unique on the fact side
     checked = lookup_join(served, claims, ["set_id"], salt_on=["shipment_id"])
-    broken = (
+    broken = F.coalesce(
         (F.col("owner_org") != F.col("provider_org"))
         | (class_rank("classification") > class_rank("max_classification"))
-        | (F.col("partner_org").isNotNull() & (F.col("partner_org") != F.col("grantee_org")))
+        | (F.col("partner_org").isNotNull() & (F.col("partner_org") != F.col("grantee_org"))),
+        F.lit(False),
     )
     if resolved is not None:
-        broken = F.coalesce(broken, F.lit(False)) | ~F.coalesce(F.array_contains("region_scope", F.col("region")), F.lit(False))
-    bad = checked.filter(broken).groupBy(*key).agg(F.count(F.lit(1)).alias("n_bad"))
+        broken = broken | ~F.coalesce(F.array_contains("region_scope", F.col("region")), F.lit(False))
+    return reads, key, checked.filter(broken)
+
+
+def reconcile(
+    audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: DataFrame, resolved: DataFrame | None = None
+) -> DataFrame:
+    """(seq, n_bad): allowed reads that served rows outside their grant. With `resolved` the check is strict:
+    region and the scope left after delegation count too."""
+    reads, key, bad_rows = _checked(audit, rows, shipments, grants, resolved)
+    bad = bad_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_bad"))
     return lookup_join(
         reads.select("seq", *key), bad, key, null_safe=["delegation_id"] if resolved is not None else [], salt_on=["seq"]
     ).select("seq", "n_bad")
 
 
+def reconcile_rows(audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: DataFrame) -> DataFrame:
+    """(seq, shipment_id): the served rows themselves that fall outside their grant."""
+    reads, key, bad_rows = _checked(audit, rows, shipments, grants, None)
+    return reads.select("seq", *key).join(bad_rows.select(*key, "shipment_id"), key).select("seq", "shipment_id")
+
+
 def unapproved(audit: DataFrame, grants: DataFrame) -> DataFrame:
     """Allowed reads under a grant that has no approval on record."""
     reads = audit.filter((F.col("action") == "read") & (F.col("decision") == "allow") & F.col("grant_id").isNotNull())

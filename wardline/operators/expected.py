@@ -12,12 +12,12 @@ _SCOPE = """
 WITH hop AS (
   SELECT d.delegation_id, d.grant_id, d.delegator, d.delegatee, d.depth, d.parent_delegation, d.region_scope,
     d.allow_cost, d.allow_contact,
-    NOT (coalesce(d.revoked_at <= :at, false) OR d.expires_at <= :at OR coalesce(p.disabled_at <= :at, false)) AS alive
+    NOT (coalesce(d.revoked_at <= timestamp(:at), false) OR d.expires_at <= timestamp(:at) OR coalesce(p.disabled_at <= timestamp(:at), false)) AS alive
   FROM {delegations} d LEFT JOIN {principals} p ON p.principal_id = d.delegatee
 ), held AS (
-  SELECT g.*, coalesce(p.disabled_at <= :at, false) AS holder_off
+  SELECT g.*, coalesce(p.disabled_at <= timestamp(:at), false) AS holder_off
   FROM {grants} g LEFT JOIN {principals} p ON p.principal_id = g.grantee_principal
-  WHERE g.approved_at <= :at AND g.expires_at > :at AND NOT coalesce(g.revoked_at <= :at, false)
+  WHERE g.approved_at <= timestamp(:at) AND g.expires_at > timestamp(:at) AND NOT coalesce(g.revoked_at <= timestamp(:at), false)
 ), direct AS (
   SELECT c.subject, c.grant_id, c.delegation_id, h.provider_org, h.grantee_org, h.max_classification,
     h.region_scope AS regions, h.allow_cost, h.allow_contact
@@ -53,10 +53,8 @@ WHERE decode(s.classification, 'public', 1, 'internal', 2, 'restricted', 3)
 
 
 def expected_scopes(credentials: DataFrame, grants: DataFrame, delegations: DataFrame, principals: DataFrame, at: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return credentials.sparkSession.sql(
-        _SCOPE, args={"at": F.lit(at).cast("timestamp")}, credentials=credentials, grants=grants,
+        _SCOPE, args={"at": at}, credentials=credentials, grants=grants,
         delegations=delegations, principals=principals,
     )
 

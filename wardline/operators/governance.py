@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scalars import grant_live, is_subset
 from wardline.operators.auth import chain_walk
-from wardline.plans.placement import lookup_join
+from wardline.plans.placement import lookup_join, stage
 
 
 def _first_failing(*rules: tuple[str, Column]) -> Column:
@@ -187,7 +187,7 @@ def create_delegations(
     judged = None
     for depth in (1, 2, 3):
         batch = proposals.filter(F.col("depth") == depth)
-        result = check_delegations(batch, grants, standing, principals)
+        result = stage(check_delegations(batch, grants, standing, principals))  # each pass builds on the last
         judged = result if judged is None else judged.unionByName(result)
         standing = standing.unionByName(result.filter(F.col("reason").isNull()).select(*standing.columns))
     other = proposals.filter(~F.col("depth").between(1, 3) | F.col("depth").isNull())
