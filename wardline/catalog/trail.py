@@ -52,7 +52,7 @@ _FIELDS = [
 _SEALED_SQL = f"""WITH RECURSIVE line AS (
   SELECT seq, seq // 256 AS segment, seq % 256 AS pos, kid, concat({', '.join(_PREFIX.format(f) for f in _FIELDS)}) AS body, ipad, opad
   FROM (SELECT *, CASE WHEN seq % 4096 < 2048 THEN 'default' ELSE 'k-1' END AS kid FROM ev) JOIN pad USING (kid)),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq) AS n FROM line),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq) AS n FROM line),
 link AS (
   SELECT segment, n, seq, CAST(NULL AS VARCHAR) AS prev_hash, {hmac_sql("concat('0:', body)")} AS hash FROM numbered WHERE n = 1
   UNION ALL SELECT x.segment, x.n, x.seq, l.hash, {hmac_sql("concat('64:', l.hash, x.body)", 'x.ipad', 'x.opad')}
