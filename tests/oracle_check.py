@@ -46,15 +46,17 @@ def bag(columns, rows):
 def compare(df, con, sql):
     """(ok, message) for one query against its SQL."""
     cols, got = bag(df.columns, df.collect())
+    t0 = time.time()
     rel = con.execute(sql)
     wcols, want = bag([d[0] for d in rel.description], rel.fetchall())
+    took = time.time() - t0
     n = sum(got.values())
     if cols != wcols:
         return False, f"columns {cols} != {wcols}"
     if got != want:
         more, less = got - want, want - got
         return False, f"{n} vs {sum(want.values())} rows; only spark {list(more)[:2]}; only sql {list(less)[:2]}"
-    return True, f"{n} rows"
+    return True, f"{n} rows, sql {took:.1f}s"
 
 
 def main() -> int:
