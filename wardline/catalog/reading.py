@@ -223,9 +223,9 @@ def select_columns(c: Context):
 
 @query("caller_filter", """
 SELECT auth_id, shipment_id, CAST(unit_cost_usd AS DOUBLE) AS unit_cost_usd FROM guarded
-WHERE unit_cost_usd > 100000 AND status = 'F' AND units % 7 = 3""")
+WHERE unit_cost_usd > 100000 AND status = 'F' AND units BETWEEN 100 AND 250""")
 def caller_filter(c: Context):
-    kept = caller.caller_filter(c.guarded, "unit_cost_usd > 100000 AND status = 'F' AND units % 7 = 3")
+    kept = caller.caller_filter(c.guarded, "unit_cost_usd > 100000 AND status = 'F' AND units BETWEEN 100 AND 250")
     return as_double(kept.select("auth_id", "shipment_id", "unit_cost_usd"))
 
 

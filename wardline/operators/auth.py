@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import scope_intersect
-from wardline.plans.placement import lookup_join
+from wardline.plans.placement import lookup_join, stage
 
 CREDENTIAL = ["subject", "grant_id", "delegation_id"]
 MAX_DEPTH = 3  # fixed value: longest chain the creation rules allow
@@ -57,7 +57,7 @@ def hop_facts(delegations: DataFrame, principals: DataFrame) -> DataFrame:
 
 def chain_facts(delegations: DataFrame, principals: DataFrame, max_hops: int = MAX_DEPTH - 1) -> DataFrame:
     """Per delegation, everything its chain to the root says: scope, times, and whether it hangs together."""
-    hops = hop_facts(delegations, principals)
+    hops = stage(hop_facts(delegations, principals))  # read once per level below
     up = hops.select(
         F.col("delegation_id").alias("u_id"), F.col("grant_id").alias("u_grant"), F.col("delegator").alias("u_delegator"),
         F.col("depth").alias("u_depth"), F.col("parent_delegation").alias("u_parent"),
