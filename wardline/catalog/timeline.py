@@ -8,7 +8,7 @@ from wardline.catalog.oracle import hmac_sql, live, rank
 from wardline.catalog.registry import Context, query
 from wardline.functions.crypto import length_prefixed
 from wardline.operators import auth, guard, replay, sets
-from wardline.plans.placement import lookup_join
+from wardline.plans.placement import lookup_join, stage
 from wardline.session import scratch
 from wardline.sources import sinks
 from wardline.sources.tables import load
@@ -71,22 +71,29 @@ def _token_scopes(c: Context):
     return df.withColumn("region_scope", F.coalesce("d_regions", "g_regions"))
 
 
-def _judged(c: Context, mode: str):
-    if mode == "live":
-        df, scopes = replay.replay_live(c.requests, c.resolved), c.resolved
-    elif mode == "cache":
-        df, scopes = replay.replay_cache(c.requests, c.resolved, TTL), c.resolved
-    else:
-        df, scopes = replay.replay_token(c.requests), _token_scopes(c)
-    narrow = df.select("request_id", "event_ts", *auth.CREDENTIAL, "allowed")
-    return lookup_join(narrow, _row_counts(c, scopes), auth.CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["request_id"])
+def _judged(c: Context, *modes: str):
+    """Requests as each way of checking judges them, with the rows a full read would serve."""
+    how = {
+        "live": lambda: replay.replay_live(c.requests, c.resolved), "token": lambda: replay.replay_token(c.requests),
+        "cache": lambda: replay.replay_cache(c.requests, c.resolved, TTL),
+    }
+    narrow = sets.stack(*[
+        how[m]().select("request_id", "event_ts", *auth.CREDENTIAL, "allowed", F.lit(m).alias("mode"),
+                        F.lit(m == "token").alias("by_token")) for m in modes
+    ])
+    counts = [_row_counts(c, _token_scopes(c) if by_token else c.resolved).withColumn("by_token", F.lit(by_token))
+              for by_token in sorted({m == "token" for m in modes})]
+    return lookup_join(narrow, sets.stack(*counts), [*auth.CREDENTIAL, "by_token"], "left", null_safe=["delegation_id"],
+                       salt_on=["request_id"])
 
 
-def _trials(c: Context, mode: str):
-    judged = _judged(c, mode)
-    halts = replay.first_denial(judged, replay.revocations(c.resolved), WAIT)
-    trials = replay.until_halt(judged, halts, WAIT)
-    return trials.withColumn("mode", F.lit(mode)).withColumn("bound_s", F.lit(float(BOUNDS[mode])))
+def _trials(c: Context, *modes: str):
+    judged = _judged(c, *modes)
+    revoked = replay.revocations(c.resolved).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    halts = stage(replay.first_denial(judged, revoked, WAIT, ["mode"]))
+    trials = replay.until_halt(judged, halts, WAIT, ["mode"])
+    bound = F.create_map(*[F.lit(x) for m in modes for x in (m, float(BOUNDS[m]))])
+    return trials.withColumn("bound_s", bound[F.col("mode")])
 
 
 @query("replay_live", "SELECT request_id, allowed FROM req")
@@ -132,8 +139,7 @@ def win_first_denial(c: Context):
 
 @query("win_rows_until_halt", f"{_TRIALS} SELECT mode, subject, grant_id, delegation_id, CAST(rows_after AS BIGINT) AS rows_after, requests_after FROM trial WHERE mode IN ('cache', 'token')")
 def win_rows_until_halt(c: Context):
-    both = sets.stack(_trials(c, "cache"), _trials(c, "token"))
-    return both.select("mode", *auth.CREDENTIAL, "rows_after", "requests_after")
+    return _trials(c, "cache", "token").select("mode", *auth.CREDENTIAL, "rows_after", "requests_after")
 
 
 _SUMMARY = """SELECT mode, count(*) AS trials, round(avg(halt_latency_s), 4) AS halt_mean_s, round(max(halt_latency_s), 4) AS halt_max_s,
@@ -145,7 +151,7 @@ _SUMMARY = """SELECT mode, count(*) AS trials, round(avg(halt_latency_s), 4) AS
 
 @query("replay_summary", f"{_TRIALS} {_SUMMARY}")
 def replay_summary(c: Context):
-    return replay.mode_summary(sets.stack(*[_trials(c, m) for m in BOUNDS])).drop("declared_bound_s")
+    return replay.mode_summary(_trials(c, *BOUNDS)).drop("declared_bound_s")
 
 
 @query("agg_mode_summary", f"{_TRIALS} SELECT mode, CAST(max(b) AS DOUBLE) AS declared_bound_s, n AS trials FROM (SELECT mode, CASE mode {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {b}' for m, b in BOUNDS.items())} END AS b, count(*) OVER (PARTITION BY mode) AS n FROM trial) WHERE mode = 'live' GROUP BY mode, n")
@@ -166,8 +172,9 @@ def stream_guarded(c: Context):
                      ("principal", c.principals), ("shipment", c.shipments)):
         df.write.parquet(f"{base}/gov/{name}")
     asked = c.requests.select("request_id", "columns", "request")
-    c.tokens.join(asked, "request_id").repartitionByRange(2, "event_ts").write.parquet(f"{base}/tokens")
-    tokens = c.spark.readStream.schema(c.spark.read.parquet(f"{base}/tokens").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/tokens")
+    presented = c.tokens.join(asked, "request_id")
+    presented.write.parquet(f"{base}/tokens")
+    tokens = c.spark.readStream.schema(presented.schema).parquet(f"{base}/tokens")
 
     def governance():
         return {**load(c.spark, f"{base}/gov", ("data_grant", "delegation", "principal", "shipment")), "keys": c.keys}

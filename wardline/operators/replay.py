@@ -6,6 +6,8 @@ from an authorisation cached for `ttl`, `token` looks at the token's expiry only
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,35 +116,38 @@ def revocations(resolved: DataFrame) -> DataFrame:
     ).select(*CREDENTIAL, "revoked_at")
 
 
-def first_denial(judged: DataFrame, revoked: DataFrame, max_wait_s: int) -> DataFrame:
+def first_denial(judged: DataFrame, revoked: DataFrame, max_wait_s: int, by: Sequence[str] = ()) -> DataFrame:
     """Per revoked credential: when it first got nothing (refused or empty) after the revocation, if within the wait.
 
-    `judged` carries `allowed` and `n_rows`.
+    `judged` carries `allowed` and `n_rows`. Several ways of checking are measured in one pass when both sides carry
+    the columns `by`.
     """
-    after = lookup_join(judged, revoked, CREDENTIAL, null_safe=["delegation_id"], salt_on=["request_id"]).filter(
+    key = [*by, *CREDENTIAL]
+    after = lookup_join(judged, revoked, key, null_safe=["delegation_id"], salt_on=["request_id"]).filter(
         F.col("event_ts") >= F.col("revoked_at")
     )
     nothing = ~F.col("allowed") | (F.coalesce("n_rows", F.lit(0)) == 0)
-    halts = after.groupBy(*CREDENTIAL).agg(F.min(F.when(nothing, F.col("event_ts"))).alias("halted_at"))
-    df = lookup_join(revoked, halts, CREDENTIAL, "left", null_safe=["delegation_id"])
+    halts = after.groupBy(*key).agg(F.min(F.when(nothing, F.col("event_ts"))).alias("halted_at"))
+    df = lookup_join(revoked, halts, key, "left", null_safe=["delegation_id"])
     wait = (F.unix_micros("halted_at") - F.unix_micros("revoked_at")) / F.lit(float(US))
     return df.withColumn("halt_latency_s", F.least(F.coalesce(wait, F.lit(float(max_wait_s))), F.lit(float(max_wait_s))))
 
 
-def until_halt(judged: DataFrame, halts: DataFrame, max_wait_s: int) -> DataFrame:
+def until_halt(judged: DataFrame, halts: DataFrame, max_wait_s: int, by: Sequence[str] = ()) -> DataFrame:
     """Per revoked credential: rows served and requests made from the revocation until the halt."""
-    df = lookup_join(judged, halts.select(*CREDENTIAL, "revoked_at", "halted_at"), CREDENTIAL,
-                     null_safe=["delegation_id"], salt_on=["request_id"])
+    key = [*by, *CREDENTIAL]
+    df = lookup_join(judged, halts.select(*key, "revoked_at", "halted_at"), key, null_safe=["delegation_id"],
+                     salt_on=["request_id"])
     in_wait = (F.col("event_ts") >= F.col("revoked_at")) & (
         F.unix_micros("event_ts") - F.unix_micros("revoked_at") < F.lit(max_wait_s * US)
     )
     before = F.coalesce(F.col("event_ts") < F.col("halted_at"), F.lit(True))
     upto = F.coalesce(F.col("event_ts") <= F.col("halted_at"), F.lit(True))
-    agg = df.filter(in_wait & upto).groupBy(*CREDENTIAL).agg(
+    agg = df.filter(in_wait & upto).groupBy(*key).agg(
         F.sum(F.when(before & F.col("allowed"), F.coalesce("n_rows", F.lit(0))).otherwise(0)).alias("rows_after"),
         F.count(F.lit(1)).alias("requests_after"),
     )
-    out = lookup_join(halts, agg, CREDENTIAL, "left", null_safe=["delegation_id"])
+    out = lookup_join(halts, agg, key, "left", null_safe=["delegation_id"])
     return out.withColumn("rows_after", F.coalesce("rows_after", F.lit(0)).cast("long")).withColumn(
         "requests_after", F.coalesce("requests_after", F.lit(0)).cast("long")
     )
