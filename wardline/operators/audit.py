@@ -158,6 +158,9 @@ def seal(
             prev = hashlib.sha256(opad + inner).hexdigest()
             after.append(prev)
         out = table.select(kept)
+        for i, f in enumerate(out.schema):  # Spark hands times over in the session's zone but takes them back in UTC
+            if pa.types.is_timestamp(f.type) and f.type.tz:
+                out = out.set_column(i, f.name, out.column(i).cast(pa.timestamp("us", "UTC")))
         return out.append_column("prev_hash", pa.array(before, pa.string())).append_column(
             "hash", pa.array(after, pa.string())
         )
