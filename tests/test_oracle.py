@@ -17,7 +17,7 @@ SAMPLE = [
     "current_auth", "agg_count", "guarded_scan", "leak_predicate", "policy_ablation", "verify_reason", "delegation_check",
     "delegation_create", "audit_allow", "audit_tamper", "audit_reconcile_strict", "replay_summary", "fn_hmac_sha256", "win_prev_hash",
 ]
-NAMES = list(entry.queries()) if os.environ.get("WARDLINE_ALL") else SAMPLE
+NAMES = list(entry.catalog.QUERIES) if os.environ.get("WARDLINE_ALL") else SAMPLE
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +36,7 @@ def test_matches_sql(spark, con, name):
 
 
 def test_every_query_but_the_known_ones_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"audit_top_heads"}
+    assert set(entry.catalog.QUERIES) - set(entry.oracle_sql()) == {"audit_top_heads"}
 
 
 def test_flagship(spark):
