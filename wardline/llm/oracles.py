@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import secrets
+from wardline.llm import quality_rules, secrets
 
 
 def _found(name: str, pattern: str, group: int = 0) -> str:
@@ -71,3 +71,33 @@ FROM documents LEFT JOIN listed USING (doc_id)"""
 
 
 SECRETS = _secrets()
+
+_L = quality_rules.Limits()
+QUALITY = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, [x FOR x IN string_split_regex(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+             [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM d),
+g AS (SELECT rid, i, array_to_string(ws[i:i + {_L.window - 1}], chr(1)) AS g
+      FROM w, unnest(range(1, len(ws) - {_L.window} + 2)) AS u(i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT rid, sum(least({_L.window}, i - coalesce(before, -{_L.window})))::BIGINT AS n_rep
+        FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM twice) GROUP BY rid),
+lines AS (SELECT w.rid, doc_id, source, p,
+                 trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS line,
+                 len([x FOR x IN string_split_regex(l, '[\x20\x09-\x0D]+') IF x <> '']) AS n
+          FROM (SELECT rid, unnest(ls) AS l, unnest(range(len(ls))) AS p FROM w) w JOIN d USING (rid)),
+hashed AS (SELECT *, md5(min(md5(line)) OVER (PARTITION BY rid) || max(md5(line)) OVER (PARTITION BY rid)) AS sig FROM lines),
+hosts AS (SELECT source, count(DISTINCT sig) AS host_docs FROM hashed GROUP BY source),
+common AS (SELECT h.source, line, min(doc_id) AS first_doc FROM hashed h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source
+           GROUP BY h.source, line, host_docs
+           HAVING count(DISTINCT sig) > {_L.min_docs} AND count(DISTINCT sig) > {_L.share} * host_docs),
+gone AS (SELECT rid, sum(n)::BIGINT AS n_gone FROM hashed h JOIN common c ON h.line = c.line AND h.source IS NOT DISTINCT FROM c.source
+         WHERE doc_id IS DISTINCT FROM first_doc GROUP BY rid),
+m AS (SELECT d.doc_id, d.t, ls, len(ws) AS n_words, coalesce(n_rep, 0) AS n_repeat_words, coalesce(n_gone, 0) AS n_removed_words
+      FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+       len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words,
+       n_words < {_L.min_words} OR 100 * n_repeat_words > {_L.max_repeat_pct} * n_words AS base_failed,
+       NOT (n_words < {_L.min_words} OR 100 * n_repeat_words > {_L.max_repeat_pct} * n_words)
+         AND n_words - n_removed_words >= {_L.min_left} * n_words AS kept, n_removed_words
+FROM m"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import oracles, secrets
+from wardline.llm import oracles, quality_rules, secrets
 from wardline.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(secrets.KINDS).alias("spans"),
     )
+
+
+@query(oracles.QUALITY)
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
