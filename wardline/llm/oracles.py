@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import quality_rules, secrets
+from wardline.llm import decontam, quality_rules, secrets
 
 
 def _found(name: str, pattern: str, group: int = 0) -> str:
@@ -101,3 +101,26 @@ SELECT doc_id, n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) A
        NOT (n_words < {_L.min_words} OR 100 * n_repeat_words > {_L.max_repeat_pct} * n_words)
          AND n_words - n_removed_words >= {_L.min_left} * n_words AS kept, n_removed_words
 FROM m"""
+
+LEAKS = rf"""
+WITH d AS (SELECT DISTINCT doc_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+b AS (SELECT DISTINCT item_id, [x FOR x IN string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM benchmark),
+i AS (SELECT item_id, w, len(w) AS size, least(len(w), {decontam.SHINGLE}) AS k FROM b WHERE len(w) > 0),
+ig AS (SELECT item_id, size, k, o, array_to_string(w[o + 1:o + k], ' ') AS g FROM i, unnest(range(size - k + 1)) AS u(o)),
+ks AS (SELECT DISTINCT k FROM i),
+dg AS (SELECT doc_id, len(w) AS n, k, p, array_to_string(w[p + 1:p + k], ' ') AS g FROM d, ks, unnest(range(len(w) - k + 1)) AS u(p)),
+win AS (SELECT DISTINCT doc_id, ig.k, least(size, n) AS size,
+               greatest(0, least(p - o, n - least(size, n))) AS start
+        FROM dg JOIN ig ON dg.g = ig.g AND dg.k = ig.k),
+wg AS (SELECT win.doc_id, win.k, start, size, g, count(*) AS n
+       FROM win JOIN d USING (doc_id), LATERAL (SELECT array_to_string(w[start + p + 1:start + p + k], ' ') AS g FROM unnest(range(size - k + 1)) AS u(p))
+       GROUP BY ALL),
+ic AS (SELECT item_id, g, count(*) AS n FROM ig GROUP BY ALL),
+it AS (SELECT item_id, k, sum(n * length(g)) AS ti FROM ic JOIN i USING (item_id) GROUP BY ALL),
+tot AS (SELECT doc_id, k, start, size, sum(n * length(g)) AS tw FROM wg GROUP BY ALL),
+j AS (SELECT doc_id, wg.k, start, size, ic.item_id, sum(least(wg.n, ic.n) * length(wg.g)) AS common
+      FROM wg JOIN ic ON wg.g = ic.g GROUP BY ALL),
+m AS (SELECT doc_id, item_id, start, size, common, tw + ti - common AS either FROM j JOIN tot USING (doc_id, k, start, size) JOIN it USING (item_id, k)
+      WHERE 100 * common >= {decontam.PERCENT} * (tw + ti - common))
+SELECT doc_id, item_id, start::INTEGER AS start, size::INTEGER AS size, common::BIGINT AS common_weight, either::BIGINT AS either_weight
+FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / either DESC, start) = 1"""
