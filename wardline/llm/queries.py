@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, oracles, quality_rules, secrets
+from wardline.llm import decontam, mixing, oracles, quality_rules, secrets
 from wardline.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracles.LEAKS)
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
