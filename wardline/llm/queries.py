@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, jaccard_join, mixing, oracles, pitman_yor, quality_rules, secrets
+from wardline.llm import decontam, jaccard_join, langid, mixing, oracles, pitman_yor, quality_rules, secrets
 from wardline.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read(spark, sf_dir, "documents"))
