@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, jaccard_join, langid, mixing, oracles, pitman_yor, quality_rules, secrets
+from wardline.llm import decontam, html_main, jaccard_join, langid, mixing, oracles, pitman_yor, quality_rules, secrets
 from wardline.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
