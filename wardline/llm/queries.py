@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import decontam, html_main, jaccard_join, langid, mixing, oracles, pitman_yor, quality_rules, secrets
+from wardline.llm import bayes_quality, decontam, html_main, jaccard_join, langid, licenses, mixing, oracles, pitman_yor, quality_rules, secrets
 from wardline.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,18 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_main.extract(read(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path")
+
+
+@query()
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source / thousands / hundreds / doc_id."""
+    docs = read(spark, sf_dir, "documents")
+    bin_of = lambda size: F.floor(F.col("doc_id") / size).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), bin_of(1000), bin_of(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    found = licenses.scan(docs.select(F.col("doc_id").alias("key"), path.alias("path"), "text"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+@query()
+def op9_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes_quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
