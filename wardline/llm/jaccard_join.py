@@ -80,18 +80,19 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (the set's key; null for an empty set)."""
+    """doc_id, text_key (hash of the text), n_shingles, node (the set's key; null for an empty set)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(t, hashes) for t in _texts(batch)]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-            ], names=["doc_id", "n_shingles", "node"])
+            ], names=["doc_id", "text_key", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(job, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        job, "doc_id long, text_key long, n_shingles long, node long")
 
 
 def _once(state: dict, node: int) -> bool:
@@ -254,26 +255,39 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, text_key, n_shingles, label (of its component; null for an empty set), component_id."""
     classes = stage(classes_of(docs))
     ids = classes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     labels = linked(docs, ids.select("node", F.col("least").alias("doc_id")))
-    if labels is not None:
+    if labels is None:
+        ids = ids.select(F.col("node").alias("_node"), F.col("node").alias("label"), F.col("least").alias("component_id"))
+    else:
         tied = ids.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn(
             "label", F.coalesce("label", "node"))
         lowest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
-        ids = tied.join(lowest, "label").select("node", "component_id")
-    else:
-        ids = ids.select("node", F.col("least").alias("component_id"))
-    ids = stage(ids)
-    return classes.join(ids.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        ids = tied.join(lowest, "label").select(F.col("node").alias("_node"), "label", "component_id")
+    return classes.join(stage(ids), F.col("node") == F.col("_node"), "left").drop("_node", "node")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    lone = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return grouped(docs).select("doc_id", "n_shingles", lone.alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; documents without words all stay."""
-    joined = join(docs)
-    gone = stage(joined.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept
+    """The document with the smallest doc_id of each group (a null one only if there is no other), once if its row is
+    repeated; documents without words all stay."""
+    rows = stage(grouped(docs).filter("label is not null").withColumn(
+        "who", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")))
+    first = rows.groupBy("label").agg(F.min("who").alias("best"))
+    judged = rows.join(first, "label").withColumn("stays", F.col("who").eqNullSafe(F.col("best")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
+    keys = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    gone = stage(judged.filter("not stays").select(*keys).distinct())
+    again = stage(judged.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    kept = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -153,7 +153,8 @@ def listed(kinds: tuple[str, ...], prefix: str = "spans_") -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """`docs` with every span replaced by `mark`; overlapping spans become one mark. Texts without spans stay as they are."""
+    """`docs` with every span replaced by `mark`; overlapping spans become one mark. Texts without
+    spans stay as they are; n_chars follows the text."""
     found = scan(docs, text)
     spans = [f"spans_{k}" for k in KINDS]
     whole = F.array_sort(F.concat(*[F.transform(F.col(s), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for s in spans]))
@@ -169,4 +170,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
     cut = let(F.aggregate(whole, zero, step), lambda end: F.array_join(
         F.concat(end["out"], F.array(F.substring(body(text), (end["at"] + 1).cast("int"), F.lit(2**31 - 1)))), ""))
-    return found.withColumn(text, F.when(F.size(whole) > 0, cut).otherwise(F.col(text))).select(*docs.columns)
+    changed = F.size(whole) > 0
+    out = found.withColumn(text, F.when(changed, cut).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
