@@ -96,7 +96,7 @@ def test_revocation_is_once_but_every_command_is_recorded(spark, world, now):
 ])
 def test_cascade(spark, world, now, kind, target, dead):
     cmds = frame(spark, [(1, kind, target)], "cmd_id long, kind string, target string")
-    hit = governance.cascade(cmds, world["data_grant"], world["delegation"], now)
+    hit = governance.cascade(cmds, world["data_grant"], world["delegation"], world["principal"], now)
     assert {r.delegation_id for r in hit.collect()} == dead
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.catalog.oracle import AS_OF, hmac_sql, live
+from wardline.catalog.oracle import AS_OF, CTES, hmac_sql, live
 from wardline.catalog.registry import Context, query
 from wardline.operators import auth, credentials, expected, governance
 from wardline.plans.placement import lookup_join
@@ -47,7 +47,7 @@ def join_cred_key(c: Context):
     doc_ok = F.get(F.split("token", "\\."), F.lit(1)).isNotNull() & F.get(F.split("token", "\\."), F.lit(2)).isNull()
     kid = F.when(doc_ok & F.col("claimed_sub").isNotNull(), F.coalesce("claimed_kid", F.lit("default")))
     known = c.keys.select("kid", F.lit(True).alias("known"))
-    joined = lookup_join(said.withColumn("kid", kid), known, ["kid"], "left", salt_on=["request_id"])
+    joined = lookup_join(said.withColumn("kid", kid), known, ["kid"], "left")
     return joined.select("request_id", F.coalesce("known", F.lit(False)).alias("known"))
 
 
@@ -57,7 +57,7 @@ def join_cred_grant(c: Context):
     from wardline.functions.scalars import grant_live
 
     g = c.grants.select("grant_id", "provider_org", "approved_at", "revoked_at", "expires_at")
-    joined = lookup_join(c.verified, g, ["grant_id"], salt_on=["request_id"])
+    joined = lookup_join(c.verified, g, ["grant_id"])
     return joined.filter(grant_live("approved_at", "revoked_at", "expires_at", F.col("event_ts"))).select(
         "request_id", "grant_id", "provider_org"
     )
@@ -67,7 +67,7 @@ def join_cred_grant(c: Context):
   ON d.delegation_id = v.delegation_id AND d.grant_id = v.grant_id AND d.delegatee = v.sub""")
 def join_cred_delegation(c: Context):
     d = c.delegations.select("delegation_id", "grant_id", F.col("delegatee").alias("sub"))
-    joined = lookup_join(c.verified, d, ["delegation_id", "grant_id", "sub"], salt_on=["request_id"])
+    joined = lookup_join(c.verified, d, ["delegation_id", "grant_id", "sub"])
     return joined.select("request_id", "delegation_id")
 
 
@@ -158,7 +158,7 @@ def chain_walk(c: Context):
     AND p.principal_id IN (g.grantee_principal, d.delegatee, a.delegatee, b.delegatee))""".replace(T, "TIMESTAMP '2024-01-25 00:00:00'"))
 def anti_disabled(c: Context):
     at = F.lit("2024-01-25").cast("timestamp")
-    walk = auth.chain_walk(c.delegations, 2).join(c.delegations.select("delegation_id", "delegatee"), "delegation_id")
+    walk = auth.chain_walk(c.delegations).join(c.delegations.select("delegation_id", "delegatee"), "delegation_id")
     people = walk.select(F.col("leaf_id").alias("delegation_id"), F.col("delegatee").alias("principal_id"))
     held = c.presented.join(c.grants.select("grant_id", "grantee_principal"), "grant_id")
     holders = held.select(*auth.CREDENTIAL, F.col("grantee_principal").alias("principal_id"))
@@ -314,21 +314,20 @@ _CMD_KILL = """SELECT CAST(substr(principal_id, 3) AS BIGINT) AS cmd_id,
   FROM {gov_principal}"""
 
 
-@query("revoke_cascade", f"""WITH l AS (
-  SELECT d.delegation_id, d.grant_id, g.grantee_principal, d.delegatee AS t0, a.delegation_id AS d1, a.delegatee AS t1,
-    b.delegation_id AS d2, b.delegatee AS t2
-  FROM gov_delegation d JOIN gov_grant g ON g.grant_id = d.grant_id LEFT JOIN gov_delegation a ON a.delegation_id = d.parent_delegation
-  LEFT JOIN gov_delegation b ON b.delegation_id = a.parent_delegation
-  WHERE g.approved_at <= {T} AND g.expires_at > {T} AND coalesce(g.revoked_at > {T}, true)
-    AND d.expires_at > {T} AND coalesce(d.revoked_at > {T}, true)
-    AND (d.parent_delegation IS NULL OR (a.expires_at > {T} AND coalesce(a.revoked_at > {T}, true)))
-    AND (a.parent_delegation IS NULL OR (b.expires_at > {T} AND coalesce(b.revoked_at > {T}, true)))
-    AND b.parent_delegation IS NULL)
-SELECT k.cmd_id, l.delegation_id FROM l JOIN {cmd(_CMD_KILL)} k ON (k.kind = 'grant' AND k.target = l.grant_id)
-  OR (k.kind = 'delegation' AND k.target IN (l.delegation_id, l.d1, l.d2))
-  OR (k.kind = 'principal' AND k.target IN (l.grantee_principal, l.t0, l.t1, l.t2))""")
+# Every delegation presented by its own delegatee, judged by the rules of `fact` and their times; then who is in its chain.
+_ALL_FACTS = CTES["fact"].replace(
+    "FROM cred c", "FROM (SELECT delegatee AS subject, grant_id, delegation_id FROM gov_delegation) c").rstrip().removesuffix(")")
+
+
+@query("revoke_cascade", f"""WITH every_fact AS ({_ALL_FACTS}),
+l AS (SELECT f.delegation_id, f.grant_id, f.grantee_principal, f.chain,
+    (SELECT list(d.delegatee) FROM gov_delegation d WHERE list_contains(f.chain, d.delegation_id)) AS people
+  FROM every_fact f WHERE f.fits AND {live(T)})
+SELECT DISTINCT k.cmd_id, l.delegation_id FROM l JOIN {cmd(_CMD_KILL)} k ON (k.kind = 'grant' AND k.target = l.grant_id)
+  OR (k.kind = 'delegation' AND list_contains(l.chain, k.target))
+  OR (k.kind = 'principal' AND (k.target = l.grantee_principal OR list_contains(l.people, k.target)))""")
 def revoke_cascade(c: Context):
-    return governance.cascade(batch(c, _CMD_KILL), c.grants, c.delegations, c.as_of)
+    return governance.cascade(batch(c, _CMD_KILL), c.grants, c.delegations, c.principals, c.as_of)
 
 
 @query("principal_toggle", f"""WITH k AS (SELECT principal_id, arg_max(enable, cmd_id) AS enable FROM {cmd(_CMD_TOGGLE)} GROUP BY principal_id)

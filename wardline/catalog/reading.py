@@ -146,7 +146,7 @@ def dq_domains(c: Context):
 def _clause_count(c: Context, keys: list[str], scope):
     cells = guard.policy_cells(c.shipments).groupBy(*keys).agg(F.sum("n_rows").alias("n"))
     safe = [k for k in keys if k == "partner_org"]
-    met = lookup_join(scope, cells, keys, null_safe=safe, salt_on=["auth_id", *keys])
+    met = lookup_join(scope, cells, keys, null_safe=safe)
     per = met.groupBy("auth_id").agg(F.sum("n").alias("n"))
     return c.auths.select("auth_id").join(per, "auth_id", "left").select(
         "auth_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_rows")
@@ -273,7 +273,7 @@ SELECT a.auth_id, count(g.shipment_id) AS n_foreign FROM auths a
 LEFT JOIN guarded g ON g.auth_id = a.auth_id AND g.owner_org <> a.provider_org GROUP BY a.auth_id""")
 def probe_other_owner(c: Context):
     foreign = lookup_join(c.guarded.select("auth_id", "owner_org", "shipment_id"), c.auths.select("auth_id", "provider_org"),
-                          ["auth_id"], salt_on=["shipment_id"]).filter("owner_org <> provider_org")
+                          ["auth_id"]).filter("owner_org <> provider_org")
     per = foreign.groupBy("auth_id").agg(F.count(F.lit(1)).alias("n"))
     return c.auths.select("auth_id").join(per, "auth_id", "left").select(
         "auth_id", F.coalesce("n", F.lit(0)).alias("n_foreign")

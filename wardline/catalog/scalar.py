@@ -35,7 +35,7 @@ def fn_hop_live(c: Context):
 def fn_hmac_sha256(c: Context):
     n = F.substring("principal_id", 3, 20).cast("long") % 25
     keyed = c.principals.withColumn("kid", F.when(n == 0, "default").otherwise(F.concat(F.lit("k-"), n.cast("string"))))
-    joined = lookup_join(keyed, crypto.key_pads(c.keys), ["kid"], salt_on=["principal_id"])
+    joined = lookup_join(keyed, crypto.key_pads(c.keys), ["kid"])
     return joined.select("principal_id", crypto.hmac_hex(F.col("display_name"), "ipad", "opad").alias("mac"))
 
 

@@ -83,8 +83,7 @@ def _judged(c: Context, *modes: str):
     ])
     counts = [_row_counts(c, _token_scopes(c) if by_token else c.resolved).withColumn("by_token", F.lit(by_token))
               for by_token in sorted({m == "token" for m in modes})]
-    return lookup_join(narrow, sets.stack(*counts), [*auth.CREDENTIAL, "by_token"], "left", null_safe=["delegation_id"],
-                       salt_on=["request_id"])
+    return lookup_join(narrow, sets.stack(*counts), [*auth.CREDENTIAL, "by_token"], "left", null_safe=["delegation_id"])
 
 
 def _trials(c: Context, *modes: str):

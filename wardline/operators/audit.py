@@ -47,7 +47,7 @@ def served_rows(judged: DataFrame, shipments: DataFrame, column: str = "units")
                 F.col("param").alias(column))
     )
     rows = ranked(shipments).select("shipment_id", *CELL, F.col(column).cast("long").alias(column))
-    return lookup_join(rows, cells, [*CELL, column], null_safe=["partner_org"], salt_on=["shipment_id"]).select(
+    return lookup_join(rows, cells, [*CELL, column], null_safe=["partner_org"]).select(
         "set_id", "shipment_id"
     )
 
@@ -85,7 +85,7 @@ def judged_reads(requests: DataFrame, resolved: DataFrame) -> DataFrame:
 def read_events(judged: DataFrame, headers: DataFrame) -> DataFrame:
     """One event per read, allowed or refused. A refusal is unattributed: the identity it claimed is kept only
     inside the request text. An allowed read that served nothing keeps its event with zero rows."""
-    df = lookup_join(judged, headers, ["set_id"], "left", salt_on=["request_id"])
+    df = lookup_join(judged, headers, ["set_id"], "left")
     ok = F.col("decision") == "allow"
     when_ok = lambda c: F.when(ok, F.col(c)).alias(c)
     asked = F.to_json(F.struct("columns", F.lit("units = :k").alias("where"), F.col("param").alias("k")))
@@ -138,7 +138,7 @@ def seal(
     if "kid" not in events.columns:
         events = events.withColumn("kid", F.lit("default"))
     prepared = lookup_join(
-        events.withColumn("segment", F.floor(F.col("seq") / segment)), key_pads(keys), ["kid"], "left", salt_on=["seq"]
+        events.withColumn("segment", F.floor(F.col("seq") / segment)), key_pads(keys), ["kid"], "left"
     ).withColumn("__text", payload(fields))
     kept = [c for c in prepared.columns if c not in ("ipad", "opad", "__text")]
     schema = StructType(
@@ -184,7 +184,7 @@ def seal_heads(head_rows: DataFrame, keys: DataFrame, segment: int = SEGMENT, le
         grouped = grouped.groupBy("segment").agg(
             F.array_sort(F.collect_list(F.struct("seq", "covers"))).alias("links"), F.max("seq").alias("last_seq")
         )
-        grouped = lookup_join(grouped.withColumn("kid", F.lit("default")), pads, ["kid"], salt_on=["segment"])
+        grouped = lookup_join(grouped.withColumn("kid", F.lit("default")), pads, ["kid"])
         chained = F.aggregate(
             "links", F.lit(""),
             lambda acc, x: hmac_hex(length_prefixed(acc, x["seq"].cast("string"), x["covers"]), "ipad", "opad"),
@@ -202,7 +202,7 @@ def recheck(sealed: DataFrame, keys: DataFrame, fields: tuple[str, ...] = SEALED
     """
     before = F.lag("hash").over(Window.partitionBy("segment").orderBy("seq"))
     linked = sealed.withColumn("__before", before)
-    pads = lookup_join(linked, key_pads(keys), ["kid"], "left", salt_on=["seq"])
+    pads = lookup_join(linked, key_pads(keys), ["kid"], "left")
     again = hmac_hex(F.concat(length_prefixed(F.coalesce("__before", F.lit(""))), payload(fields)), "ipad", "opad")
     bad = ~F.col("hash").eqNullSafe(again) | ~F.col("prev_hash").eqNullSafe(F.col("__before"))
     return pads.withColumn("bad", bad).drop("__before", "ipad", "opad")
@@ -251,7 +251,7 @@ VIEW = [
 
 def _side(audit: DataFrame, viewers: DataFrame, mine: str, theirs: str) -> DataFrame:
     orgs = viewers.select(F.col("viewer_org").alias(mine)).distinct()
-    return lookup_join(audit, orgs, [mine], "left_semi", salt_on=["seq"]).select(
+    return lookup_join(audit, orgs, [mine], "left_semi").select(
         F.col(mine).alias("viewer_org"), F.col(theirs).alias("counterparty_org"), *[c for c in VIEW if c in audit.columns]
     )
 
@@ -284,8 +284,8 @@ def reconstruct(audit: DataFrame, grants: DataFrame, delegations: DataFrame) ->
     d = delegations.select(
         "delegation_id", "delegator", "delegatee", "purpose", "depth", F.col("expires_at").alias("delegation_expires")
     )
-    df = lookup_join(audit, g, ["grant_id"], "left", salt_on=["seq"])
-    return lookup_join(df, d, ["delegation_id"], "left", salt_on=["seq"])
+    df = lookup_join(audit, g, ["grant_id"], "left")
+    return lookup_join(df, d, ["delegation_id"], "left")
 
 
 def _checked(audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: DataFrame, resolved: DataFrame | None):
@@ -298,10 +298,10 @@ def _checked(audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: Da
     claims = claims.join(g, "grant_id", "left")
     if resolved is not None:
         scope = resolved.select(*CREDENTIAL, "region_scope")
-        claims = lookup_join(claims, scope, CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["set_id"])
+        claims = lookup_join(claims, scope, CREDENTIAL, "left", null_safe=["delegation_id"])
     facts = shipments.select("shipment_id", "owner_org", "region", "classification", "partner_org")
     served = facts.join(rows, "shipment_id")  # unique on the fact side
-    checked = lookup_join(served, claims, ["set_id"], salt_on=["shipment_id"])
+    checked = lookup_join(served, claims, ["set_id"])
     broken = F.coalesce(
         (F.col("owner_org") != F.col("provider_org"))
         | (class_rank("classification") > class_rank("max_classification"))
@@ -321,7 +321,7 @@ def reconcile(
     reads, key, bad_rows = _checked(audit, rows, shipments, grants, resolved)
     bad = bad_rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n_bad"))
     return lookup_join(
-        reads.select("seq", *key), bad, key, null_safe=["delegation_id"] if resolved is not None else [], salt_on=["seq"]
+        reads.select("seq", *key), bad, key, null_safe=["delegation_id"] if resolved is not None else []
     ).select("seq", "n_bad")
 
 
@@ -335,7 +335,7 @@ def unapproved(audit: DataFrame, grants: DataFrame) -> DataFrame:
     """Allowed reads under a grant that has no approval on record."""
     reads = audit.filter((F.col("action") == "read") & (F.col("decision") == "allow") & F.col("grant_id").isNotNull())
     approved = grants.filter(F.col("approved_at").isNotNull()).select("grant_id")
-    return lookup_join(reads, approved, ["grant_id"], "left_anti", salt_on=["seq"])
+    return lookup_join(reads, approved, ["grant_id"], "left_anti")
 
 
 def classify(audit: DataFrame, flagged: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ delegation chain itself.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,21 +31,35 @@ SCOPE = [
 def chain_walk(delegations: DataFrame, max_hops: int = WALK_HOPS) -> DataFrame:
     """(leaf_id, hop, delegation_id): every delegation's ancestors, itself at hop 0, at most `max_hops` up.
 
-    A cycle stops at the hop limit. One left join per level; the path rides along as an array of at most
-    `max_hops + 1` ids and is unnested once at the end.
+    A cycle stops at the hop limit. Only rows with a parent go into a level's join, and the walk ends when none has one;
+    the path rides along as an array of at most `max_hops + 1` ids and is unnested once at the end.
     """
     links = delegations.select(F.col("delegation_id").alias("__id"), F.col("parent_delegation").alias("__up"))
     walk = delegations.select(
         F.col("delegation_id").alias("leaf_id"), F.array("delegation_id").alias("path"),
         F.col("parent_delegation").alias("up"),
     )
-    for _ in range(max_hops):
-        walk = walk.join(links, F.col("up") == F.col("__id"), "left").select(
+
+    def climb(rows: DataFrame) -> DataFrame:
+        return rows.join(links, F.col("up") == F.col("__id"), "left").select(
             "leaf_id",
             F.when(F.col("__id").isNull(), F.col("path")).otherwise(F.concat("path", F.array("__id"))).alias("path"),
             F.col("__up").alias("up"),
         )
-    return walk.select("leaf_id", F.posexplode("path").alias("hop", "delegation_id"))
+
+    return _levels(walk, climb, max_hops).select("leaf_id", F.posexplode("path").alias("hop", "delegation_id"))
+
+
+def _levels(rows: DataFrame, climb: Callable[[DataFrame], DataFrame], max_hops: int) -> DataFrame:
+    """Climb with the rows that still have an `up`, at most `max_hops` times; those without one are done and stay aside."""
+    done, rows = rows.filter(F.col("up").isNull()), rows.filter(F.col("up").isNotNull())
+    for _ in range(max_hops):
+        rows = stage(climb(rows))
+        done = done.unionByName(rows.filter(F.col("up").isNull()))
+        rows = rows.filter(F.col("up").isNotNull())
+        if rows.isEmpty():
+            return done
+    return done.unionByName(rows)
 
 
 def hop_facts(delegations: DataFrame, principals: DataFrame) -> DataFrame:
@@ -55,7 +70,7 @@ def hop_facts(delegations: DataFrame, principals: DataFrame) -> DataFrame:
     return delegations.join(disabled, "delegatee", "left")
 
 
-def chain_facts(delegations: DataFrame, principals: DataFrame, max_hops: int = MAX_DEPTH - 1) -> DataFrame:
+def chain_facts(delegations: DataFrame, principals: DataFrame, max_hops: int = WALK_HOPS) -> DataFrame:
     """Per delegation, everything its chain to the root says: scope, times, and whether it hangs together."""
     hops = stage(hop_facts(delegations, principals))  # read once per level below
     up = hops.select(
@@ -77,9 +92,10 @@ def chain_facts(delegations: DataFrame, principals: DataFrame, max_hops: int = M
         F.lit(False).alias("anc_missing"), F.lit(False).alias("anc_other_grant"),
         F.col("parent_delegation").alias("up"),
     )
-    for _ in range(max_hops):
+
+    def climb(rows: DataFrame) -> DataFrame:
         found = F.col("u_id").isNotNull()
-        chain = chain.join(up, F.col("up") == F.col("u_id"), "left").select(
+        return rows.join(up, F.col("up") == F.col("u_id"), "left").select(
             "delegation_id", "d_grant", "delegatee", "leaf_depth",
             F.when(found, F.concat("chain", F.array("u_id"))).otherwise(F.col("chain")).alias("chain"),
             F.when(found, scope_intersect("regions", "u_regions")).otherwise(F.col("regions")).alias("regions"),
@@ -97,7 +113,8 @@ def chain_facts(delegations: DataFrame, principals: DataFrame, max_hops: int = M
             ),
             F.col("u_parent").alias("up"),
         )
-    return chain.withColumn("anc_too_deep", F.col("up").isNotNull()).drop("up")
+
+    return _levels(chain, climb, max_hops).withColumn("anc_too_deep", F.col("up").isNotNull()).drop("up")
 
 
 def credentials_of(requests: DataFrame) -> DataFrame:
@@ -108,7 +125,7 @@ def credentials_of(requests: DataFrame) -> DataFrame:
 
 def credential_facts(
     credentials: DataFrame, grants: DataFrame, delegations: DataFrame, principals: DataFrame,
-    max_hops: int = MAX_DEPTH - 1,
+    max_hops: int = WALK_HOPS,
 ) -> DataFrame:
     """One row per credential whose grant exists, with every fact a decision needs."""
     granted = grants.select(
@@ -121,7 +138,11 @@ def credential_facts(
         F.col("principal_id").alias("grantee_principal"), F.col("disabled_at").alias("grantee_disabled")
     )
     facts = credentials.select(*CREDENTIAL).join(granted.join(holder, "grantee_principal", "left"), "grant_id")
-    return facts.join(chain_facts(delegations, principals, max_hops), "delegation_id", "left")
+    chains = stage(chain_facts(delegations, principals, max_hops))
+    # A direct credential has no chain: it stays out of the join, where all of these would meet under one NULL key.
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in chains.schema if f.name != "delegation_id"]
+    direct = facts.filter(F.col("delegation_id").isNull()).select("*", *none)
+    return direct.unionByName(facts.filter(F.col("delegation_id").isNotNull()).join(chains, "delegation_id", "left"))
 
 
 def _direct() -> Column:
@@ -142,7 +163,7 @@ def _fits(every_hop: bool) -> Column:
 
 def resolve(
     credentials: DataFrame, grants: DataFrame, delegations: DataFrame, principals: DataFrame,
-    *, every_hop_disabled: bool = True, max_hops: int = MAX_DEPTH - 1,
+    *, every_hop_disabled: bool = True, max_hops: int = WALK_HOPS,
 ) -> DataFrame:
     """Credentials that are ever live, with scope, chain and live interval.
 
@@ -182,7 +203,7 @@ def judge(requests: DataFrame, resolved: DataFrame, at: str = "event_ts") -> Dat
     The resolved side has one row per credential, so the left join cannot multiply requests.
     """
     scope = resolved.select(*CREDENTIAL, *[c for c in resolved.columns if c not in CREDENTIAL])
-    joined = lookup_join(requests, scope, CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["request_id"])
+    joined = lookup_join(requests, scope, CREDENTIAL, "left", null_safe=["delegation_id"])
     ok = F.coalesce(F.col("provider_org").isNotNull() & live_at(F.col(at)), F.lit(False))
     blank = [F.when(F.col("__ok"), F.col(c)).alias(c) for c in scope.columns if c not in CREDENTIAL]
     return joined.withColumn("__ok", ok).select(
@@ -202,7 +223,7 @@ def explain_outcomes(
 ) -> DataFrame:
     """First rule that refuses each request, for operators; the caller only ever learns `NO_AUTH`."""
     facts = credential_facts(credentials_of(requests), grants, delegations, principals)
-    df = lookup_join(requests, facts, CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["request_id"])
+    df = lookup_join(requests, facts, CREDENTIAL, "left", null_safe=["delegation_id"])
     t = F.col(at)
     gone = lambda c: F.coalesce(F.col(c) <= t, F.lit(False))
     direct = F.col("delegation_id").isNull()

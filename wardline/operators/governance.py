@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import grant_live, is_subset
-from wardline.operators.auth import chain_walk
+from wardline.operators.auth import live_at, resolve
 from wardline.plans.placement import lookup_join, stage
 
 
@@ -27,7 +27,7 @@ def check_grants(proposals: DataFrame, principals: DataFrame) -> DataFrame:
     """Add `reason` (NULL when acceptable): a grant goes to a known human."""
     kinds = principals.select(F.col("principal_id").alias("grantee_principal"), F.col("kind").alias("__kind"))
     return (
-        lookup_join(proposals, kinds, ["grantee_principal"], "left", salt_on=["grant_id"])
+        lookup_join(proposals, kinds, ["grantee_principal"], "left")
         .withColumn(
             "reason",
             _first_failing(
@@ -54,8 +54,8 @@ def check_approvals(commands: DataFrame, grants: DataFrame, principals: DataFram
     people = principals.select(
         F.col("principal_id").alias("approver"), F.col("kind").alias("__kind"), F.col("org_id").alias("__org")
     )
-    df = lookup_join(commands, known, ["grant_id"], "left", salt_on=["cmd_id"])
-    df = lookup_join(df, people, ["approver"], "left", salt_on=["cmd_id"])
+    df = lookup_join(commands, known, ["grant_id"], "left")
+    df = lookup_join(df, people, ["approver"], "left")
     return df.withColumn(
         "reason",
         _first_failing(
@@ -105,12 +105,12 @@ def change_events(commands: DataFrame, grants: DataFrame, action: str, delegatio
     orgs = grants.select("grant_id", "provider_org", "grantee_org")
     if delegations is not None:
         held = delegations.select("delegation_id", "grant_id", F.col("delegator").alias("acting_for"))
-        commands = lookup_join(commands, held, ["delegation_id"], salt_on=["cmd_id"])
+        commands = lookup_join(commands, held, ["delegation_id"])
     else:
         commands = commands.withColumn("acting_for", F.lit(None).cast("string")).withColumn(
             "delegation_id", F.lit(None).cast("string")
         )
-    df = lookup_join(commands, orgs, ["grant_id"], salt_on=["cmd_id"])
+    df = lookup_join(commands, orgs, ["grant_id"])
     detail = {
         "grant.approve": F.struct("grant_id", F.col("actor").alias("approver")),
         "grant.revoke": F.struct("grant_id", "reason"),
@@ -139,9 +139,9 @@ def rule_context(proposals: DataFrame, grants: DataFrame, parents: DataFrame, pr
         F.col("expires_at").alias("p_expires"), F.lit(True).alias("p_found"),
     )
     k = principals.select(F.col("principal_id").alias("delegatee"), F.col("kind").alias("delegatee_kind"))
-    df = lookup_join(proposals, g, ["grant_id"], "left", salt_on=["delegation_id"])
-    df = lookup_join(df, p, ["parent_delegation"], "left", salt_on=["delegation_id"])
-    return lookup_join(df, k, ["delegatee"], "left", salt_on=["delegation_id"])
+    df = lookup_join(proposals, g, ["grant_id"], "left")
+    df = lookup_join(df, p, ["parent_delegation"], "left")
+    return lookup_join(df, k, ["delegatee"], "left")
 
 
 def delegation_reason() -> Column:
@@ -195,46 +195,23 @@ def create_delegations(
 
 
 def cascade(
-    commands: DataFrame, grants: DataFrame, delegations: DataFrame, as_of: Column
+    commands: DataFrame, grants: DataFrame, delegations: DataFrame, principals: DataFrame, as_of: Column
 ) -> DataFrame:
     """(cmd_id, delegation_id): live delegations each command kills.
 
-    A command is (cmd_id, kind, target) with kind grant, delegation or principal. A live delegation is unnested
-    into the few things its life depends on, and those meet the commands by equality.
+    A command is (cmd_id, kind, target) with kind grant, delegation or principal. Live is what `resolve` says of the
+    delegatee's own credential. Such a delegation is unnested into the few things its life depends on: its grant, the
+    grantee, every delegation of its chain and its delegatee. These meet the commands by equality.
     """
-    from wardline.functions.scalars import hop_live
-
-    live_grants = grants.filter(grant_live("approved_at", "revoked_at", "expires_at", as_of)).select(
-        "grant_id", "grantee_principal"
-    )
-    walk = chain_walk(delegations, max_hops=2)
-    hops = lookup_join(
-        walk,
-        delegations.select(
-            "delegation_id", "delegatee", F.col("grant_id").alias("hop_grant"), "parent_delegation",
-            hop_live("revoked_at", "expires_at", as_of).alias("live"),
-        ),
-        ["delegation_id"], "left", salt_on=["leaf_id", "hop"],
-    )
-    chains = hops.groupBy("leaf_id").agg(
-        F.bool_and("live").alias("live"), F.max_by("parent_delegation", "hop").alias("open_end"),
-        F.min_by("hop_grant", "hop").alias("grant_id"), F.collect_set("delegation_id").alias("ids"),
-        F.collect_set("delegatee").alias("people"),  # at most three hops, so at most three of each
-    ).filter(F.col("live") & F.col("open_end").isNull())
-    alive = lookup_join(chains, live_grants, ["grant_id"], salt_on=["leaf_id"])
-    named = lambda kind, arr: F.transform(arr, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("target")))
-    depends = alive.select(
-        F.col("leaf_id").alias("delegation_id"),
-        F.explode(
-            F.array_distinct(
-                F.concat(
-                    named("delegation", F.col("ids")), named("principal", F.col("people")),
-                    named("principal", F.array("grantee_principal")), named("grant", F.array("grant_id")),
-                )
-            )
-        ).alias("d"),
-    ).select("delegation_id", "d.kind", "d.target")
-    hits = lookup_join(depends, commands.select("cmd_id", "kind", "target"), ["kind", "target"], salt_on=["delegation_id"])
+    own = delegations.select(F.col("delegatee").alias("subject"), "grant_id", "delegation_id")
+    live = stage(resolve(own, grants, delegations, principals).filter(live_at(as_of)).select(
+        "grant_id", "delegation_id", "acting_for", "chain"))
+    needs = lambda df, kind, target: df.select("delegation_id", F.lit(kind).alias("kind"), F.col(target).alias("target"))
+    hops = live.select("delegation_id", F.explode("chain").alias("__hop"))
+    people = lookup_join(hops, delegations.select(F.col("delegation_id").alias("__hop"), "delegatee"), ["__hop"])
+    depends = needs(hops, "delegation", "__hop").unionByName(needs(people, "principal", "delegatee")).unionByName(
+        needs(live, "principal", "acting_for")).unionByName(needs(live, "grant", "grant_id"))
+    hits = lookup_join(depends, commands.select("cmd_id", "kind", "target"), ["kind", "target"])
     return hits.select("cmd_id", "delegation_id").distinct()
 
 
@@ -277,7 +254,7 @@ def review(grants: DataFrame, delegations: DataFrame, principals: DataFrame, as_
         & F.coalesce(F.col("revoked_at") > as_of, F.lit(True))
     ).select(F.lit("expiry_far_out").alias("finding"), F.col("delegation_id").alias("item"))
     home = principals.select(F.col("principal_id").alias("grantee_principal"), F.col("org_id").alias("__home"))
-    stray = lookup_join(live, home, ["grantee_principal"], "left", salt_on=["grant_id"]).filter(
+    stray = lookup_join(live, home, ["grantee_principal"], "left").filter(
         ~F.col("__home").eqNullSafe(F.col("grantee_org"))
     ).select(F.lit("grantee_elsewhere").alias("finding"), F.col("grant_id").alias("item"))
     return personal.unionByName(far).unionByName(stray)

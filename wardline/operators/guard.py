@@ -92,7 +92,7 @@ def masked_columns(columns: Sequence[str]) -> list[Column]:
 def visible(shipments: DataFrame, auths: DataFrame) -> DataFrame:
     """Rows each credential may see, unmasked, with its capabilities: internal to this package."""
     return lookup_join(
-        ranked(shipments), scope_cells(auths), CELL, null_safe=["partner_org"], salt_on=["shipment_id"]
+        ranked(shipments), scope_cells(auths), CELL, null_safe=["partner_org"]
     )
 
 
@@ -119,7 +119,7 @@ def totals(cells: DataFrame, auths: DataFrame, *aggs: Column, keep: Sequence[str
     """Combine cells per credential. Credentials that see no row stay, with the aggregate's empty value."""
     scope = scope_cells(auths, keep=("auth_id",))
     per_auth = (
-        lookup_join(scope, cells, CELL, null_safe=["partner_org"], salt_on=["auth_id", *CELL]).groupBy("auth_id").agg(*aggs)
+        lookup_join(scope, cells, CELL, null_safe=["partner_org"]).groupBy("auth_id").agg(*aggs)
     )
     return auths.select("auth_id", *keep).join(per_auth, "auth_id", "left")
 

@@ -175,7 +175,7 @@ def ablate(shipments: DataFrame, auths: DataFrame) -> DataFrame:
         rest = [c for c in CELL if c != dropped]
         wider = scope.select("auth_id", *rest).distinct()
         safe = [c for c in rest if c == "partner_org"]
-        reach = lookup_join(wider, cells, rest, null_safe=safe, salt_on=["auth_id", *rest])
+        reach = lookup_join(wider, cells, rest, null_safe=safe)
         extra = lookup_join(reach, scope, ["auth_id", *CELL], "left_anti", null_safe=["partner_org"])
         one = extra.groupBy("auth_id").agg(F.sum("n_rows").alias("n_exposed")).withColumn("clause", F.lit(clause))
         out = one if out is None else out.unionByName(one)

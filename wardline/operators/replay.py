@@ -19,7 +19,7 @@ US = 1_000_000
 
 def _with_scope(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     keep = resolved.select(*CREDENTIAL, "opens_at", "closes_at")
-    return lookup_join(requests, keep, CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["request_id"])
+    return lookup_join(requests, keep, CREDENTIAL, "left", null_safe=["delegation_id"])
 
 
 def replay_live(requests: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def replay_cache(requests: DataFrame, resolved: DataFrame, ttl_s: int, slice_ttl
     last fill is.
     """
     fills = last_refresh(requests, resolved, ttl_s, slice_ttls)
-    df = lookup_join(_with_scope(requests, resolved), fills, CREDENTIAL, "left", null_safe=["delegation_id"], salt_on=["request_id"])
+    df = lookup_join(_with_scope(requests, resolved), fills, CREDENTIAL, "left", null_safe=["delegation_id"])
     cached = (F.col("event_ts") >= F.col("closes_at")) & (
         F.unix_micros("event_ts") < F.unix_micros("refreshed_at") + F.lit(ttl_s * US)
     )
@@ -98,13 +98,13 @@ def token_scope(delegations: DataFrame, grants: DataFrame) -> DataFrame:
     """Scope a token-only check serves: the delegation's regions under the grant's ceiling, dead or not."""
     g = grants.select("grant_id", "provider_org", "grantee_org", "max_classification")
     d = delegations.select("delegation_id", "grant_id", F.col("region_scope"))
-    return lookup_join(d, g, ["grant_id"], salt_on=["delegation_id"])
+    return lookup_join(d, g, ["grant_id"])
 
 
 def replay_inflight(requests: DataFrame, resolved: DataFrame, end: str = "end_ts") -> DataFrame:
     """Requests that were running when their authority was revoked: they started before and end after it."""
     keep = resolved.filter(F.col("revoked_at").isNotNull()).select(*CREDENTIAL, "opens_at", "closes_at", "revoked_at")
-    df = lookup_join(requests, keep, CREDENTIAL, null_safe=["delegation_id"], salt_on=["request_id"])
+    df = lookup_join(requests, keep, CREDENTIAL, null_safe=["delegation_id"])
     running = (F.col("event_ts") < F.col("revoked_at")) & (F.col(end) >= F.col("revoked_at"))
     return df.filter(live_at(F.col("event_ts")) & running).drop("opens_at", "closes_at")
 
@@ -123,7 +123,7 @@ def first_denial(judged: DataFrame, revoked: DataFrame, max_wait_s: int, by: Seq
     the columns `by`.
     """
     key = [*by, *CREDENTIAL]
-    after = lookup_join(judged, revoked, key, null_safe=["delegation_id"], salt_on=["request_id"]).filter(
+    after = lookup_join(judged, revoked, key, null_safe=["delegation_id"]).filter(
         F.col("event_ts") >= F.col("revoked_at")
     )
     nothing = ~F.col("allowed") | (F.coalesce("n_rows", F.lit(0)) == 0)
@@ -136,8 +136,7 @@ def first_denial(judged: DataFrame, revoked: DataFrame, max_wait_s: int, by: Seq
 def until_halt(judged: DataFrame, halts: DataFrame, max_wait_s: int, by: Sequence[str] = ()) -> DataFrame:
     """Per revoked credential: rows served and requests made from the revocation until the halt."""
     key = [*by, *CREDENTIAL]
-    df = lookup_join(judged, halts.select(*key, "revoked_at", "halted_at"), key, null_safe=["delegation_id"],
-                     salt_on=["request_id"])
+    df = lookup_join(judged, halts.select(*key, "revoked_at", "halted_at"), key, null_safe=["delegation_id"])
     in_wait = (F.col("event_ts") >= F.col("revoked_at")) & (
         F.unix_micros("event_ts") - F.unix_micros("revoked_at") < F.lit(max_wait_s * US)
     )

@@ -1,12 +1,7 @@
-"""Join placement: where a lookup side goes, decided by its size.
+"""Staged tables, and joins of a fact with a lookup side.
 
-`lookup_join` is for a fact (requests, shipments, audit events) against governance state. It never broadcasts on
-trust and gives no hint. If Spark's estimate of the lookup side is under the session's broadcast threshold the
-planner is left to it. Otherwise the lookup side is first written to a table in the shared folder, which gives the
-planner its real size: under the threshold Spark broadcasts it, and beyond it the fact is spread over `spread` salts
-per key with the lookup side repeated per salt, so a key that owns a third of the fact still lands on `spread` tasks.
-
-Joins among governance tables are plain joins: their keys are ids, and AQE splits a hot one.
+`lookup_join` is a plain join without hints: nothing runs while a query is built, the planner broadcasts a side whose size
+it knows to be small, and adaptive execution turns a shuffled join into a broadcast or splits a hot key from real sizes.
 """
 
 from __future__ import annotations
@@ -26,55 +21,15 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def planner_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate; None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def _too_big(df: DataFrame, limit: int) -> bool:
-    size = planner_bytes(df)
-    return size is None or size > limit
-
-
-def broadcast_threshold(df: DataFrame) -> int:
-    size = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").strip().lower()
-    units = {"k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "b": 1, "": 1}
-    digits = size.rstrip("bkmg")
-    return int(digits) * units[size[len(digits):]]
-
-
 def lookup_join(
-    fact: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    how: str = "inner",
-    *,
-    null_safe: Sequence[str] = (),
-    salt_on: Sequence[str] | None = None,
-    spread: int = 32,
+    fact: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "inner", *, null_safe: Sequence[str] = ()
 ) -> DataFrame:
-    """Join a large fact to a lookup side on shared key names; fact keys are kept, lookup keys dropped.
-
-    `how` may be inner, left, left_semi or left_anti: all keep their meaning when the lookup side is repeated.
-    `salt_on` names the fact columns that tell its rows apart.
-    """
+    """Join a fact to a lookup side on shared key names; fact keys are kept, lookup keys dropped."""
     renamed = lookup.select(
         *[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c) for c in lookup.columns if c not in keys]
     )
-    limit, salted = broadcast_threshold(fact), False
-    if _too_big(renamed, limit):
-        renamed = stage(renamed)
-        salted = _too_big(renamed, limit)
-    if salted:
-        tell_apart = list(salt_on) if salt_on else fact.columns
-        fact = fact.withColumn("__salt", F.pmod(F.xxhash64(*tell_apart), F.lit(spread)).cast("int"))
-        renamed = renamed.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-
-    condition: Column = F.col("__salt") == F.col("__salt_r") if salted else F.lit(True)
+    condition: Column = F.lit(True)
     for k in keys:
         fact_key, lookup_key = F.col(k), F.col(f"__{k}")
         condition = condition & (fact_key.eqNullSafe(lookup_key) if k in null_safe else fact_key == lookup_key)
-    return fact.join(renamed, condition, how).drop("__salt", "__salt_r", *[f"__{k}" for k in keys])
+    return fact.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])

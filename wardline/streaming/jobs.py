@@ -63,7 +63,7 @@ def seal_stream(outcomes: DataFrame, keys: DataFrame, body: Column, segment: int
     """
     prepared = lookup_join(
         outcomes.withColumn("segment", F.floor(F.col("seq") / segment)).withColumn("body", body),
-        key_pads(keys), ["kid"], "left", salt_on=["seq"],
+        key_pads(keys), ["kid"], "left",
     ).select("segment", "seq", "kid", "body", "ipad", "opad")
 
     def link(key, frames, state) -> Iterator:
