@@ -8,8 +8,9 @@
    indexed alone. If all they share there are frequent, the prefix is extended: two such sets of n shingles differ in at
    most n / 4 of them, so of the first n / 4 + 2 shingles that they share, two stand side by side in both. These pairs of
    neighbours (2-token combinations) are indexed in place of single frequent shingles.
-4. Every class with an index key is compared with the least class of that key (a star, not all pairs), exactly, on whole
-   sets. Linked classes get a component. Keys whose classes all lie in one component are done; once more a star is
+4. Every class with an index key is paired with the least and the greatest class of that key (stars, not all pairs). Pairs
+   that cannot be similar go: by their sizes, then by bitmaps of the sets, whose differing bits bound the overlap from above.
+   The rest is compared exactly, on whole sets. Linked classes get a component. Keys whose classes all lie in one component are done; once more a star is
    drawn between components, and what then still spans components is compared pair by pair.
    Only pairs inside a component stay uncompared, and these change nothing.
 
@@ -20,22 +21,24 @@ other columns are not looked at. Classes and shingles are told apart by 64-bit h
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.components import components
-from wardline.llm.ngrams import WordHashes, set_key, shingles, spread
+from wardline.llm.ngrams import set_key, shingle_sets, spread
 from wardline.llm.text import discard, stage
 
 PERCENT = 80
 FREQUENT = 64
-MOST_FREQUENT = 500_000
+MOST_FREQUENT = 250_000
 STARS = 2
 ROWS = 200_000
+BITMAP = 32  # words of 64 bits
+SEEN = 200_000
 
 
 def prefix(n: int) -> int:
@@ -48,103 +51,104 @@ def reach(n: int) -> int:
     return min(n, prefix(n) - 1 + n // 4 + 2)
 
 
-def sketch(texts: Callable[[pa.RecordBatch], list], emit: Callable) -> Callable:
-    """An Arrow job that gives `emit` the shingle set of each text and yields its columns in batches of bounded size."""
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, state = WordHashes(), {}
-        for batch in batches:
-            rows = []
-            n = 0
-            for i, text in enumerate(texts(batch)):
-                out = emit(batch, i, shingles(text, hashes), state)
-                if out is not None:
-                    rows.append(out)
-                    n += len(out[0])
-                if n >= ROWS:
-                    yield _batch(rows)
-                    rows, n = [], 0
-            if rows:
-                yield _batch(rows)
-
-    return job
-
-
-def _batch(rows: list) -> pa.RecordBatch:
-    columns = [np.concatenate([r[k] for r in rows]) for k in range(len(rows[0]))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f"c{k}" for k in range(len(columns))])
-
-
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column("text").to_pylist()
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that fall on each bit. Sets that differ in d shingles differ in at most d bits."""
+    bits = np.bincount((found >> np.uint64(20)) & np.uint64(BITMAP * 64 - 1), minlength=BITMAP * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (hash of the text), n_shingles, node (the set's key; null for an empty set)."""
+    """doc_id, text_key (hash of the text), n_shingles, node (the set's key) and bits (its bitmap), null for an empty set."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t, hashes) for t in _texts(batch)]
+            n, nodes, bits = np.zeros(len(batch), np.int64), [], []
+            for i, found in shingle_sets(batch.column("text")):
+                n[i] = len(found)
+                nodes.append(set_key(found) if len(found) else None)
+                bits.append(bitmap(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
-            ], names=["doc_id", "text_key", "n_shingles", "node"])
+                batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(nodes, pa.int64()),
+                pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "node", "bits"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        job, "doc_id long, text_key long, n_shingles long, node long")
+        job, "doc_id long, text_key long, n_shingles long, node long, bits array<long>")
 
 
-def _once(state: dict, node: int) -> bool:
-    """Whether this task meets the class for the first time; forgets when it has met many."""
-    seen = state.setdefault("seen", set())
-    if node in seen:
-        return False
-    if len(seen) >= 1_000_000:
-        seen.clear()
-    seen.add(node)
-    return True
+def _fresh(texts: pa.Array, seen: set) -> Iterator[tuple[int, np.ndarray]]:
+    """(node, set) of the classes that the task has not met lately; the same class from elsewhere does no harm."""
+    for _, found in shingle_sets(texts):
+        if len(found):
+            node = set_key(found)
+            if node not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                yield node, found
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The most frequent shingles, at most MOST_FREQUENT: counted over the first three tenths (by hash) of every set."""
 
-    def emit(batch, i, found, state):
-        if len(found) and _once(state, set_key(found)):
-            return (found[: 3 * len(found) // 10 + 1].view(np.int64),)
-        return None
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = set(), [], 0
 
-    rows = docs.select("text").mapInArrow(sketch(_texts, emit), "c0 long")
-    top = rows.groupBy("c0").agg(F.count("*").alias("n")).filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "c0").limit(MOST_FREQUENT)
-    return np.sort(np.array([r.c0 for r in top.select("c0").toLocalIterator()], dtype=np.int64).view(np.uint64))
+        def flush() -> pa.RecordBatch:
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int32))], names=["shingle", "n"])
+
+        for batch in batches:
+            for _, found in _fresh(batch.column("text"), seen):
+                held.append(found[: 3 * len(found) // 10 + 1])
+                size += len(held[-1])
+                if size >= 5 * ROWS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    rows = docs.select("text").mapInArrow(job, "shingle long, n int").repartition("shingle")  # counts are partial already
+    top = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
+    found = top.select("shingle").toPandas()["shingle"].to_numpy(np.int64)
+    return np.sort(found.view(np.uint64))
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(sig, node, n): index keys of every class, single rare shingles and pairs of neighbouring frequent ones."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def emit(batch, i, found, state):
-        n = len(found)
-        if not n:
-            return None
-        node = set_key(found)
-        if not _once(state, node):
-            return None
-        order = shared.value
+    def keys_of(found: np.ndarray, order: np.ndarray) -> np.ndarray:
+        n, rare, common = len(found), found, found[:0]
         if len(order):
-            at = np.searchsorted(order, found)
-            often = order[np.minimum(at, len(order) - 1)] == found
+            often = order[np.minimum(np.searchsorted(order, found), len(order) - 1)] == found
             rare, common = found[~often], found[often]
-        else:
-            rare, common = found, found[:0]
-        sigs = rare[: prefix(n)]
+        keys = rare[: prefix(n)]
         if len(rare) < prefix(n):
             run = common[: reach(n) - len(rare)]
-            sigs = np.concatenate([sigs, spread(run[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ run[1:])])
-        return sigs.view(np.int64), np.full(len(sigs), node, np.int64), np.full(len(sigs), n, np.int32)
+            keys = np.concatenate([keys, spread(run[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ run[1:])])
+        return keys
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, seen, held, size = shared.value, set(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([k for k, _, _ in held]).view(np.int64)),
+                pa.array(np.concatenate([np.full(len(k), node, np.int64) for k, node, _ in held])),
+                pa.array(np.concatenate([np.full(len(k), n, np.int32) for k, _, n in held])),
+            ], names=["sig", "node", "n"])
+
+        for batch in batches:
+            for node, found in _fresh(batch.column("text"), seen):
+                held.append((keys_of(found, order), node, len(found)))
+                size += len(held[-1][0])
+                if size >= ROWS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
-    return docs.select("text").mapInArrow(sketch(_texts, emit), "c0 long, c1 long, c2 int").select(
-        F.col("c0").alias("sig"), F.col("c1").alias("node"), F.col("c2").alias("n"))
+    return docs.select("text").mapInArrow(job, "sig long, node long, n int")
 
 
 def comparable(n: str, m: str) -> Column:
@@ -154,48 +158,50 @@ def comparable(n: str, m: str) -> Column:
 
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the classes in `nodes`, from one document of each. Documents that cannot be one of these are
-    left out by a bitmap of fixed size before anything is shuffled."""
+    left out by a bitmap of fixed size (1 MB, so it may be broadcast) before anything is shuffled."""
     wanted = stage(classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("node", "_id"))
     ids = wanted.select(F.col("_id").alias("_want")).distinct()
-    width = 1 << 17  # words of 64 bits: one bitmap of 1 MB
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(width * 64))
-    words = ids.select(place("_want").alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    bitmap = np.zeros(width, np.int64)
-    for r in words.toLocalIterator():
-        bitmap[r.w] = r.bits
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8))
-
-    def pass_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            p = batch.column("p").to_numpy(zero_copy_only=False)
-            keep = (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(keep.astype(bool)))
-
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("p", place("doc_id"))
-    some = some.mapInArrow(pass_wanted, "doc_id long, text string, p long")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
+    marks = ids.select(place("_want").alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
+    marks = F.broadcast(stage(marks))
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_p", place("doc_id"))
+    some = some.join(marks, F.shiftright("_p", 6) == F.col("_word")).filter(
+        F.expr("shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1 = 1"))
     some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_want"))).select("text")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for text in _texts(batch):
-                found = shingles(text, hashes)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([set_key(found)], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))],
-                        names=["node", "shingles"])
+            held, size = [], 0
+            for node, found in _fresh(batch.column("text"), set()):
+                held.append((node, found.view(np.int64)))
+                size += len(found)
+                if size >= ROWS:
+                    yield pa.RecordBatch.from_pydict({"node": [a for a, _ in held], "shingles": [b for _, b in held]})
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_pydict({"node": [a for a, _ in held], "shingles": [b for _, b in held]})
 
     found = some.mapInArrow(job, "node long, shingles array<long>")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose bitmaps allow the similarity: twice the overlap is at most both sizes less the differing bits."""
+    side = lambda c, k: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    differ = F.aggregate(F.zip_with("bits_x", "bits_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, k: s + k)
+    sizes = F.col("n_x") + F.col("n_y")
+    overlap = (sizes - differ) / 2
+    return both.filter((100 + PERCENT) * overlap >= PERCENT * sizes).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, compared exactly."""
+    pairs = stage(possible(pairs, classes))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stage(sets_of(docs, classes, nodes))
-    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +214,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     links = stage(both.select("a", "b", "x", "y").mapInArrow(job, "a long, b long"))
-    discard(sets)
+    discard(sets, pairs)
     return links
 
 
@@ -228,20 +234,19 @@ def all_pairs(open_rows: DataFrame) -> DataFrame:
     return x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & comparable("na", "nb")).select("a", "b").distinct()
 
 
-def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, label): components of the classes that are linked with another class."""
-    sigs = signatures(docs, frequent_shingles(docs))
+def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(node, label): components of the classes (node, n, bits, doc_id) that are linked with another class; None if none is."""
+    by_key = Window.partitionBy("sig")
+    keys = signatures(docs, frequent_shingles(docs)).withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
     # A key met by one class only joins nothing; the others are the index.
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("sig")
-    index = stage(sigs.join(shared, "sig", "left_semi").distinct().withColumn("label", F.col("node")))
+    index = stage(keys.filter("lo <> hi").select("sig", "node", "n").distinct())
     links, labels, tried = None, None, None
     for turn in range(STARS + 1):
-        rows = index
+        rows = index.withColumn("label", F.col("node"))
         if labels is not None:
-            rows = index.drop("label").join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn(
+            rows = index.join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn(
                 "label", F.coalesce("known", "node")).drop("known")
-            spans = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-            rows = rows.join(spans, "sig", "left_semi")
+        rows = rows.withColumns({"lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)}).filter("lo <> hi")
         pairs = star_pairs(rows) if turn < STARS else all_pairs(rows)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
@@ -251,15 +256,17 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         found = verified(pairs, docs, classes)
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
-        labels = stage(components(links))
+        if labels is None or not found.isEmpty():
+            labels = stage(components(links))
     return labels
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, label (of its component; null for an empty set), component_id."""
     classes = stage(classes_of(docs))
-    ids = classes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    labels = linked(docs, ids.select("node", F.col("least").alias("doc_id")))
+    ids = stage(classes.filter("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")))
+    labels = linked(docs, ids.withColumnRenamed("least", "doc_id"))
     if labels is None:
         ids = ids.select(F.col("node").alias("_node"), F.col("node").alias("label"), F.col("least").alias("component_id"))
     else:
@@ -267,7 +274,7 @@ def grouped(docs: DataFrame) -> DataFrame:
             "label", F.coalesce("label", "node"))
         lowest = tied.groupBy("label").agg(F.min("least").alias("component_id"))
         ids = tied.join(lowest, "label").select(F.col("node").alias("_node"), "label", "component_id")
-    return classes.join(stage(ids), F.col("node") == F.col("_node"), "left").drop("_node", "node")
+    return classes.drop("bits").join(stage(ids), F.col("node") == F.col("_node"), "left").drop("_node", "node")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -26,16 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.ngrams import WordHashes, spread, word_list
+from wardline.llm.ngrams import spread, with_ends, word_hashes
 from wardline.llm.text import stage
 
 CONTEXTS = 16
 BITS = 5  # of a key that hold the context
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 SWEEPS = 3
 STRENGTH = 1.0
 EXACT_SEATS = 64
-TOKENS = 2_000_000
+TOKENS = 3_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -89,12 +89,10 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def token_ids(texts: list, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all tokens of the texts, each text closed by the end (the empty word), and the tokens per text."""
-    found = [word_list(t) for t in texts]
-    lengths = np.array([len(w) + 1 for w in found], np.int64)
-    flat = np.fromiter((hashes[w] for ws in found for w in (*ws, b"")), np.uint64, int(lengths.sum()))
-    return flat >> np.uint64(BITS), lengths
+def token_ids(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word ids of all tokens, tokens per text) for each slice of a column; every text is closed by the end."""
+    for first, h, counts in word_hashes(texts):
+        yield first, with_ends(h, counts) >> np.uint64(BITS), counts + 1
 
 
 def with_context(ids: np.ndarray, lengths: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -113,14 +111,15 @@ def frequent_words(docs: DataFrame, number: int = CONTEXTS) -> np.ndarray:
     """Ids of the most frequent training words, from the thousand most frequent ones of every task."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, n = WordHashes(), np.empty(0, np.uint64), np.empty(0)
+        ids, n = np.empty(0, np.uint64), np.empty(0)
         for batch in batches:
-            new, _ = token_ids(batch.column("text").to_pylist(), hashes)
-            ids, at = np.unique(np.concatenate([ids, new]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([n, np.ones(len(new))]), minlength=len(ids))
-            if len(ids) > TOKENS:  # the rare ones are of no use here
-                keep = n > 1
-                ids, n = ids[keep], n[keep]
+            for _, new, _ in token_ids(batch.column("text")):
+                new, new_n = np.unique(new, return_counts=True)
+                ids, at = np.unique(np.concatenate([ids, new]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([n, new_n]), minlength=len(ids))
+                if len(ids) > TOKENS // 4:  # the rare ones are of no use here
+                    keep = n > np.median(n)
+                    ids, n = ids[keep], n[keep]
         top = np.argsort(-n, kind="stable")[:1000]
         yield pa.RecordBatch.from_arrays([pa.array(ids[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["id", "n"])
 
@@ -133,25 +132,25 @@ def word_counts(docs: DataFrame, contexts: np.ndarray) -> DataFrame:
     """One row per word: id, c and total (count in training texts and in all), us and cs (contexts and training counts in them)."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             keys = np.concatenate([k for k, _ in held])
             u, at = np.unique(keys, return_inverse=True)
-            c = np.bincount(at, weights=np.concatenate([w for _, w in held]), minlength=len(u))
+            c = np.bincount(at, weights=np.concatenate([w for _, w in held]).astype(np.float64), minlength=len(u))
             total = np.bincount(at, minlength=len(u))
             return pa.RecordBatch.from_arrays([
                 pa.array((u >> np.uint64(BITS)).view(np.int64)), pa.array((u & np.uint64((1 << BITS) - 1)).astype(np.int32)),
                 pa.array(c.astype(np.int64)), pa.array(total.astype(np.int64))], names=["id", "u", "c", "total"])
 
         for batch in batches:
-            ids, lengths = token_ids(batch.column("text").to_pylist(), hashes)
             trains = ~batch.column("held").to_numpy(zero_copy_only=False)
-            held.append((with_context(ids, lengths, contexts), np.repeat(trains.astype(np.float64), lengths)))
-            size += len(ids)
-            if size >= TOKENS:
-                yield flush()
-                held, size = [], 0
+            for first, ids, lengths in token_ids(batch.column("text")):
+                held.append((with_context(ids, lengths, contexts), np.repeat(trains[first : first + len(lengths)], lengths)))
+                size += len(ids)
+                if size >= TOKENS:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
@@ -299,10 +298,8 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, base, lp, known = lookup.value
-        hashes = WordHashes()
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, lengths = token_ids(batch.column("text").to_pylist(), hashes)
+        for batch, first, ids, lengths in ((b, *t) for b in batches for t in token_ids(b.column("text"))):
             flat = with_context(ids, lengths, contexts)
             docs_here = len(lengths)
             owner = np.repeat(np.arange(docs_here), lengths)
@@ -326,7 +323,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
                 join(rows, (far_key >> np.uint64(BITS)).view(np.int64), np.int64),
                 join(np.zeros(docs_here), far_key & np.uint64((1 << BITS) - 1), np.int32),
                 join(np.zeros(docs_here), times, np.int64),
-                pa.chunked_array([batch.column("doc_id").cast(pa.int64()), pa.nulls(len(times), pa.int64())]).combine_chunks(),
+                pa.chunked_array([batch.column("doc_id").slice(first, docs_here).cast(pa.int64()), pa.nulls(len(times), pa.int64())]).combine_chunks(),
                 join(lengths, none, np.int64), join(add(known), none, np.int64),
                 join(add(base), none, np.float64), join(add(lp), none, np.float64),
             ], names=["row", "id", "u", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"])
