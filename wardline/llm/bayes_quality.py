@@ -74,7 +74,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The bounded sample of labelled documents with their texts."""
     sample = labels.filter(" and ".join(f"{h} in (0, 1)" for h in HEADS)).orderBy(F.xxhash64("doc_id"), "doc_id", *HEADS).limit(TRAIN)
     sample = stage(sample.select(F.col("doc_id").alias("_id"), *[F.col(h).cast("int").alias(h) for h in HEADS]))
-    return docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", *HEADS)  # at most TRAIN rows
+    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", *HEADS)  # at most TRAIN rows
 
 
 def telling_words(rows: DataFrame, head: str) -> list[str]:

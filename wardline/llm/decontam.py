@@ -20,7 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.text import body, let, stage, words
+from wardline.llm.text import body, let, packed, stage, words
 
 SHINGLE = 5
 PERCENT = 80
@@ -181,5 +181,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item."""
     rows = stage(contaminated(docs, benchmark).select("_row").distinct())
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text"))
-    return keyed.join(rows, F.col("_key") == F.col("_row"), "left_anti").select(*docs.columns)
+    small, unpacked = packed(docs, ("doc_id", "text"))
+    keyed = small.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text"))
+    return unpacked(keyed.join(rows, F.col("_key") == F.col("_row"), "left_anti"))

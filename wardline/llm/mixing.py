@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.text import WORD, body, stage
+from wardline.llm.text import WORD, body, packed, stage
 
 WEIGHTS = (3, 1, 2)
 BUDGET = Fraction(3, 2)
@@ -186,9 +186,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     decided = stage(mix(docs).filter("copies > 0").groupBy("doc_id", "source", "size").agg(
         *[F.first(c).alias(c) for c in made[1:]]))
     decided = decided.withColumnsRenamed({"doc_id": "_d", "source": "_source", "size": "_z"})
-    keep = [c for c in docs.columns if c not in made]
-    sized_docs = docs.select(*keep).withColumn("size", F.regexp_count(body("text"), F.lit(WORD)).cast("long"))
-    return sized_docs.join(
-        decided,
-        F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_z")),
-    ).select(*keep, *made)
+    small, unpacked = packed(docs.drop(*made), ("doc_id", "source", "text"))
+    sized_docs = small.withColumn("size", F.regexp_count(body("text"), F.lit(WORD)).cast("long"))
+    joined = sized_docs.join(
+        decided, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_z")))
+    return unpacked(joined, *made)

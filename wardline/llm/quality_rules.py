@@ -10,7 +10,7 @@ Only lines over the limit are joined back to the documents, never the lines of a
 shuffle, so one line in every document, or one host with most documents, costs a task no more than any other.
 
 A null text is empty and has no words; a null source is a host of its own. Repeated rows are judged alike. An empty table
-gives an empty result. Working columns start with an underscore; columns of the input of other names are kept.
+gives an empty result. Only doc_id, source, text and n_chars are looked at; `cleaned` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.text import body, let, stage, words
+from wardline.llm.text import body, let, packed, stage, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -131,8 +131,8 @@ def removals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """`docs` with the counts, `base_failed`, `n_removed_words`, `kept` and `_places` of the removed lines."""
-    keyed = with_row_key(docs)
+    """doc_id, source and text with the counts, `base_failed`, `n_removed_words`, `kept` and `_places` of the removed lines."""
+    keyed = with_row_key(docs.select(*[c for c in ("doc_id", "source", "text", "n_chars", "_rest") if c in docs.columns]))
     gone = stage(removals(keyed, limits))
     left = measures(keyed, limits).join(gone.withColumnRenamed("_row", "_gone"), F.col("_row") == F.col("_gone"), "left")
     removed = F.coalesce("_removed", F.lit(0)).cast("long")
@@ -142,6 +142,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents kept, without the lines over the limit, with the columns of `docs`; n_chars follows the text."""
+    docs, unpacked = packed(docs, ("doc_id", "source", "text", "n_chars"))
     judged = judge(docs, limits).filter("kept")
 
     def drop_lines(lines: Column) -> Column:
@@ -162,4 +163,4 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(
             F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return unpacked(out)

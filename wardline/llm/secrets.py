@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.text import body, let
+from wardline.llm.text import body, let, packed
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -155,6 +155,7 @@ def listed(kinds: tuple[str, ...], prefix: str = "spans_") -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """`docs` with every span replaced by `mark`; overlapping spans become one mark. Texts without
     spans stay as they are; n_chars follows the text."""
+    docs, unpacked = packed(docs, (text, "n_chars"))
     found = scan(docs, text)
     spans = [f"spans_{k}" for k in KINDS]
     whole = F.array_sort(F.concat(*[F.transform(F.col(s), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for s in spans]))
@@ -174,4 +175,4 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
     out = found.withColumn(text, F.when(changed, cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return unpacked(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from wardline.plans.placement import stage
 from wardline.session import scratch, shared_dir
 
-__all__ = ["BLANKS", "WORD", "body", "let", "read", "scratch", "shared_dir", "stage", "words", "discard"]
+__all__ = ["BLANKS", "WORD", "body", "let", "read", "scratch", "shared_dir", "stage", "words", "discard", "packed", "release"]
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -45,3 +46,20 @@ def discard(*frames: DataFrame) -> None:
             if shared_dir(spark).removeprefix("file://").rstrip("/") in root:
                 path = jvm.org.apache.hadoop.fs.Path(root)
                 path.getFileSystem(conf).delete(path, True)
+
+
+def packed(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """`docs` with the columns in `used` and all others put away in one, so that no name of theirs can clash, and the way back."""
+    rest = [c for c in docs.columns if c not in used]
+    small = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in used], F.struct(F.lit(0), *[F.col(f"`{c}`") for c in rest]).alias("_rest"))
+
+    def unpacked(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col("_rest").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns], *more)
+
+    return small, unpacked
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are staged: it does so when its driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
