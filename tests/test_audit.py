@@ -87,7 +87,7 @@ def test_seal_matches_plain_hmac(sealed):
 
 
 def test_untouched_trail_verifies(sealed, keys):
-    assert tuple(audit.verify_chain(sealed, keys).first()) == (8, None)
+    assert tuple(audit.verify_chain(sealed, audit.heads(sealed), keys).first()) == (8, None)
 
 
 @pytest.mark.parametrize("column,value", [
@@ -96,17 +96,38 @@ def test_untouched_trail_verifies(sealed, keys):
 ])
 def test_an_edit_is_found_at_its_row(sealed, keys, column, value):
     edited = sealed.withColumn(column, F.when(F.col("seq") == 2, F.lit(value)).otherwise(F.col(column)))
-    assert audit.verify_chain(edited, keys).first().first_bad_seq == 2
+    assert audit.verify_chain(edited, audit.heads(sealed), keys).first().first_bad_seq == 2
 
 
 def test_deletions(sealed, keys):
     middle = sealed.filter("seq <> 2")
-    assert audit.verify_chain(middle, keys).first().first_bad_seq == 3
     anchored = audit.heads(sealed)
+    assert audit.verify_chain(middle, anchored, keys).first().first_bad_seq == 3
     tail, segment = sealed.filter("seq <> 9"), sealed.filter("segment <> 0")
-    assert audit.verify_chain(tail, keys).first().first_bad_seq is None  # invisible to the chain alone
-    assert [r.segment for r in audit.missing_tails(tail, anchored).collect()] == [2]
+    assert audit.verify_chain(tail, anchored, keys).first().first_bad_seq is None  # no row is left that could show it
+    assert [(r.segment, r.n_missing) for r in audit.missing_tails(tail, anchored).collect()] == [(2, 1)]
     assert [r.segment for r in audit.missing_tails(segment, anchored).collect()] == [0]
+    assert audit.verify_chain(segment, anchored, keys).first().first_bad_seq == 4
+    assert audit.verify_chain(sealed.filter("segment <> 1"), anchored, keys).first().first_bad_seq == 8
+    ends = [r.last_seq for r in anchored.collect() if r.segment < 2]
+    assert audit.verify_chain(sealed.filter(~F.col("seq").isin(ends)), anchored, keys).first().first_bad_seq == 4
+
+
+def test_batches_seal_like_one(day, keys, sealed):
+    done = None
+    for part in ("seq < 3", "seq between 3 and 6", "seq > 6"):
+        batch = stage(audit.seal(day[0].filter(part), keys, 4, anchored=audit.heads(done) if done is not None else None))
+        done = batch if done is None else done.unionByName(batch)
+    assert sorted((r.seq, r.hash) for r in done.collect()) == sorted((r.seq, r.hash) for r in sealed.collect())
+    assert audit.verify_chain(done, audit.heads(done), keys).first().first_bad_seq is None
+
+
+def test_edited_heads_do_not_fit_their_seals(sealed, keys):
+    anchored = audit.heads(sealed)
+    seals = stage(audit.seal_heads(anchored, keys, 4))
+    assert audit.bad_heads(anchored, seals, keys, 4).isEmpty()
+    edited = anchored.withColumn("last_hash", F.when(F.col("segment") == 1, F.lit("00")).otherwise(F.col("last_hash")))
+    assert {(r.level, r.segment) for r in audit.bad_heads(edited, seals, keys, 4).collect()} == {(1, 0), (2, 0), (3, 0)}
 
 
 def test_top_hash_covers_all_heads(sealed, keys):
@@ -119,9 +140,9 @@ def test_key_rotation_verifies_by_segment(day, keys):
     rotated = day[0].withColumn("kid", F.when(F.col("seq") < 4, "default").otherwise("k2"))
     sealed = stage(audit.seal(rotated, keys, 4))
     spoiled = sealed.withColumn("kid", F.lit("default"))
-    per = {r.kid: (r.checked, r.first_bad_seq) for r in audit.verify_chain(sealed, keys, ["kid"]).collect()}
+    per = {r.kid: (r.checked, r.first_bad_seq) for r in audit.verify_chain(sealed, audit.heads(sealed), keys, ["kid"]).collect()}
     assert per == {"default": (3, None), "k2": (5, None)}
-    assert audit.verify_chain(spoiled, keys).first().first_bad_seq == 4
+    assert audit.verify_chain(spoiled, audit.heads(sealed), keys).first().first_bad_seq == 4
 
 
 def test_two_sides_see_their_own(spark, day):

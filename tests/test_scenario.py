@@ -108,9 +108,12 @@ def test_three_hops_empty_scope_cycle_and_missing_parent(spark, world, now):
     ])
     who = auths(w, creds(spark, *[("mr-agent-x", "g-main", d) for d in ("d3", "d-apac", "c1", "lost")], ("mr-agent-1", "g-main", "d4")), now)
     got = {r.delegation_id: (r.region_scope, r.chain_depth, r.chain) for r in who.collect()}
-    assert got == {"d3": (["EU"], 3, ["d3", "d-agent2", "d-agent1"]), "d-apac": ([], 1, ["d-apac"])}
+    assert got == {
+        "d3": (["EU"], 3, ["d3", "d-agent2", "d-agent1"]), "d-apac": ([], 1, ["d-apac"]),
+        "d4": (["EU"], 4, ["d4", "d3", "d-agent2", "d-agent1"]),  # deeper than the rules create, but whole
+    }
     counts = {r.auth_id: r.n_rows for r in guard.visible_counts(w["shipment"], who).collect()}
-    assert sorted(counts.values()) == [0, 5]  # authorised with nothing to see is not a refusal
+    assert sorted(counts.values()) == [0, 5, 5]  # authorised with nothing to see is not a refusal
 
 
 def test_chain_walk_stops_at_the_hop_limit(spark, world):

@@ -78,43 +78,64 @@ def sink_trail_csv(c: Context):
 
 
 # --- data quality ----------------------------------------------------------
-@query("dq_unique", """
-SELECT 'orders' AS table_name, CAST(o_orderkey AS VARCHAR) AS key, count(*) AS n FROM orders GROUP BY o_orderkey HAVING count(*) > 1
-UNION ALL SELECT 'principal', principal_id, count(*) FROM gov_principal GROUP BY 2 HAVING count(*) > 1
-UNION ALL SELECT 'grant_holder_org', grantee_org, count(*) FROM gov_grant GROUP BY 2 HAVING count(*) > 1""")
-def dq_unique(c: Context):
-    checks = {
-        "orders": (c.base["orders"], "o_orderkey"), "principal": (c.principals, "principal_id"),
-        "grant_holder_org": (c.grants, "grantee_org"),
+# Keys, each checked over its table with some rows put in twice.
+_KEYS = [
+    ("orders", "o_orderkey"), ("gov_principal", "principal_id"), ("gov_shipment", "shipment_id"), ("gov_grant", "grant_id"),
+    ("gov_delegation", "delegation_id"), ("gov_request", "request_id"), ("gov_key", "kid"),
+]
+_TWICE, _LOST = "%77", "%7"
+
+
+def _tables(c: Context):
+    return {
+        "orders": c.base["orders"], "gov_principal": c.principals, "gov_shipment": c.shipments, "gov_grant": c.grants,
+        "gov_delegation": c.delegations, "gov_request": c.requests, "gov_key": c.keys,
+        "org": c.principals.select("org_id").distinct(),
     }
-    out = None
-    for name, (df, key) in checks.items():
-        one = quality.dup_keys(df, key).select(F.lit(name).alias("table_name"), F.col("key").cast("string").alias("key"), "n")
+
+
+@query("dq_unique", " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, CAST({k} AS VARCHAR) AS key, count(*) AS n
+  FROM (SELECT {k} FROM {t} UNION ALL SELECT {k} FROM {t} WHERE CAST({k} AS VARCHAR) LIKE '{_TWICE}') GROUP BY {k} HAVING count(*) > 1"""
+    for t, k in _KEYS))
+def dq_unique(c: Context):
+    tables, out = _tables(c), None
+    for name, key in _KEYS:
+        rows = tables[name].select(key)
+        planted = rows.unionByName(rows.filter(F.col(key).cast("string").like(_TWICE)))
+        one = quality.dup_keys(planted, key).select(F.lit(name).alias("table_name"), F.col("key").cast("string").alias("key"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("dq_references", """
-SELECT 'delegation.parent' AS reference, delegation_id AS item FROM gov_delegation d
-  WHERE parent_delegation IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gov_delegation p WHERE p.delegation_id = d.parent_delegation)
-UNION ALL SELECT 'delegation.grant', delegation_id FROM gov_delegation d
-  WHERE NOT EXISTS (SELECT 1 FROM gov_grant g WHERE g.grant_id = d.grant_id)
-UNION ALL SELECT 'principal.owner', principal_id FROM gov_principal d
-  WHERE owner_principal IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gov_principal p WHERE p.principal_id = d.owner_principal)
-UNION ALL SELECT 'request.grant', CAST(request_id AS VARCHAR) FROM gov_request d
-  WHERE NOT EXISTS (SELECT 1 FROM gov_grant g WHERE g.grant_id = d.grant_id)""")
+# References, each checked against its parent table with some rows taken out.
+_REFERENCES = [
+    ("gov_principal", "org_id", "org", "org_id", "principal_id"), ("gov_principal", "owner_principal", "gov_principal", "principal_id", "principal_id"),
+    ("gov_shipment", "owner_org", "org", "org_id", "shipment_id"), ("gov_shipment", "partner_org", "org", "org_id", "shipment_id"),
+    ("gov_grant", "provider_org", "org", "org_id", "grant_id"), ("gov_grant", "grantee_org", "org", "org_id", "grant_id"),
+    ("gov_grant", "grantee_principal", "gov_principal", "principal_id", "grant_id"), ("gov_grant", "approved_by", "gov_principal", "principal_id", "grant_id"),
+    ("gov_delegation", "grant_id", "gov_grant", "grant_id", "delegation_id"), ("gov_delegation", "delegator", "gov_principal", "principal_id", "delegation_id"),
+    ("gov_delegation", "delegatee", "gov_principal", "principal_id", "delegation_id"),
+    ("gov_delegation", "parent_delegation", "gov_delegation", "delegation_id", "delegation_id"),
+    ("gov_request", "grant_id", "gov_grant", "grant_id", "request_id"), ("gov_request", "delegation_id", "gov_delegation", "delegation_id", "request_id"),
+    ("gov_request", "subject", "gov_principal", "principal_id", "request_id"),
+]
+
+
+def _parent(table: str, pk: str) -> str:
+    source = "gov_principal" if table == "org" else table
+    return f"(SELECT DISTINCT {pk} AS pk FROM {source} WHERE {pk} NOT LIKE '{'%3' if table == 'org' else _LOST}')"
+
+
+@query("dq_references", " UNION ALL ".join(
+    f"""SELECT '{t}.{fk}' AS reference, CAST({item} AS VARCHAR) AS item FROM {t} WHERE {fk} IS NOT NULL AND {fk} NOT IN {_parent(parent, pk)}"""
+    for t, fk, parent, pk, item in _REFERENCES))
 def dq_references(c: Context):
-    checks = [
-        ("delegation.parent", c.delegations, "parent_delegation", c.delegations, "delegation_id", "delegation_id"),
-        ("delegation.grant", c.delegations, "grant_id", c.grants, "grant_id", "delegation_id"),
-        ("principal.owner", c.principals, "owner_principal", c.principals, "principal_id", "principal_id"),
-        ("request.grant", c.requests, "grant_id", c.grants, "grant_id", "request_id"),
-    ]
-    out = None
-    for name, child, fk, parent, pk, item in checks:
-        one = quality.orphans(child, fk, parent, pk).select(
-            F.lit(name).alias("reference"), F.col(item).cast("string").alias("item")
-        )
+    tables, out = _tables(c), None
+    for child, fk, parent, pk, item in _REFERENCES:
+        left = tables[parent].filter(~F.col(pk).like("%3" if parent == "org" else _LOST))
+        one = quality.orphans(tables[child], fk, left, pk).select(
+            F.lit(f"{child}.{fk}").alias("reference"), F.col(item).cast("string").alias("item"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -125,7 +146,14 @@ UNION ALL SELECT 'agent_has_owner', count(*) FILTER (WHERE kind = 'agent' AND ow
 UNION ALL SELECT 'depth', count(*) FILTER (WHERE NOT depth BETWEEN 1 AND 3) FROM gov_delegation
 UNION ALL SELECT 'first_hop_has_no_parent', count(*) FILTER (WHERE depth = 1 AND parent_delegation IS NOT NULL) FROM gov_delegation
 UNION ALL SELECT 'classification', count(*) FILTER (WHERE NOT coalesce(classification IN ('public', 'internal', 'restricted'), true)) FROM gov_shipment
-UNION ALL SELECT 'partner_present', count(*) FILTER (WHERE partner_org IS NULL) FROM gov_shipment""")
+UNION ALL SELECT 'partner_present', count(*) FILTER (WHERE partner_org IS NULL) FROM gov_shipment
+UNION ALL SELECT 'owner_present', count(*) FILTER (WHERE owner_org IS NULL) FROM gov_shipment
+UNION ALL SELECT 'ceiling', count(*) FILTER (WHERE NOT coalesce(max_classification IN ('public', 'internal', 'restricted'), true)) FROM gov_grant
+UNION ALL SELECT 'low_ceiling', count(*) FILTER (WHERE max_classification = 'public') FROM gov_grant
+UNION ALL SELECT 'approved', count(*) FILTER (WHERE approved_at IS NULL) FROM gov_grant
+UNION ALL SELECT 'decision', count(*) FILTER (WHERE NOT coalesce(decision IN ('allow', 'deny'), true)) FROM ev
+UNION ALL SELECT 'refusal_has_reason', count(*) FILTER (WHERE decision = 'deny' AND deny_reason IS NULL) FROM ev
+UNION ALL SELECT 'reader_known', count(*) FILTER (WHERE subject IS NULL) FROM ev""")
 def dq_domains(c: Context):
     principal = quality.domain_violations(c.principals, {
         "kind": F.col("kind").isin("human", "agent"),
@@ -138,8 +166,19 @@ def dq_domains(c: Context):
     shipment = quality.domain_violations(c.shipments, {
         "classification": F.col("classification").isin("public", "internal", "restricted"),
         "partner_present": F.col("partner_org").isNotNull(),
+        "owner_present": F.col("owner_org").isNotNull(),
+    })
+    grant = quality.domain_violations(c.grants, {
+        "ceiling": F.col("max_classification").isin("public", "internal", "restricted"),
+        "low_ceiling": F.col("max_classification") != "public",
+        "approved": F.col("approved_at").isNotNull(),
+    })
+    event = quality.domain_violations(c.events, {
+        "decision": F.col("decision").isin("allow", "deny"),
+        "refusal_has_reason": (F.col("decision") != "deny") | F.col("deny_reason").isNotNull(),
+        "reader_known": F.col("subject").isNotNull(),
     })
-    return principal.unionByName(delegation).unionByName(shipment)
+    return principal.unionByName(delegation).unionByName(shipment).unionByName(grant).unionByName(event)
 
 
 # --- the four clauses: rows each clause alone lets a credential see ---------

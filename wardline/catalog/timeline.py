@@ -163,8 +163,10 @@ def agg_mode_summary(c: Context):
     FROM ver x JOIN (SELECT *, CAST(request->>'$.k' AS BIGINT) AS k FROM gov_request) q ON q.request_id = x.request_id),
 j AS (SELECT v.*, f.provider_org, f.grantee_org, f.regions, f.max_classification,
     f.fits IS NOT NULL AND NOT list_contains(v.columns, 'secret_notes') AS ok FROM v LEFT JOIN fact f ON {_CRED_EQ.format('f', 'v')} AND f.fits AND {live('v.event_ts')})
-SELECT j.request_id, CASE WHEN j.ok THEN 'allow' ELSE 'deny' END AS decision, count(s.shipment_id) AS row_count FROM j LEFT JOIN gov_shipment s
-  ON j.ok AND s.units = j.k AND list_contains(j.regions, s.region) AND {_POLICY.format('j')} GROUP BY ALL""")
+SELECT j.request_id, CASE WHEN j.ok THEN 'allow' ELSE 'deny' END AS decision, count(s.shipment_id) AS row_count,
+    CASE WHEN NOT j.ok THEN coalesce(j.subject, CASE WHEN json_valid(n.said) THEN n.said->>'$.sub' END) END AS claimed_sub FROM j LEFT JOIN gov_shipment s
+  ON j.ok AND s.units = j.k AND list_contains(j.regions, s.region) AND {_POLICY.format('j')}
+  LEFT JOIN (SELECT request_id, TRY(decode(from_base64(parts[1]))) AS said FROM tok_doc) n ON n.request_id = j.request_id GROUP BY ALL""")
 def stream_guarded(c: Context):
     base = scratch(c.spark, "stream-guarded")
     for name, df in (("data_grant", c.grants), ("delegation", c.delegations),
@@ -179,7 +181,8 @@ def stream_guarded(c: Context):
         return {**load(c.spark, f"{base}/gov", ("data_grant", "delegation", "principal", "shipment")), "keys": c.keys}
 
     jobs.stream_guarded(tokens, governance, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return c.spark.read.parquet(f"{base}/out/events").select(F.col("seq").alias("request_id"), "decision", "row_count")
+    return c.spark.read.parquet(f"{base}/out/events").select(
+        F.col("seq").alias("request_id"), "decision", "row_count", F.get_json_object("request", "$.claimed_sub").alias("claimed_sub"))
 
 
 @query("stream_audit", f"""WITH RECURSIVE line AS (SELECT event_id AS seq, event_id // 256 AS segment, event_id % 256 + 1 AS pos, ipad, opad,

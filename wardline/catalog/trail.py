@@ -76,47 +76,68 @@ def audit_chain(c: Context):
     return audit.seal(_sealable(c), c.keys, 256, SEAL_FIELDS).select("seq", "segment", "prev_hash", "hash")
 
 
+# Segments of the trail that is tampered with below.
+_SEG = 128
+
+
+@query("audit_append", _SEALED_SQL + "SELECT seq, segment, prev_hash, hash FROM link")
+def audit_append(c: Context):
+    """The trail sealed in three batches that end inside segments: each goes on from the heads before it."""
+    events, done = stage(_sealable(c)), None
+    for part in ("seq < 333", "seq between 333 and 777", "seq > 777"):
+        anchored = audit.heads(done) if done is not None else None
+        batch = stage(audit.seal(events.filter(part), c.keys, 256, SEAL_FIELDS, anchored))
+        done = batch if done is None else done.unionByName(batch)
+    return done.select("seq", "segment", "prev_hash", "hash")
+
+
+def _recorded(c: Context):
+    """A sealed trail and the heads recorded when it was sealed."""
+    sealed = stage(audit.seal(_sealable(c), c.keys, _SEG))
+    return sealed, audit.heads(sealed)
+
+
 def _tampered(c: Context):
-    """A sealed trail, then edited: some counts zeroed, some reasons rewritten, some rows deleted."""
-    sealed = audit.seal(_sealable(c), c.keys)
+    """The trail after edits: counts zeroed, reasons rewritten; single rows, ends of segments and whole segments deleted."""
+    sealed, anchored = _recorded(c)
     edited = sealed.withColumn(
         "row_count", F.when((F.col("seq") % 491 == 3) & (F.col("row_count") > 0), 0).otherwise(F.col("row_count"))
     ).withColumn("deny_reason", F.when(F.col("seq") % 997 == 10, "edited").otherwise(F.col("deny_reason")))
-    return edited.filter("seq % 733 <> 8")
+    return edited.filter(f"seq % 733 <> 8 and not (segment % 5 = 1 and seq % {_SEG} >= 120) and segment % 11 <> 4"), anchored
 
 
-# Bad rows: those edited, and those whose predecessor inside the segment was deleted.
-_BAD_SQL = """
-t AS (SELECT seq, seq // 1024 AS segment, CASE WHEN seq % 4096 < 2048 THEN 'default' ELSE 'k-1' END AS kid, row_count,
-    lag(seq) OVER (PARTITION BY seq // 1024 ORDER BY seq) AS before FROM ev),
-kept AS (SELECT t.*, (t.seq % 491 = 3 AND t.row_count > 0) OR t.seq % 997 = 10
-    OR (t.before IS NOT NULL AND t.before % 733 = 8) AS bad FROM t WHERE t.seq % 733 <> 8)
+# Bad rows: those edited, and those whose predecessor in the whole trail was deleted.
+_BAD_SQL = f"""
+t AS (SELECT seq, CASE WHEN seq % 4096 < 2048 THEN 'default' ELSE 'k-1' END AS kid, row_count,
+    (seq % 733 = 8 OR (seq // {_SEG} % 5 = 1 AND seq % {_SEG} >= 120) OR seq // {_SEG} % 11 = 4) AS gone FROM ev),
+o AS (SELECT *, lag(gone) OVER (ORDER BY seq) AS gap FROM t),
+kept AS (SELECT *, (seq % 491 = 3 AND row_count > 0) OR seq % 997 = 10 OR coalesce(gap, false) AS bad FROM o WHERE NOT gone)
 """
 
 
 @query("audit_verify", f"WITH {_BAD_SQL} SELECT count(*) AS checked, min(seq) FILTER (WHERE bad) AS first_bad_seq FROM kept")
 def audit_verify(c: Context):
-    return audit.verify_chain(_tampered(c), c.keys)
+    return audit.verify_chain(*_tampered(c), c.keys)
 
 
 @query("agg_chain_verify", """SELECT count(*) AS checked, CAST(NULL AS BIGINT) AS first_bad_seq FROM ev""")
 def agg_chain_verify(c: Context):
-    return audit.verify_chain(audit.seal(_sealable(c), c.keys), c.keys)
+    return audit.verify_chain(*_recorded(c), c.keys)
 
 
 @query("audit_tamper", f"WITH {_BAD_SQL} SELECT seq FROM kept WHERE bad")
 def audit_tamper(c: Context):
-    return audit.recheck(_tampered(c), c.keys).filter("bad").select("seq")
+    return audit.bad_rows(*_tampered(c), c.keys).filter("bad").select("seq")
 
 
 @query("audit_segments", f"WITH {_BAD_SQL} SELECT kid, count(*) AS checked, min(seq) FILTER (WHERE bad) AS first_bad_seq FROM kept GROUP BY kid")
 def audit_segments(c: Context):
-    return audit.verify_chain(_tampered(c), c.keys, ["kid"])
+    return audit.verify_chain(*_tampered(c), c.keys, ["kid"])
 
 
-@query("win_first_bad", f"WITH {_BAD_SQL} SELECT segment, min(seq) AS first_bad_seq FROM kept WHERE bad GROUP BY segment")
+@query("win_first_bad", f"WITH {_BAD_SQL} SELECT seq // {_SEG} AS segment, min(seq) AS first_bad_seq FROM kept WHERE bad GROUP BY ALL")
 def win_first_bad(c: Context):
-    return audit.recheck(_tampered(c), c.keys).filter("bad").groupBy("segment").agg(F.min("seq").alias("first_bad_seq"))
+    return audit.bad_rows(*_tampered(c), c.keys).filter("bad").groupBy("segment").agg(F.min("seq").alias("first_bad_seq"))
 
 
 @query("audit_heads", """SELECT seq // 1024 AS segment, max(seq) AS last_seq, count(*) AS n_events FROM ev GROUP BY ALL""")
@@ -124,13 +145,20 @@ def audit_heads(c: Context):
     return audit.heads(audit.seal(_sealable(c), c.keys)).select("segment", "last_seq", "n_events")
 
 
-@query("audit_missing_tail", """SELECT seq // 1024 AS segment FROM ev GROUP BY ALL HAVING max(seq) % 2 = 1""")
+@query("audit_missing_tail", f"""WITH {_BAD_SQL} SELECT seq // {_SEG} AS segment, count(*) FILTER (WHERE gone) AS n_missing FROM t
+  GROUP BY ALL HAVING arg_max(gone, seq)""")
 def audit_missing_tail(c: Context):
-    """Segments whose newest event was deleted after its head had been recorded (here: those that ended on an odd one)."""
-    sealed = stage(audit.seal(_sealable(c), c.keys))
-    anchored = audit.heads(sealed)
-    ends = anchored.filter("last_seq % 2 = 1").select(F.col("last_seq").alias("seq"))
-    return audit.missing_tails(lookup_join(sealed, ends, ["seq"], "left_anti"), anchored).select("segment")
+    """Segments whose newest rows, or all rows, were deleted after their heads had been recorded."""
+    return audit.missing_tails(*_tampered(c)).select("segment", "n_missing")
+
+
+@query("audit_bad_heads", "SELECT 1 AS level, seq // 16384 AS segment FROM ev GROUP BY ALL UNION ALL SELECT 2, 0 UNION ALL SELECT 3, 0")
+def audit_bad_heads(c: Context):
+    """Head seals that no longer fit after a head in every sealed group of heads was edited."""
+    sealed, anchored = _recorded(c)
+    seals = audit.seal_heads(anchored, c.keys, _SEG)
+    edited = anchored.withColumn("last_hash", F.when(F.col("segment") % _SEG == 0, F.lit("00")).otherwise(F.col("last_hash")))
+    return audit.bad_heads(edited, seals, c.keys, _SEG)
 
 
 @query("audit_top_heads")
@@ -228,10 +256,11 @@ def join_authority(c: Context):
     return traced.select("seq", "approved_by", "grantee_principal", "delegator", "delegatee", "purpose", "depth")
 
 
-_RECONCILE = f"""SELECT e.seq, count(*) AS n_bad FROM suspect e JOIN rd_rows r ON r.request_id = e.seq JOIN gov_shipment s ON s.shipment_id = r.shipment_id
-  LEFT JOIN gov_grant g ON g.grant_id = e.grant_id {{join}}
-  WHERE e.decision = 'allow' AND ((s.owner_org <> g.provider_org) OR {rank('s.classification')} > {rank('g.max_classification')}
-    OR (s.partner_org IS NOT NULL AND s.partner_org <> g.grantee_org) {{more}}) GROUP BY e.seq"""
+# What a grant admits, region left aside: the same three things as the row policy, said of a served row.
+_ADMITS = f"(s.owner_org = g.provider_org AND {rank('s.classification')} <= {rank('g.max_classification')} AND coalesce(s.partner_org, g.grantee_org) = g.grantee_org)"
+_SERVED = """FROM suspect e JOIN gov_grant g USING (grant_id) JOIN rd_rows r ON r.request_id = e.seq JOIN gov_shipment s USING (shipment_id)"""
+_RECONCILE = f"""SELECT e.seq, count(*) FILTER (WHERE NOT {_ADMITS} {{more}}) AS n_bad {_SERVED} {{join}}
+  WHERE e.ok GROUP BY e.seq HAVING n_bad > 0"""
 
 
 @query("audit_reconcile", _RECONCILE.format(join="", more=""))
@@ -246,16 +275,12 @@ def audit_reconcile_strict(c: Context):
     return audit.reconcile(c.suspect_events, c.served_rows, c.shipments, c.grants, c.resolved)
 
 
-@query("join_reconcile", f"""SELECT r.request_id AS seq, r.shipment_id FROM suspect e JOIN rd_rows r ON r.request_id = e.seq
-  JOIN gov_shipment s ON s.shipment_id = r.shipment_id JOIN gov_grant g ON g.grant_id = e.grant_id
-  WHERE s.owner_org <> g.provider_org OR {rank('s.classification')} > {rank('g.max_classification')}
-    OR (s.partner_org IS NOT NULL AND s.partner_org <> g.grantee_org)""")
+@query("join_reconcile", f"SELECT e.seq, s.shipment_id {_SERVED} WHERE NOT {_ADMITS}")
 def join_reconcile(c: Context):
     return audit.reconcile_rows(c.suspect_events, c.served_rows, c.shipments, c.grants)
 
 
-_UNAPPROVED = """SELECT e.seq, e.grant_id FROM suspect e WHERE e.decision = 'allow' AND NOT EXISTS
-  (SELECT 1 FROM gov_grant g WHERE g.grant_id = e.grant_id AND g.approved_at IS NOT NULL)"""
+_UNAPPROVED = """SELECT e.seq, e.grant_id FROM suspect e LEFT JOIN gov_grant g USING (grant_id) WHERE e.ok AND g.approved_at IS NULL"""
 
 
 @query("audit_unapproved", _UNAPPROVED)

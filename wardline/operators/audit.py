@@ -3,8 +3,9 @@
 Two decisions keep it flat at scale. The rows a read served are stored once per *served set* (scope and
 predicate), in chunks of consecutive ids, instead of one array per event: a set may be a third of the table, a
 chunk cannot exceed `CHUNK` ids. And the hash chain is cut into segments of `SEGMENT` sequence numbers whose
-last hashes are themselves sealed one level up, so every chain is short and all run in parallel, yet one top hash
-covers everything.
+last hashes (heads) are themselves sealed one level up, so every chain is short and all run in parallel, yet one top hash
+covers everything. Heads make up for the links across the cuts: later batches go on from them, and verification compares
+the trail with them, so rows missing at a segment's end, or whole segments, show like any other loss.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def read_events(judged: DataFrame, headers: DataFrame) -> DataFrame:
     ok = F.col("decision") == "allow"
     when_ok = lambda c: F.when(ok, F.col(c)).alias(c)
     asked = F.to_json(F.struct("columns", F.lit("units = :k").alias("where"), F.col("param").alias("k")))
-    refused = F.to_json(F.struct("columns", F.col("subject").alias("claimed_sub")))
+    claimed = F.coalesce("subject", "claimed_sub") if "claimed_sub" in judged.columns else F.col("subject")
+    refused = F.to_json(F.struct("columns", claimed.alias("claimed_sub")))
     return df.select(
         F.col("request_id").alias("seq"), "event_ts", when_ok("subject"), when_ok("acting_for"), "grant_id",
         "delegation_id", F.to_json(F.coalesce("chain", F.array().cast("array<string>"))).alias("chain"),
@@ -129,18 +131,25 @@ def payload(fields: tuple[str, ...] = SEALED_FIELDS) -> Column:
 
 
 def seal(
-    events: DataFrame, keys: DataFrame, segment: int = SEGMENT, fields: tuple[str, ...] = SEALED_FIELDS
+    events: DataFrame, keys: DataFrame, segment: int = SEGMENT, fields: tuple[str, ...] = SEALED_FIELDS,
+    anchored: DataFrame | None = None,
 ) -> DataFrame:
     """Add segment, prev_hash and hash. Inside a segment each hash covers the one before it.
 
-    A group holds at most `segment` rows, because `seq` is unique and a segment is a range of it.
+    `anchored` are the heads of what is sealed already: a batch goes on where an open segment ends. A group holds at most
+    `segment` rows, because `seq` is unique and a segment is a range of it.
     """
     if "kid" not in events.columns:
         events = events.withColumn("kid", F.lit("default"))
     prepared = lookup_join(
         events.withColumn("segment", F.floor(F.col("seq") / segment)), key_pads(keys), ["kid"], "left"
     ).withColumn("__text", payload(fields))
-    kept = [c for c in prepared.columns if c not in ("ipad", "opad", "__text")]
+    if anchored is None:
+        prepared = prepared.withColumn("__start", F.lit(""))
+    else:
+        open_ends = anchored.select("segment", F.col("last_hash").alias("__start"))
+        prepared = lookup_join(prepared, open_ends, ["segment"], "left").fillna("", ["__start"])
+    kept = [c for c in prepared.columns if c not in ("ipad", "opad", "__text", "__start")]
     schema = StructType(
         [prepared.schema[c] for c in kept] + [StructField("prev_hash", StringType()), StructField("hash", StringType())]
     )
@@ -151,7 +160,7 @@ def seal(
         import pyarrow as pa
 
         table = table.sort_by("seq")
-        prev, before, after = "", [], []
+        prev, before, after = table.column("__start")[0].as_py(), [], []
         for text, ipad, opad in zip(*(table.column(c).to_pylist() for c in ("__text", "ipad", "opad")), strict=True):
             before.append(prev or None)
             inner = hashlib.sha256(ipad + f"{len(prev)}:{prev}{text}".encode()).digest()
@@ -208,17 +217,46 @@ def recheck(sealed: DataFrame, keys: DataFrame, fields: tuple[str, ...] = SEALED
     return pads.withColumn("bad", bad).drop("__before", "ipad", "opad")
 
 
-def verify_chain(sealed: DataFrame, keys: DataFrame, by: list[str] | None = None) -> DataFrame:
+def after_gaps(sealed: DataFrame, anchored: DataFrame) -> DataFrame:
+    """(seq): first rows of segments before which rows are gone: the segment recorded before theirs is missing, or no longer
+    ends with its recorded hash."""
+    now = sealed.groupBy("segment").agg(F.max_by("hash", "seq").alias("now_hash"), F.min("seq").alias("first_seq"))
+    known = anchored.select("segment", "last_hash").join(now, "segment", "left").select(
+        F.col("segment").alias("seq"), "first_seq", (~F.col("last_hash").eqNullSafe(F.col("now_hash"))).alias("broken"))
+    linked = previous_by_seq(known, "broken", out="broken_before")
+    return linked.filter("broken_before and first_seq is not null").select(F.col("first_seq").alias("seq"))
+
+
+def bad_rows(
+    sealed: DataFrame, anchored: DataFrame, keys: DataFrame, fields: tuple[str, ...] = SEALED_FIELDS
+) -> DataFrame:
+    """The sealed rows with `bad`: edited, or the row before them is gone, be it in their segment or at the end of another."""
+    gaps = after_gaps(sealed, anchored).withColumn("__gap", F.lit(True))
+    checked = lookup_join(recheck(sealed, keys, fields), gaps, ["seq"], "left")
+    return checked.withColumn("bad", F.col("bad") | F.col("__gap").isNotNull()).drop("__gap")
+
+
+def verify_chain(
+    sealed: DataFrame, anchored: DataFrame, keys: DataFrame, by: list[str] | None = None
+) -> DataFrame:
     """(checked, first_bad_seq), over everything or per group such as the signing key."""
-    checked = recheck(sealed, keys)
+    checked = bad_rows(sealed, anchored, keys)
     aggs = [F.count(F.lit(1)).alias("checked"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad_seq")]
     return checked.groupBy(*by).agg(*aggs) if by else checked.agg(*aggs)
 
 
 def missing_tails(sealed: DataFrame, anchored: DataFrame) -> DataFrame:
-    """Segments whose recorded head is no longer what the trail shows: deleted newest rows, or a whole segment."""
-    now = heads(sealed).select("segment", F.col("last_seq").alias("now_seq"), F.col("last_hash").alias("now_hash"))
-    return anchored.join(now, "segment", "left").filter(~F.col("last_hash").eqNullSafe(F.col("now_hash")))
+    """Segments whose recorded head is no longer what the trail shows, with the number of rows that are gone: deleted newest
+    rows (which no later row can show), or a whole segment."""
+    now = heads(sealed).select("segment", F.col("n_events").alias("now_events"), F.col("last_hash").alias("now_hash"))
+    left = anchored.join(now, "segment", "left").filter(~F.col("last_hash").eqNullSafe(F.col("now_hash")))
+    return left.withColumn("n_missing", F.col("n_events") - F.coalesce("now_events", F.lit(0)))
+
+
+def bad_heads(anchored: DataFrame, head_seals: DataFrame, keys: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(level, segment): recorded head seals that the recorded heads no longer give: heads edited along with their rows."""
+    again = seal_heads(anchored, keys, segment).select("level", "segment", F.col("hash").alias("again"))
+    return head_seals.join(again, ["level", "segment"], "full").filter(~F.col("hash").eqNullSafe(F.col("again"))).select("level", "segment")
 
 
 def previous_by_seq(rows: DataFrame, value: str = "hash", width: int = SEGMENT, levels: int = 3, out: str = "prev_value"):
@@ -302,15 +340,14 @@ def _checked(audit: DataFrame, rows: DataFrame, shipments: DataFrame, grants: Da
     facts = shipments.select("shipment_id", "owner_org", "region", "classification", "partner_org")
     served = facts.join(rows, "shipment_id")  # unique on the fact side
     checked = lookup_join(served, claims, ["set_id"])
-    broken = F.coalesce(
-        (F.col("owner_org") != F.col("provider_org"))
-        | (class_rank("classification") > class_rank("max_classification"))
-        | (F.col("partner_org").isNotNull() & (F.col("partner_org") != F.col("grantee_org"))),
-        F.lit(False),
-    )
+    # A row is in its claim if it lies in one of the claim's cells, as for reading; here the claim is the grant as it stands.
+    admitted = F.array_contains(admitted_ranks("max_classification"), class_rank("classification")) & F.exists(
+        admitted_partners("grantee_org"), lambda p: p.eqNullSafe(F.col("partner_org"))
+    ) & (F.col("owner_org") == F.col("provider_org"))
+    inside = F.col("provider_org").isNull() | F.coalesce(admitted, F.lit(False))  # an unknown grant says nothing about its rows
     if resolved is not None:
-        broken = broken | ~F.coalesce(F.array_contains("region_scope", F.col("region")), F.lit(False))
-    return reads, key, checked.filter(broken)
+        inside = inside & F.coalesce(F.array_contains("region_scope", F.col("region")), F.lit(False))
+    return reads, key, checked.filter(~inside)
 
 
 def reconcile(

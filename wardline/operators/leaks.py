@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.scalars import rounded_long
 from wardline.operators.guard import CELL, policy_cells, scope_cells, totals
-from wardline.plans.placement import lookup_join
+from wardline.plans.placement import lookup_join, stage
 
 ARMS = ("mask_first", "mask_last")
 
@@ -151,11 +151,10 @@ def aggregate_leak(cells: DataFrame, auths: DataFrame) -> DataFrame:
 
 def cardinality(shipments: DataFrame, auths: DataFrame) -> DataFrame:
     """(auth_id, n_true, n_served): rows that exist against rows that are served."""
-    from wardline.operators.guard import visible_counts
-
-    return visible_counts(shipments, auths).select(
-        "auth_id", shipments.agg(F.count(F.lit(1))).scalar().alias("n_true"), F.col("n_rows").alias("n_served")
-    )
+    cells = stage(policy_cells(shipments))  # the total is the sum of the cells: one scan of the fact
+    served = totals(cells, auths, F.sum("n_rows").alias("n"), keep=())
+    whole = F.coalesce(cells.agg(F.sum("n_rows")).scalar(), F.lit(0)).cast("long")
+    return served.select("auth_id", whole.alias("n_true"), F.coalesce("n", F.lit(0)).cast("long").alias("n_served"))
 
 
 # --- ablation --------------------------------------------------------------
@@ -168,8 +167,8 @@ def ablate(shipments: DataFrame, auths: DataFrame) -> DataFrame:
     Works on policy cells: for each clause the other three stay equality keys, and the cells the scope already
     admits are taken out.
     """
-    cells = policy_cells(shipments)
-    scope = scope_cells(auths, keep=("auth_id",))
+    cells = stage(policy_cells(shipments))  # one scan of the fact for all four clauses
+    scope = stage(scope_cells(auths, keep=("auth_id",)))
     out = None
     for clause, dropped in CLAUSE_KEY.items():
         rest = [c for c in CELL if c != dropped]

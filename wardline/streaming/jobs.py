@@ -17,6 +17,7 @@ from wardline.operators import audit, auth, credentials
 from wardline.plans.placement import lookup_join, stage
 
 Governance = Callable[[], dict[str, DataFrame]]
+AVAILABLE = {"availableNow": True}
 
 
 def _put(df: DataFrame, path: str, batch_id: int) -> None:
@@ -24,18 +25,20 @@ def _put(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def stream_guarded(
-    tokens: DataFrame, governance: Governance, path: str, checkpoint: str, at: str = "event_ts"
+    tokens: DataFrame, governance: Governance, path: str, checkpoint: str, at: str = "event_ts", trigger: dict | None = None
 ) -> StreamingQuery:
     """Presented tokens → verified → resolved → served rows and audit events.
 
     `tokens` has request_id, event_ts, token, columns and request (JSON with the bound `k`). `governance` is called
     for every micro-batch and must read the tables anew: a frame planned once would never see a revocation. The
-    revocation bound is therefore one micro-batch. A token that does not verify gives a refused event.
+    revocation bound is therefore one micro-batch. A token that does not verify gives a refused event, which keeps whom the
+    token claimed to speak for. `trigger` holds `DataStreamWriter.trigger` arguments; by default what is there is read.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         state = governance()
-        seen = credentials.verify_tokens(batch, state["keys"], F.col(at)).withColumnRenamed("sub", "subject")
+        said = credentials.claimed(batch, ("sub",))
+        seen = credentials.verify_tokens(said, state["keys"], F.col(at)).withColumnRenamed("sub", "subject")
         asked = stage(seen.drop("token", "verified").withColumn("action", F.lit("read")))
         resolved = stage(
             auth.resolve(
@@ -48,7 +51,7 @@ def stream_guarded(
         _put(audit.chunked(rows, ["set_id"]), f"{path}/rows", batch_id)
 
     return (
-        tokens.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        tokens.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or AVAILABLE)).start()
     )
 
 
@@ -92,12 +95,12 @@ def seal_stream(outcomes: DataFrame, keys: DataFrame, body: Column, segment: int
 
 
 def stream_audit(outcomes: DataFrame, keys: DataFrame, body: Column, path: str, checkpoint: str,
-                 segment: int = audit.SEGMENT) -> StreamingQuery:
+                 segment: int = audit.SEGMENT, trigger: dict | None = None) -> StreamingQuery:
     """Sealed outcomes appended to a Parquet folder, exactly once by the file sink's own log."""
     sealed = seal_stream(outcomes, keys, body, segment)
     return (
         sealed.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
+        .outputMode("append").trigger(**(trigger or AVAILABLE)).start()
     )
 
 
@@ -109,7 +112,8 @@ def denial_counts(events: DataFrame, window: str = "1 day") -> DataFrame:
     return counts.select(F.col("w.start").alias("window_start"), "claimed_sub", "n")
 
 
-def stream_denials(events: DataFrame, path: str, checkpoint: str, window: str = "1 day", late: str = "1 hour") -> StreamingQuery:
+def stream_denials(events: DataFrame, path: str, checkpoint: str, window: str = "1 day", late: str = "1 hour",
+                   trigger: dict | None = None) -> StreamingQuery:
     """Running counts, one file set per micro-batch; events later than the watermark are dropped.
 
     Read back with `latest_counts`.
@@ -121,7 +125,7 @@ def stream_denials(events: DataFrame, path: str, checkpoint: str, window: str =
 
     return (
         counts.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or AVAILABLE)).start()
     )
 
 
