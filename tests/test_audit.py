@@ -108,7 +108,7 @@ def test_deletions(sealed, keys):
     assert [(r.segment, r.n_missing) for r in audit.missing_tails(tail, anchored).collect()] == [(2, 1)]
     assert [r.segment for r in audit.missing_tails(segment, anchored).collect()] == [0]
     assert audit.verify_chain(segment, anchored, keys).first().first_bad_seq == 4
-    assert audit.verify_chain(sealed.filter("segment <> 1"), anchored, keys).first().first_bad_seq == 8
+    assert audit.verify_chain(sealed.filter("segment <> 1"), anchored, keys).first().first_bad_seq == 9
     ends = [r.last_seq for r in anchored.collect() if r.segment < 2]
     assert audit.verify_chain(sealed.filter(~F.col("seq").isin(ends)), anchored, keys).first().first_bad_seq == 4
 
