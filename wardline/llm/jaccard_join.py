@@ -30,15 +30,17 @@ from pyspark.sql import functions as F
 
 from wardline.llm.components import components
 from wardline.llm.ngrams import set_key, shingle_sets, spread
-from wardline.llm.text import discard, stage
+from wardline.llm.text import discard, packed, release, stage
 
 PERCENT = 80
-FREQUENT = 64
+FREQUENT = 32
 MOST_FREQUENT = 250_000
 STARS = 2
 ROWS = 200_000
 BITMAP = 32  # words of 64 bits
 SEEN = 200_000
+SMALL = 64  # classes of a key that are paired by a join; more are compared in blocks
+BLOCK = 1024
 
 
 def prefix(n: int) -> int:
@@ -95,11 +97,11 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             u, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int32))], names=["shingle", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int32)), pa.array(n.astype(np.int32))], names=["shingle", "n"])
 
         for batch in batches:
             for _, found in _fresh(batch.column("text"), seen):
-                held.append(found[: 3 * len(found) // 10 + 1])
+                held.append(half(found[: 3 * len(found) // 10 + 1]))
                 size += len(held[-1])
                 if size >= 5 * ROWS:
                     yield flush()
@@ -107,10 +109,15 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
         if held:
             yield flush()
 
-    rows = docs.select("text").mapInArrow(job, "shingle long, n int").repartition("shingle")  # counts are partial already
+    rows = docs.select("text").mapInArrow(job, "shingle int, n int").repartition("shingle")  # counts are partial already
     top = rows.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") > FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
-    found = top.select("shingle").toPandas()["shingle"].to_numpy(np.int64)
-    return np.sort(found.view(np.uint64))
+    found = top.agg(F.collect_list("shingle")).first()[0]  # at most MOST_FREQUENT numbers
+    return np.sort(np.array(found, np.int32).view(np.uint32))
+
+
+def half(found: np.ndarray) -> np.ndarray:
+    """Half of a shingle's hash: enough to class it, and the same for all."""
+    return (found >> np.uint64(8)).astype(np.uint32)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -120,7 +127,8 @@ def signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def keys_of(found: np.ndarray, order: np.ndarray) -> np.ndarray:
         n, rare, common = len(found), found, found[:0]
         if len(order):
-            often = order[np.minimum(np.searchsorted(order, found), len(order) - 1)] == found
+            h = half(found)
+            often = order[np.minimum(np.searchsorted(order, h), len(order) - 1)] == h
             rare, common = found[~often], found[often]
         keys = rare[: prefix(n)]
         if len(rare) < prefix(n):
@@ -159,16 +167,14 @@ def comparable(n: str, m: str) -> Column:
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, shingles) of the classes in `nodes`, from one document of each. Documents that cannot be one of these are
     left out by a bitmap of fixed size (1 MB, so it may be broadcast) before anything is shuffled."""
-    wanted = stage(classes.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id")).select("node", "_id"))
-    ids = wanted.select(F.col("_id").alias("_want")).distinct()
+    wanted = stage(classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("_want")))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
-    marks = ids.select(place("_want").alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(
+    marks = wanted.select(place("_want").alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
-    marks = F.broadcast(stage(marks))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_p", place("doc_id"))
-    some = some.join(marks, F.shiftright("_p", 6) == F.col("_word")).filter(
+    some = some.join(F.broadcast(marks), F.shiftright("_p", 6) == F.col("_word")).filter(
         F.expr("shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1 = 1"))
-    some = some.join(ids, F.col("doc_id").eqNullSafe(F.col("_want"))).select("text")
+    some = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi").select("text")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,49 +221,88 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
 
     links = stage(both.select("a", "b", "x", "y").mapInArrow(job, "a long, b long"))
     discard(sets, pairs)
+    release(docs.sparkSession)
     return links
 
 
-def star_pairs(open_rows: DataFrame) -> DataFrame:
-    """Per key: its least class (by label, then node) with every class of another label, and the reverse for that label's classes."""
-    head = open_rows.groupBy("sig").agg(F.min(F.struct("label", "node", "n")).alias("h"), F.max(F.struct("label", "node", "n")).alias("t"))
-    joined = open_rows.join(head, "sig")
-    pair = lambda end: joined.filter((F.col("label") != F.col(f"{end}.label")) & comparable("n", f"{end}.n")).select(
-        F.least("node", f"{end}.node").alias("a"), F.greatest("node", f"{end}.node").alias("b"))
-    return pair("h").union(pair("t")).distinct()
-
-
-def all_pairs(open_rows: DataFrame) -> DataFrame:
-    """Per key: every two classes of different components."""
-    x = open_rows.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_rows.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & comparable("na", "nb")).select("a", "b").distinct()
+def spanning(rows: DataFrame) -> DataFrame:
+    """Rows (sig, node, n, label) of the keys whose classes have several labels, with the ends `lo` and `hi` of each key
+    and the number of its rows. Without a label every class is its own."""
+    label = F.col("label") if "label" in rows.columns else F.col("node")
+    me, key = F.struct(label.alias("label"), "node", "n"), Window.partitionBy("sig")
+    ends = rows.withColumns({"lo": F.min(me).over(key), "hi": F.max(me).over(key), "rows": F.count("*").over(key)})
+    return ends.filter("lo.label <> hi.label").withColumn("label", label)
+
+
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """Every class with both ends of its key, where sizes allow it and the labels differ."""
+    pair = lambda end: F.when(
+        (F.col("label") != F.col(f"{end}.label")) & comparable("n", f"{end}.n"),
+        F.struct(F.least("node", f"{end}.node").alias("a"), F.greatest("node", f"{end}.node").alias("b")))
+    return rows.select(F.explode(F.array_compact(F.array(pair("lo"), pair("hi")))).alias("p")).select("p.a", "p.b").distinct()
+
+
+def all_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per key: every two classes of different components. Keys of few classes are joined with themselves; those of many
+    are dealt into blocks, every two blocks meet in a task, and only pairs whose bitmaps allow the similarity come out."""
+    few = rows.filter(F.col("rows") <= SMALL)
+    x = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    y = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    joined = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & comparable("na", "nb")).select("a", "b")
+
+    many = rows.filter(F.col("rows") > SMALL).select("sig", "node", "n", "label", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    many = many.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    dealt = many.join(classes.select("node", "bits"), "node").withColumn("meet", F.explode(meets)).select(
+        "sig", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "node", "n", "label", "bits")
+
+    def job(table: pa.Table) -> pa.Table:
+        col = lambda name: table.column(name).combine_chunks()
+        node, n, label, mine = (col(c).to_numpy() for c in ("node", "n", "label", "mine"))
+        bits = col("bits").flatten().to_numpy().reshape(len(node), BITMAP).view(np.uint64)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        right = np.flatnonzero(mine == j)
+        a, b = [], []
+        for k in np.flatnonzero(mine == i):
+            other = right[(label[right] != label[k]) & (100 * np.minimum(n[right], n[k]) >= PERCENT * np.maximum(n[right], n[k]))]
+            differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            sizes = n[other].astype(np.int64) + int(n[k])
+            other = other[(100 + PERCENT) * (sizes - differ) >= 2 * PERCENT * sizes]
+            a.append(np.minimum(node[k], node[other]))
+            b.append(np.maximum(node[k], node[other]))
+        empty = [np.empty(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
+
+    return joined.union(dealt.groupBy("sig", "i", "j").applyInArrow(job, "a long, b long")).distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, label): components of the classes (node, n, bits, doc_id) that are linked with another class; None if none is."""
-    by_key = Window.partitionBy("sig")
-    keys = signatures(docs, frequent_shingles(docs)).withColumns({"lo": F.min("node").over(by_key), "hi": F.max("node").over(by_key)})
+    spark = docs.sparkSession
+    frequent = frequent_shingles(docs)
+    release(spark)
     # A key met by one class only joins nothing; the others are the index.
-    index = stage(keys.filter("lo <> hi").select("sig", "node", "n").distinct())
+    index = stage(spanning(signatures(docs, frequent)).distinct())
     links, labels, tried = None, None, None
     for turn in range(STARS + 1):
-        rows = index.withColumn("label", F.col("node"))
+        rows = index
         if labels is not None:
-            rows = index.join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn(
+            rows = index.select("sig", "node", "n").join(labels.select("node", F.col("label").alias("known")), "node", "left").withColumn(
                 "label", F.coalesce("known", "node")).drop("known")
-        rows = rows.withColumns({"lo": F.min("label").over(by_key), "hi": F.max("label").over(by_key)}).filter("lo <> hi")
-        pairs = star_pairs(rows) if turn < STARS else all_pairs(rows)
+            rows = spanning(rows)
+        pairs = star_pairs(rows) if turn < STARS else all_pairs(rows, classes)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        release(spark)
         if pairs.isEmpty():
             if turn < STARS:
                 continue
             break
         found = verified(pairs, docs, classes)
-        links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
         if labels is None or not found.isEmpty():
+            links = found if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
             labels = stage(components(links))
+        release(spark)
     return labels
 
 
@@ -294,7 +339,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     keys = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
     gone = stage(judged.filter("not stays").select(*keys).distinct())
     again = stage(judged.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
-    kept = docs.join(gone, same, "left_anti")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    small, unpacked = packed(docs, ("doc_id", "text"))
+    kept = small.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return unpacked(kept)

@@ -44,7 +44,8 @@ def _hash_bytes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nd
     # Words beyond the table go round it; the bytes' sum of powers still depends on every byte.
     v = v[first:] * POWERS[place & (len(POWERS) - 1)]
     if len(place) and place.max() >= len(POWERS):
-        v *= MIX[0] * (2 * (place >> 12).astype(np.uint64) + np.uint64(1))
+        round_ = (place // len(POWERS)).astype(np.uint64)
+        v *= np.where(round_ > 0, MIX[0] * (2 * round_ + np.uint64(1)), np.uint64(1))
     return spread(np.add.reduceat(v, starts - first)), starts
 
 
