@@ -243,18 +243,21 @@ def star_pairs(rows: DataFrame) -> DataFrame:
 
 
 def all_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per key: every two classes of different components. Keys of few classes are joined with themselves; those of many
-    are dealt into blocks, every two blocks meet in a task, and only pairs whose bitmaps allow the similarity come out."""
+    """Per key: every two classes of different components. Keys of few classes are joined with themselves. Those of many are
+    gathered by their least class, which the keys of a group of copies mostly share, so that a pair meets once and not at
+    every key; such a gathering is dealt into blocks, every two blocks meet in a task, and only pairs whose bitmaps allow
+    the similarity come out."""
     few = rows.filter(F.col("rows") <= SMALL)
     x = few.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
     y = few.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
     joined = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & comparable("na", "nb")).select("a", "b")
 
-    many = rows.filter(F.col("rows") > SMALL).select("sig", "node", "n", "label", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    many = rows.filter(F.col("rows") > SMALL).select(F.col("lo.node").alias("hub"), "node", "n", "label").distinct().withColumn(
+        "blocks", F.ceil(F.count("*").over(Window.partitionBy("hub")) / BLOCK).cast("int"))
     many = many.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     dealt = many.join(classes.select("node", "bits"), "node").withColumn("meet", F.explode(meets)).select(
-        "sig", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "node", "n", "label", "bits")
+        "hub", F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), "mine", "node", "n", "label", "bits")
 
     def job(table: pa.Table) -> pa.Table:
         col = lambda name: table.column(name).combine_chunks()
@@ -273,7 +276,7 @@ def all_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
         empty = [np.empty(0, np.int64)]
         return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
 
-    return joined.union(dealt.groupBy("sig", "i", "j").applyInArrow(job, "a long, b long")).distinct()
+    return joined.union(dealt.groupBy("hub", "i", "j").applyInArrow(job, "a long, b long")).distinct()
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
