@@ -242,6 +242,33 @@ def test_probabilities_of_a_context_sum_to_one(spark, documents):
         assert total == pytest.approx(1.0)
 
 
+def test_every_preceding_word_has_its_restaurant(spark, documents):
+    """Rare first words count as contexts, what each predicts sums to one, and a rare bigram beats its unigram."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"first{k} then{k}" for k in (r.randrange(60) for _ in range(20))), "en", "s") for i in range(120)]
+    of = pitman_yor.seat(pitman_yor.stage(pitman_yor.pair_counts(documents(rows))))
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    count = collections.Counter(p for _, t, _, _ in train for p in zip(["<end>", *t.split()], [*t.split(), "<end>"], strict=True))
+    assert of.contexts.filter("n > 0").count() == len({a for a, _ in count}) == 121
+    assert of.pairs.filter("c > 0").count() == len(count) and of.n == sum(count.values())
+    words = of.words.filter("c > 0").select("w")
+    seen = of.pairs.filter("c > 0")
+    full = of.contexts.filter("n > 0").select("u").crossJoin(words).join(seen, ["u", "w"], "left").fillna(0)
+    of.pairs = full.select("u", "w", "c", "total", "t1", "t2")
+    unknown = [(pitman_yor.STRENGTH + of.discounts[1] * t) / (of.v + 1) / (m + pitman_yor.STRENGTH) for m, t in of.parent[1:]]
+    d = of.discounts[0]
+    backoff = {x.u: [(1 + d * x.t1) / (x.n + 1), (1 + d * x.t2) / (x.n + 1)] for x in of.contexts.collect()}
+    sums = collections.defaultdict(float)
+    for x in pitman_yor.pair_probabilities(of).collect():
+        sums[x.u] += 10**x.lp
+    assert len(sums) == 121
+    for u, total in sums.items():
+        assert total + sum(a * b for a, b in zip(backoff[u], unknown, strict=True)) / 2 == pytest.approx(1.0)
+    got = pitman_yor.score(documents(rows), frequent=30).toPandas()
+    held = got[got.held_out]
+    assert (held.score / held.n_tokens).mean() > 0.6 * (held.base_score / held.n_tokens).mean()
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="page-12">
     <header><h1>Site</h1></header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->

@@ -1,19 +1,23 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-A token's context is the latest of the CONTEXTS most frequent words before it in its text (none at the start). Every context
-has a restaurant whose dishes are words; all of them share the restaurant of words without context as parent, whose base is
+A token's context is the word before it in its text; that of the first word is the text's start. Every context has a
+restaurant whose dishes are words; all of them share the restaurant of words without context as parent, whose base is
 uniform over the training words and one unknown word. A table in a context restaurant is a customer of the parent.
 Gibbs sweeps take out the customers of each dish and seat them anew by the Chinese-restaurant chances, given the tables
 and totals of the sweep before; predictive probabilities are averaged over the sweeps after the first. A text's score is the
-sum of their logarithms.
+sum of their logarithms. A context that no training text has leaves its words to the parent.
 
-All counts of a word (at most CONTEXTS + 1) stand in one row, so a sweep is one pass over the words, spread over all tasks,
-and only the totals of the restaurants reach the driver. When texts are scored, the FREQUENT most frequent (context, word)
-pairs, a fixed bound, are looked up in the task; all other tokens by a join on the word.
+(context, word) pairs are counted in the task and grouped by Spark, one row per pair. A pair seen once sits at its one table
+in every sweep, so only the others are joined with the totals of their context and of their word and seated; totals by
+context and by word are tables of their own and only sums over all of them reach the driver. When texts are scored, the
+FREQUENT most frequent pairs, a fixed bound, are looked up in the task; all other tokens by a join on the pair.
+
+`score_few` is the model of one row per word with only the CONTEXTS most frequent words as contexts (a token's is the latest of
+them before it). No query uses it.
 
 Random numbers depend on word, context and sweep only, so reruns agree. A null text is empty: its only token is the end. A
 null doc_id trains. Repeated rows count and are scored each for itself. Without training text every token has the uniform
-probability 1. Other columns are not looked at. Words are told apart by 59-bit hashes.
+probability 1. Other columns are not looked at. Words and pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.ngrams import spread, with_ends, word_hashes
-from wardline.llm.text import stage
+from wardline.llm.ngrams import END, spread, with_ends, word_hashes
+from wardline.llm.text import discard, release, stage
 
 CONTEXTS = 16
 BITS = 5  # of a key that hold the context
@@ -276,8 +280,8 @@ def at_least(df: DataFrame, count: str, bound: int) -> int:
     return least if least is not None else 2**62
 
 
-def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+def score_few(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
+    """`score` with the CONTEXTS most frequent words as the only contexts."""
     spark = docs.sparkSession
     contexts = frequent_words(docs)
     counts = stage(word_counts(docs, contexts))
@@ -350,3 +354,196 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
     return summed.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def previous(ids: np.ndarray) -> np.ndarray:
+    """The token before each; texts are closed by END, so a first token has END before it."""
+    return np.concatenate([[END], ids[:-1]]).astype(np.uint64)
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return spread(spread(u) + w)
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """One row per (context, word): u, w, c and total (count in training texts and in all)."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ids = np.concatenate([k for k, _ in held])
+            before = previous(ids)
+            _, first, at = np.unique(pair_keys(before, ids), return_index=True, return_inverse=True)
+            c = np.bincount(at, weights=np.concatenate([w for _, w in held]), minlength=len(first))
+            total = np.bincount(at, minlength=len(first))
+            return pa.RecordBatch.from_arrays([
+                pa.array(before[first].view(np.int64)), pa.array(ids[first].view(np.int64)),
+                pa.array(c.astype(np.int64)), pa.array(total.astype(np.int64))], names=["u", "w", "c", "total"])
+
+        for batch in batches:
+            trains = ~batch.column("held").to_numpy(zero_copy_only=False)
+            for first, h, counts in word_hashes(batch.column("text")):
+                held.append((with_ends(h, counts), np.repeat(trains[first : first + len(counts)], counts + 1)))
+                size += len(held[-1][0])
+                if size >= TOKENS:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    rows = docs.select("text", held_out().alias("held")).mapInArrow(job, "u long, w long, c long, total long")
+    return rows.groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+
+
+class Restaurants:
+    """Seatings of all sweeps. contexts: u, n (customers), t0, t1, ... (tables after each sweep). words: w, c, n0, n1, ...
+    (customers of the parent) and s0, s1, ... (its tables). pairs: u, w, c, total, t1, ... . parent: totals of n and s of each sweep."""
+
+    def __init__(self, contexts, words, pairs, parent, discounts, n, v):
+        self.contexts, self.words, self.pairs, self.parent = contexts, words, pairs, parent
+        self.discounts, self.n, self.v = discounts, n, v
+
+    def parent_probability(self, sweep: int, customers: Column, seated: Column) -> Column:
+        n, t = self.parent[sweep]
+        base = (STRENGTH + self.discounts[1] * t) / (self.v + 1)
+        return (customers - F.lit(self.discounts[1]) * seated + F.lit(base)) / F.lit(n + STRENGTH)
+
+
+def _seat_pairs(rows: DataFrame, sweep: int, discount: float) -> DataFrame:
+    """`rows` with t of this sweep in place of `weight`."""
+    out = [f for f in rows.schema.fields if f.name != "weight"]
+    name = f"t{sweep}"
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, w, c, weight = (batch.column(k).to_numpy() for k in ("u", "w", "c", "weight"))
+            t = tables(c.astype(float), weight, discount, pair_keys(u.view(np.uint64), w.view(np.uint64)), 2 * sweep)
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in out], pa.array(t.astype(np.int64))], names=[*[f.name for f in out], name])
+
+    return rows.mapInArrow(job, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out) + f", {name} long")
+
+
+def _seat_words(rows: DataFrame, sweep: int, weight: float, discount: float) -> DataFrame:
+    """`rows` with the parent's tables s of this sweep, from its customers n."""
+    names = rows.columns
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(f"n{sweep}").to_numpy().astype(float)
+            s = tables(n, np.full(len(n), weight), discount, batch.column("w").to_numpy().view(np.uint64), 2 * sweep + 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s.astype(np.int64))], names=[*names, f"s{sweep}"])
+
+    return rows.mapInArrow(job, ", ".join(f"{k} long" for k in [*names, f"s{sweep}"]))
+
+
+def seat(pairs: DataFrame, sweeps: int = SWEEPS) -> Restaurants:
+    """Seat the pairs; the first sweep puts every dish at one table."""
+    spark = pairs.sparkSession
+    once = [F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") > 0).alias("t0")]
+    contexts = stage(pairs.groupBy("u").agg(*once))
+    words = stage(pairs.groupBy("w").agg(F.sum("c").alias("c"), once[1], once[2].alias("n0")).withColumn("s0", F.least("n0", F.lit(1))))
+    release(spark)
+    p = pairs.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    w = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2),
+        F.coalesce(F.sum("n0"), F.lit(0))).first()
+    all_ = Restaurants(contexts, words, None, [(float(w[4]), float(w[1]))], (discount_of(p[0], p[1]), discount_of(w[2], w[3])), w[0], w[1])
+    d = all_.discounts
+    seated = pairs.filter("c > 1")
+    for sweep in range(1, sweeps):
+        k = sweep - 1
+        of_context = all_.contexts.select("u", (F.lit(STRENGTH) + F.lit(d[0]) * F.col(f"t{k}")).alias("open"))
+        of_word = all_.words.select("w", all_.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias("p"))
+        weighed = seated.join(of_context, "u").join(of_word, "w").select(*seated.columns, (F.col("open") * F.col("p")).alias("weight"))
+        before, seated = seated, stage(_seat_pairs(weighed, sweep, d[0]))
+
+        def totals(side: DataFrame, key: str, name: str, seated: DataFrame = seated, t: str = f"t{sweep}") -> DataFrame:
+            sums = seated.groupBy(key).agg(F.sum(t).alias("_t")).withColumnRenamed(key, "_k")
+            joined = side.join(sums, F.col(key) == F.col("_k"), "left")
+            return joined.select(*side.columns, (F.col("one") + F.coalesce("_t", F.lit(0))).alias(name))
+
+        old = [all_.contexts, all_.words, *([before] if sweep > 1 else [])]
+        all_.contexts = stage(totals(all_.contexts, "u", f"t{sweep}"))
+        base = (STRENGTH + d[1] * all_.parent[k][1]) / (all_.v + 1)
+        all_.words = stage(_seat_words(totals(all_.words, "w", f"n{sweep}"), sweep, base, d[1]))
+        sums = all_.words.agg(F.coalesce(F.sum(f"n{sweep}"), F.lit(0)), F.coalesce(F.sum(f"s{sweep}"), F.lit(0))).first()
+        all_.parent.append((float(sums[0]), float(sums[1])))
+        discard(*old)
+        release(spark)
+    ones = pairs.filter("c <= 1").select(*pairs.columns, *[F.col("c").alias(f"t{k}") for k in range(1, sweeps)])
+    all_.pairs = ones.unionByName(seated)
+    return all_
+
+
+def pair_probabilities(of: Restaurants) -> DataFrame:
+    """u, w, total, wc (training count of the word), lp (log10 probability of the word in the context) of every pair."""
+    last = len(of.parent) - 1
+    used = range(min(1, last), last + 1)
+    d = of.discounts[0]
+    contexts = of.contexts.select("u", "n", *[(F.lit(STRENGTH) + F.lit(d) * F.col(f"t{k}")).alias(f"o{k}") for k in used])
+    words = of.words.select("w", F.col("c").alias("wc"), *[of.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias(f"p{k}") for k in used])
+    tables_of = lambda k: F.col(f"t{k}") if k else F.least("c", F.lit(1))
+    p = sum((F.col("c") - F.lit(d) * tables_of(k) + F.col(f"o{k}") * F.col(f"p{k}") for k in used), F.lit(0.0))
+    lp = F.log10(p / (len(used) * (F.col("n") + F.lit(STRENGTH))))
+    return of.pairs.join(contexts, "u").join(words, "w").select("u", "w", "total", "wc", lp.alias("lp"))
+
+
+def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    spark = docs.sparkSession
+    counts = stage(pair_counts(docs))
+    release(spark)
+    seated = seat(counts, sweeps)
+    n, v = seated.n, seated.v
+    pairs = stage(pair_probabilities(seated))
+    discard(counts, seated.contexts, seated.words)
+    release(spark)
+
+    least = at_least(pairs, "total", frequent)
+    often = pairs.filter(F.col("total") >= least).select("u", "w", "wc", "lp").toPandas()
+    keys = pair_keys(*(often[k].to_numpy(np.int64).view(np.uint64) for k in ("u", "w")))
+    order = np.argsort(keys)
+    base_of = lambda c: (c + 1) / float(n + v + 1)
+    wc = often["wc"].to_numpy(np.int64)[order]
+    lookup = spark.sparkContext.broadcast((keys[order], np.log10(base_of(wc)), often["lp"].to_numpy(float)[order], wc > 0))
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, base, lp, known = lookup.value
+        row = TaskContext.get().partitionId() << 40
+        for batch, first, h, counts in ((b, *t) for b in batches for t in word_hashes(b.column("text"))):
+            ids, lengths = with_ends(h, counts), counts + 1
+            before, docs_here = previous(ids), len(lengths)
+            owner = np.repeat(np.arange(docs_here), lengths)
+            at, there = find(keys, pair_keys(before, ids))
+            own, at, far = owner[there], at[there], ~there
+            add = lambda x: np.bincount(own, weights=x[at], minlength=docs_here) if len(x) else np.zeros(docs_here)
+            rows = row + np.arange(docs_here)
+            row += docs_here
+            none = int(far.sum())
+            join = lambda a, b: pa.array(np.concatenate([a, b]))
+            only = lambda a, kind: pa.concat_arrays([pa.array(a).cast(kind), pa.nulls(none, kind)])
+            doc_id = batch.column("doc_id").slice(first, docs_here).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                join(rows, rows[owner[far]]), join(rows, before[far].view(np.int64)), join(rows, ids[far].view(np.int64)),
+                pa.concat_arrays([doc_id, pa.nulls(none, pa.int64())]), only(lengths, pa.int64()), only(add(known), pa.int64()),
+                only(add(base), pa.float64()), only(add(lp), pa.float64()),
+            ], names=["row", "u", "w", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    parts = docs.select("doc_id", "text").mapInArrow(
+        job, "row long, u long, w long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    # The row of a whole document carries its own number as pair, so that these spread evenly; it takes nothing from the join.
+    pair = F.xxhash64("u", "w")
+    parts = parts.withColumn("_pair", pair).drop("u", "w")
+    rare = pairs.filter(F.col("total") < least).select(pair.alias("_pair"), "wc", "lp")
+    joined = parts.join(rare, "_pair", "left")
+    whole = F.col("n_tokens").isNotNull()
+    summed = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
+        F.sum(F.when(whole, F.col("n_known")).otherwise((F.col("wc") > 0).cast("long"))).alias("n_known"),
+        F.sum(F.when(whole, F.col("base_score")).otherwise(F.log10(base_of(F.col("wc"))))).alias("base_score"),
+        F.sum(F.when(whole, F.col("score")).otherwise(F.col("lp"))).alias("score"),
+    )
+    return summed.select(
+        "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
