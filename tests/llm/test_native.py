@@ -98,6 +98,14 @@ def test_cleaned_drops_lines_and_keeps_first(documents):
     assert len(out) == 60 and [i for i, t in out.items() if "same old" in t] == [0]
 
 
+def test_limit_of_the_pipeline_does_not_grow_with_the_host(documents):
+    own = lambda i: "\n".join(" ".join(f"{'abcdefghij'[i // 10**j % 10]}w{'xyz'[k]}{j}" for j in range(8)) for k in range(3))
+    for size in (200, 3200):  # 1 % of the larger host are 32 documents
+        rows = [(i, own(i) + "\nthe same old line" * (i < 30), "en", "s") for i in range(size)]
+        out = {x.doc_id: x.text for x in quality_rules.cleaned(documents(rows)).collect()}
+        assert len(out) == size and [i for i, t in out.items() if "same old" in t] == [0]
+
+
 def test_copies_do_not_make_a_line_common(documents):
     text = "\n".join(f"line {k} " + " ".join(f"w{k}x{j}" for j in range(8)) for k in range(5))
     out = quality_rules.judge(documents([(i, text, "en", "s") for i in range(80)])).filter("kept")

@@ -3,7 +3,8 @@
 DataFrame expressions only. A line is normalised and hashed; per host it counts the distinct documents that hold it.
 Documents with the same first and last line hash (lowest and highest hash among their lines) count once, so that copies
 of one text, exact or near, do not make its lines common. A line is over the limit if more than `min_docs` and more than
-`share` of the host's distinct documents hold it. Such lines are removed from every document but the host's first that
+`share` of the host's distinct documents hold it: so `judge`, as the SQL of its query has it. `cleaned`, which the pipeline uses,
+goes by WHOLE: the limit is the count alone, alike for every size of host. Such lines are removed from every document but the host's first that
 holds it (lowest doc_id), and a document of which less than `min_left` of the words are left is rejected as depleted.
 
 Only lines over the limit are joined back to the documents, never the lines of all texts; counts are partial before each
@@ -35,6 +36,10 @@ class Limits:
     min_left: float = 0.5
 
 
+# More than 20 distinct documents, whatever the size of the host.
+WHOLE = Limits(share=0.0)
+
+
 def word_lines(text: Column) -> Column:
     """Lines that hold a word."""
     return F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -140,7 +145,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return left.withColumns({"n_removed_words": removed, "kept": ~F.col("base_failed") & ~depleted}).drop("_row", "_gone", "_removed")
 
 
-def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def cleaned(docs: DataFrame, limits: Limits = WHOLE) -> DataFrame:
     """The documents kept, without the lines over the limit, with the columns of `docs`; n_chars follows the text."""
     docs, unpacked = packed(docs, ("doc_id", "source", "text", "n_chars"))
     judged = judge(docs, limits).filter("kept")
