@@ -106,6 +106,18 @@ def test_limit_of_the_pipeline_does_not_grow_with_the_host(documents):
         assert len(out) == size and [i for i, t in out.items() if "same old" in t] == [0]
 
 
+def test_much_boilerplate_is_found_in_few_pages(documents):
+    """60 pages with ten shared lines and one of their own: each counts, though most have the lowest and highest hash in common."""
+    shared = [f"menu {a} of the site goes here" for a in "abcdefghij"]
+    own = lambda i: " ".join("abcdefgh"[i % 8] + "abcdefgh"[i // 8] + chr(97 + k) * 3 for k in range(26))
+    rows = [(i, "\n".join([*shared, own(i)]), "en", "s") for i in range(60)]
+    out = {x.doc_id: x.text for x in quality_rules.cleaned(documents(rows), quality_rules.WHOLE).collect()}
+    left = quality_rules.common_lines(quality_rules.line_rows(documents(rows).withColumn("_row", F.col("doc_id")), quality_rules.WHOLE), quality_rules.WHOLE)
+    assert left.count() == 10 and [i for i, text in out.items() if "menu" in text] == [0]
+    same = [(i, rows[0][1], "en", "s") for i in range(60)]
+    assert quality_rules.cleaned(documents(same)).count() == 60
+
+
 def test_copies_do_not_make_a_line_common(documents):
     text = "\n".join(f"line {k} " + " ".join(f"w{k}x{j}" for j in range(8)) for k in range(5))
     out = quality_rules.judge(documents([(i, text, "en", "s") for i in range(80)])).filter("kept")

@@ -4,7 +4,8 @@ DataFrame expressions only. A line is normalised and hashed; per host it counts
 Documents with the same first and last line hash (lowest and highest hash among their lines) count once, so that copies
 of one text, exact or near, do not make its lines common. A line is over the limit if more than `min_docs` and more than
 `share` of the host's distinct documents hold it: so `judge`, as the SQL of its query has it. `cleaned`, which the pipeline uses,
-goes by WHOLE: the limit is the count alone, alike for every size of host. Such lines are removed from every document but the host's first that
+goes by WHOLE: the limit is the count alone, alike for every size of host, and only documents with all lines alike count once;
+near copies count each. Such lines are removed from every document but the host's first that
 holds it (lowest doc_id), and a document of which less than `min_left` of the words are left is rejected as depleted.
 
 Only lines over the limit are joined back to the documents, never the lines of all texts; counts are partial before each
@@ -34,10 +35,11 @@ class Limits:
     min_docs: int = 20
     share: float = 0.01
     min_left: float = 0.5
+    all_lines: bool = False  # documents are told apart by all their lines, not by the lowest and the highest hash
 
 
 # More than 20 distinct documents, whatever the size of the host.
-WHOLE = Limits(share=0.0)
+WHOLE = Limits(share=0.0, all_lines=True)
 
 
 def word_lines(text: Column) -> Column:
@@ -101,13 +103,14 @@ def with_row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "source", "text"))
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
+def line_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per word line: _row, doc_id, source, signature of the document, place, hash and words of the line."""
     lines = F.transform(word_lines(body("text")), lambda x: F.struct(
         F.md5(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
     hashes = F.col("_l.line")
+    told_apart_by = F.array_join(hashes, "") if limits.all_lines else F.concat(F.array_min(hashes), F.array_max(hashes))
     return docs.select("_row", "doc_id", "source", lines.alias("_l")).select(
-        "_row", "doc_id", "source", F.md5(F.concat(F.array_min(hashes), F.array_max(hashes))).alias("sig"), "_l"
+        "_row", "doc_id", "source", F.md5(told_apart_by).alias("sig"), "_l"
     ).select("_row", "doc_id", "source", "sig", F.posexplode("_l").alias("pos", "l")).select(
         "_row", "doc_id", "source", "sig", "pos", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
 
@@ -126,7 +129,7 @@ def common_lines(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def removals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per row key the lines to remove: _row, _places (array of line places among word lines), _removed (words in them)."""
-    rows = line_rows(docs)
+    rows = line_rows(docs, limits)
     common = stage(common_lines(rows, limits)).select(
         F.col("source").alias("_s"), F.col("line").alias("_line"), "first_doc")
     hits = rows.join(common, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line"))).filter(
