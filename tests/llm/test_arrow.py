@@ -285,6 +285,18 @@ def test_main_text():
     assert html_main.text_under(html_main.blocks("plain  text"), "/html/body/div") == "plain text"
 
 
+def test_headline_lead_and_sections_stay(spark):
+    inner = "<div class='content'><p>" + "the body of it all " * 30 + "</p></div>"
+    rest = "<h1>Title</h1><p>A lead of some words</p>" + inner + "<div class='more'><p>" + "a further part " * 9 + "</p></div>"
+    plain = "<html><body><div class='top'><p>Site</p></div><div class='wrap'>" + rest + "</div></body></html>"
+    short = "<html><body><div class='wrap'>" + inner + "</div></body></html>"
+    pages = [(1, "http://a.x/1", f"<html><body><article>{rest}</article></body></html>"), (2, "http://b.x/1", plain)]
+    pages += [(3 + i, "http://c.x/1", short) for i in range(3)] + [(6, "http://c.x/2", plain)]
+    got = {x.page_id: x.text for x in html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for k in (1, 2, 6):
+        assert got[k].startswith("Title\nA lead of some words\nthe body") and got[k].endswith("a further part") and "Site" not in got[k]
+
+
 def test_hosts_agree_on_their_paths(spark):
     good = "<html><body><div class='m'><p>" + "main text here " * 9 + "</p></div><div class='x'><p>short</p></div></body></html>"
     odd = "<html><body><div class='m'><p>tiny</p></div><div class='x'><p>" + "long side text " * 30 + "</p></div></body></html>"

@@ -1,10 +1,11 @@
 """Main text of web pages by consensus host paths.
 
 Every page is cut into blocks of text, each with the path of containers it stands in (tag and classes, numbers generalised).
-From the body down, the container path that holds most of the page's running text wins the page's vote; votes are counted
-per host and path in Spark. Each page is then extracted again: the blocks under its host's winning path, or under its own
-best path where the page has no such container. Menus, page headers, footers, sidebars, notices, adverts, forms, comments
-and what is no text are left out wherever they stand.
+A page votes for the article or main that holds its running text, else for the deepest container that holds all its long blocks
+and headings; votes are counted per host and path in Spark. Each page is then extracted again: the blocks under its host's
+winning path, or under its own best path where the page has no such container or its own contains the host's. Menus, page
+headers, footers, sidebars, notices, adverts, forms, comments and what is no text are left out wherever they stand, by tag or by
+a whole class, id or role; a form or hinted container (other than menus, footers and comments) with most of the text is kept.
 
 Votes are partial before the shuffle and one row per host is joined back (its size is known when joined, so the planner
 broadcasts it only while small). A null page is empty and has no text; a null url is a host of its own. Unclosed and
@@ -41,35 +42,39 @@ HINT = re.compile(
     r"related|recommend\w*|breadcrumb\w*|pag(?:er|ination)|widget|masthead|topbar|toolbar|skip)(?:$|[-_\s0-9])",
     re.I,
 )
+NAMED = re.compile(r"/(?:article|main)(?:[./]|$)")
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"[\s ]+")
 SHARE = 0.7
+LONG = 60  # characters of a block that counts by itself as running text
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def general_name(tag: str, attributes: str) -> tuple[str, bool]:
+def general_name(tag: str, attributes: str) -> tuple[str, bool | None]:
     """Tag and classes with numbers generalised, and whether it is one of the parts left out."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in CLASS.finditer(attributes)} if attributes.strip() else {}
     classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
     hints = " ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")])
-    return ".".join([tag, *classes]), tag in LEFT_OUT or bool(hints.strip() and HINT.search(hints))
+    return ".".join([tag, *classes]), (tag in LEFT_OUT or bool(hints.strip() and HINT.search(hints))) or None
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of every block that is not left out, in page order."""
-    out, stack, paths, bad = [], [], [""], [False]
+def blocks(page: str) -> list[tuple[str, str, int, bool]]:
+    """(path, text, characters in links, whether a heading) of every block that is not left out, in page order."""
+    out, stack, paths = [], [], [""]
+    bad: list[tuple[int, ...]] = [()]  # by open container: numbers of those around it that are to be left out
+    firm: list[bool] = []
     parts: list[str] = []
-    linked, link_at = 0, None
+    linked, link_at, heading = 0, None, False
 
     def close() -> None:
         nonlocal linked, link_at
         text = SPACE.sub(" ", entities.unescape("".join(parts))).strip() if parts else ""
-        if text and not bad[-1]:
+        if text:
             here = linked + (sum(map(len, parts[link_at:])) if link_at is not None else 0)
-            out.append((paths[-1], text, min(here, len(text))))
+            out.append((bad[-1], (paths[-1], text, min(here, len(text)), heading)))
         parts.clear()
         linked, link_at = 0, None if link_at is None else 0
 
@@ -91,14 +96,18 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             parts.append(" ")
         elif tag in BREAKS:
             close()
+            heading = tag in ("h1", "h2", "h3") and not ending
             if tag not in CONTAINERS:
                 continue
             if not ending:
-                name, out_of_text = general_name(tag, m[4])
-                inside = any(t in ("article", "main") for t in stack)
+                name, left_out = general_name(tag, m[4])
+                if tag == "header" and not any(t in ("article", "main") for t in stack):
+                    left_out = True
                 stack.append(tag)
                 paths.append(f"{paths[-1]}/{name}")
-                bad.append(bad[-1] or out_of_text or (tag == "header" and not inside))
+                bad.append(bad[-1] if left_out is None else (*bad[-1], len(firm)))
+                if left_out is not None:
+                    firm.append(left_out)
             elif tag in stack:
                 while True:
                     paths.pop()
@@ -108,37 +117,53 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return [x for around, x in out if not around]
 
 
-def best_path(found: list[tuple[str, str, int]]) -> tuple[str, float]:
-    """The deepest path that still holds SHARE of the running text of the one above it, and how much it holds."""
+def weight_of(block: tuple[str, str, int, bool]) -> int:
+    return len(block[1]) - block[2]
+
+
+def best_path(found: list[tuple[str, str, int, bool]]) -> tuple[str, float]:
+    """The container of the running text, and how much it holds: the shallowest article or main that holds SHARE of it, else
+    the deepest container of all long blocks and headings (of all blocks if there are none)."""
     totals: dict[str, float] = {}
-    for path, text, linked in found:
-        weight = float(len(text) - linked)
+    for block in found:
+        path = block[0]
         while True:
-            totals[path] = totals.get(path, 0.0) + weight
+            totals[path] = totals.get(path, 0.0) + weight_of(block)
             if not path:
                 break
             path = path.rpartition("/")[0]
-    best = ""
-    while True:
-        below = [(w, p) for p, w in totals.items() if p.rpartition("/")[0] == best and p and p != best]
-        if not below or max(below)[0] < SHARE * totals.get(best, 0.0) or totals.get(best, 0.0) <= 0:
-            return best, totals.get(best, 0.0)
-        best = max(below)[1]
+    whole = totals.get("", 0.0)
+    if whole <= 0:
+        return "", whole
+    named = [p for p, w in totals.items() if NAMED.search(p) and w >= SHARE * whole]
+    if named:
+        best = min(named, key=lambda p: (p.count("/"), p))
+        return best, totals[best]
+    running = [b for b in found if weight_of(b) > 0]
+    high = [b for b in running if weight_of(b) >= LONG and 2 * b[2] <= len(b[1])]
+    high = high + [b for b in running if b[3]] if high else running
+    common = high[0][0].split("/")
+    for path in {b[0] for b in high}:
+        steps = path.split("/")
+        n = next((i for i, (x, y) in enumerate(zip(common, steps)) if x != y), min(len(common), len(steps)))  # noqa: B905
+        common = common[:n]
+    best = "/".join(common)
+    return best, totals[best]
 
 
 def under(path: str, root: str) -> bool:
     return path == root or path.startswith(root + "/")
 
 
-def text_under(found: list[tuple[str, str, int]], root: str | None) -> str:
-    """Blocks under the host's path, or under the page's own best one."""
-    chosen = [t for p, t, _ in found if root is not None and under(p, root)]
-    if not chosen:
-        own, _ = best_path(found)
-        chosen = [t for p, t, _ in found if under(p, own)]
+def text_under(found: list[tuple[str, str, int, bool]], root: str | None) -> str:
+    """Blocks under the host's path, or under the page's own best one if it has no such container or its own goes beyond it."""
+    chosen = [b[1] for b in found if root is not None and under(b[0], root)]
+    own, _ = best_path(found)
+    if not chosen or (own != root and under(root, own)):
+        chosen = [b[1] for b in found if under(b[0], own)]
     return "\n".join(chosen)
 
 
