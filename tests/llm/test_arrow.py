@@ -297,6 +297,19 @@ def test_headline_lead_and_sections_stay(spark):
         assert got[k].startswith("Title\nA lead of some words\nthe body") and got[k].endswith("a further part") and "Site" not in got[k]
 
 
+def test_hints_do_not_empty_a_page():
+    text = "<p>" + "some running text of the page " * 9 + "</p>"
+    for page in (f"<body class='post has-sidebar comments-open'>{text}</body>", f"<body><div class='content no-sidebar'>{text}</div></body>",
+                 f"<body><main class='widget'>{text}</main></body>", f"<body><p>Top</p><form id='aspnet'><div>{text}</div></form></body>",
+                 f"<body><div class='widget'>{text}<div class='comments'><p>{'a reader says ' * 90}</p></div></div></body>"):
+        found = html_main.blocks(page)
+        got = html_main.text_under(found, html_main.best_path(found)[0])
+        assert "some running text" in got and "reader" not in got
+    for name in ("sidebar", "cookie-notice", "site-footer", "nav-menu", "ad_box-12", "related-posts widget", "post-comments"):
+        found = html_main.blocks(f"<body><div class='c'>{text}</div><div class='{name}'><p>left out</p></div></body>")
+        assert [b[1][:4] for b in found] == ["some"], name
+
+
 def test_hosts_agree_on_their_paths(spark):
     good = "<html><body><div class='m'><p>" + "main text here " * 9 + "</p></div><div class='x'><p>short</p></div></body></html>"
     odd = "<html><body><div class='m'><p>tiny</p></div><div class='x'><p>" + "long side text " * 30 + "</p></div></body></html>"

@@ -35,17 +35,25 @@ TOKEN = re.compile(
 CONTAINERS = frozenset("html body main article section div nav header footer aside form fieldset ul ol dl table tbody thead tfoot tr td details dialog".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd th blockquote pre figure figcaption caption hr address summary head".split())
 EMPTY = frozenset("br img hr input meta link area base col embed source track wbr".split())
-LEFT_OUT = frozenset("nav footer aside form fieldset dialog menu".split())
+LEFT_OUT = frozenset("nav footer aside dialog menu".split())
+FORMS = frozenset("form fieldset".split())
+NEVER = frozenset("html body main article".split())
 HINT = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|footer|sidebar|side|ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|"
-    r"popup|modal|overlay|alert|newsletter|subscribe|signup|login|comment\w*|respond|repl(?:y|ies)|disqus|discussion|share|sharing|social|"
-    r"related|recommend\w*|breadcrumb\w*|pag(?:er|ination)|widget|masthead|topbar|toolbar|skip)(?:$|[-_\s0-9])",
-    re.I,
-)
+    r"nav|navbar|navigation|menu|footer|sidebar|side|ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|"
+    r"popup|modal|overlay|alert|newsletter|subscribe|signup|login|comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion|share|sharing|social|"
+    r"related|recommend\w*|breadcrumbs?|pag(?:er|ination)|widget|masthead|topbar|toolbar|skip", re.I)
+# Hints at parts that may well be longer than the article.
+FIRM = re.compile(r"nav|navbar|navigation|menu|footer|cookies?|consent|gdpr|comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion", re.I)
+# Words that may stand with a hint in a class without changing what it says.
+BESIDE = frozenset(
+    "site page main global primary secondary top bottom left right box bar list area block section wrap wrapper inner container item items "
+    "link links header post entry article form mobile desktop sticky fixed".split())
 NAMED = re.compile(r"/(?:article|main)(?:[./]|$)")
+PARTS = re.compile(r"[-_\d]+")
 CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACE = re.compile(r"[\s ]+")
 SHARE = 0.7
+MOST = 0.5
 LONG = 60  # characters of a block that counts by itself as running text
 
 
@@ -53,12 +61,25 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
+def hinted(token: str) -> bool | None:
+    """Whether a class, id or role, taken whole, names a part left out, and firmly so; None if it does not."""
+    parts = [x for x in PARTS.split(token.lower()) if x]
+    hints = [x for x in parts if HINT.fullmatch(x)]
+    if not hints or not all(x in BESIDE or HINT.fullmatch(x) for x in parts):
+        return None
+    return any(FIRM.fullmatch(x) for x in hints)
+
+
 def general_name(tag: str, attributes: str) -> tuple[str, bool | None]:
-    """Tag and classes with numbers generalised, and whether it is one of the parts left out."""
+    """Tag and classes with numbers generalised, and whether it is one of the parts left out: firmly, only if the page has most
+    of its text elsewhere (False), or not at all (None)."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in CLASS.finditer(attributes)} if attributes.strip() else {}
     classes = sorted({re.sub(r"\d+", "#", c.lower()) for c in found.get("class", "").split()})
-    hints = " ".join([found.get("class", ""), found.get("id", ""), found.get("role", "")])
-    return ".".join([tag, *classes]), (tag in LEFT_OUT or bool(hints.strip() and HINT.search(hints))) or None
+    name = ".".join([tag, *classes])
+    if tag in NEVER:
+        return name, None
+    said = [hinted(x) for k in ("class", "id", "role") for x in found.get(k, "").split()] + [True if tag in LEFT_OUT else False if tag in FORMS else None]
+    return name, max((x for x in said if x is not None), default=None)
 
 
 def blocks(page: str) -> list[tuple[str, str, int, bool]]:
@@ -117,7 +138,21 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     if at < len(page):
         parts.append(page[at:])
     close()
-    return [x for around, x in out if not around]
+    taken_back = most_of_the_page(out, firm)
+    return [x for around, x in out if taken_back.issuperset(around)]
+
+
+def most_of_the_page(found: list[tuple[tuple[int, ...], tuple]], firm: list[bool]) -> set[int]:
+    """Containers that are left out by a hint or as a form but hold most of the running text that is in no firmly left out
+    part, and those around them: they are the page itself. None if an article or main outside of them has text."""
+    if not firm or any(not around and weight_of(x) > 0 and NAMED.search(x[0]) for around, x in found):
+        return set()
+    held: dict[tuple[int, ...], int] = {}
+    for around, block in found:
+        if not any(firm[c] for c in around):
+            held[around] = held.get(around, 0) + weight_of(block)
+    total = sum(held.values())
+    return {c for around, n in held.items() if n > MOST * total for c in around}
 
 
 def weight_of(block: tuple[str, str, int, bool]) -> int:
