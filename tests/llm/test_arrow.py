@@ -371,6 +371,24 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "key long, path string, text string")).count() == 0
 
 
+def test_licence_texts_and_wrapped_headers(spark):
+    import textwrap
+
+    wrap = lambda text, mark="": "\n".join(mark + line for line in textwrap.wrap(text, 70))
+    rows = [(0, "p/x.txt", "code")]
+    for k, (name, text) in enumerate(licenses.TEXTS.items()):
+        rows += [(2 * k + 1, f"l{k}/LICENSE", "Copyright (c) 2024 Someone Else\n\n" + wrap(text)), (2 * k + 2, f"l{k}/src/a.c", "int a;\nint b;")]
+    heads = {101: ("GPL-2.0", "# "), 102: ("GPL-3.0", " * "), 103: ("Apache-2.0", "// "), 104: ("AGPL-3.0", "")}
+    rows += [(k, f"h/{k}.c", wrap(licenses.HEADERS[n], m) + "\n\n" + "int some_code = other_code;\n" * 40) for k, (n, m) in heads.items()]
+    rows += [(105, "h/n.txt", "This program is licensed under the GNU General\nPublic License, version 2.\n\n" + "words of text\n" * 30)]
+    rows += [(200 + k, f"z/{k}.txt", f"plain prose {k} about the use of this and that") for k in range(60)]
+    by = {x.key: (x.licence, x.origin) for x in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    for k, name in enumerate(licenses.TEXTS):
+        assert by[2 * k + 1] == (name, "own") and by[2 * k + 2] == (name, "inherited"), name
+    assert {k: by[k] for k in heads} == {k: (n, "own") for k, (n, _) in heads.items()} and by[105] == ("GPL-2.0", "own")
+    assert by[0] == (None, None) and all(by[200 + k] == (None, None) for k in range(60))
+
+
 def test_cosine_against_dense_vectors():
     idf = {t: 1.0 + k % 3 for k, t in enumerate(licenses.template_terms())}
     m = licenses.Matcher(idf, 4.0)
