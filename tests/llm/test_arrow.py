@@ -152,6 +152,18 @@ def test_languages_on_held_out_documents(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
 
 
+def test_rare_languages_are_learnt(documents):
+    """270 languages, each with letters of its own."""
+    text = lambda k: " ".join(chr(0x4E00 + 20 * k + j) * 2 + chr(0x4E00 + 20 * k + (j + i) % 20) for i in range(3) for j in range(20))
+    n = 270
+    rows = [(i, text(i % n), f"l{i % n:03d}", "s") for i in range(8 * n)]
+    got = langid.predict(documents(rows)).toPandas()
+    trained = {i % n for i in range(8 * n) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(trained) > 260
+    right = [p == f"l{i % n:03d}" for i, p in zip(got.doc_id, got.lang_pred, strict=True) if i % n in trained]
+    assert np.mean(right) > 0.98
+
+
 def test_languages_of_odd_texts(documents, odd_rows):
     got = langid.predict(documents(odd_rows, clash=True)).collect()
     assert len(got) == len(odd_rows)

@@ -5,9 +5,9 @@ BITS bits; the kernel of two texts is the number of n-grams they share over the
 training texts span the Nystrom space; one ridge regression per language (one versus rest) is solved in it. A batch of texts
 is scored by matrix products: bits times landmark bits, kernel values times coefficients.
 
-The fit uses at most PER_LANGUAGE texts of each of the LANGUAGES most frequent languages, a bound, chosen by the lowest
-hashes of their ids among all training documents; their bits (BITS / 8 bytes a text) are all that reaches the driver.
-Every text is scored whole.
+The fit uses texts of every language: at most PER_LANGUAGE of each, fewer (but FEW) if there are so many languages that all
+would pass SAMPLE, chosen by the lowest hashes of their ids among all training documents; their bits (BITS / 8 bytes a
+text) are all that reaches the driver. Every language has FEW landmarks or all its texts. Every text is scored whole.
 
 A null text or one without letters is `und` with score 0, as is every text if there is nothing to learn from. Rows are
 scored one by one; repeated rows alike. Other columns are not looked at for a prediction.
@@ -19,13 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 4096
 LANDMARKS = 256
 PER_LANGUAGE = 400
-LANGUAGES = 200
+SAMPLE = 80_000
+FEW = 4
 RIDGE = 1e-3
 NONE = "und"
 CHARS = 200_000  # letters worked at a time; longer texts come in overlapping pieces
@@ -66,7 +67,7 @@ def solve(bits: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS, ridg
     """Landmarks, coefficients (landmark x language) and languages of the one-versus-rest kernel ridge regression."""
     names = sorted(set(labels.tolist()))
     by_name = [np.flatnonzero(labels == n) for n in names]
-    chosen = [rows[i] for i in range(max(map(len, by_name))) for rows in by_name if i < len(rows)][:landmarks]
+    chosen = [rows[i] for i in range(max(map(len, by_name))) for rows in by_name if i < len(rows)][:max(landmarks, sum(min(FEW, len(rows)) for rows in by_name))]
     x = bits.astype(np.float32)
     marks = x[chosen]
     k_mm = kernel(marks, marks).astype(np.float64)
@@ -84,21 +85,22 @@ def solve(bits: np.ndarray, labels: np.ndarray, landmarks: int = LANDMARKS, ridg
 
 def training_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bits and languages of the bounded training sample."""
-    pool = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    found = pool.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    pool = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    found = pool.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    wanted = min(PER_LANGUAGE, max(FEW, SAMPLE // max(len(found), 1)))
     rank = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(2**62)) / float(2**62)
-    # Twice the wanted share of every language, of which the lowest ranks are kept: enough unless chance is absurdly unkind.
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(2.0 * PER_LANGUAGE / r["n"])) for r in found]) if found else F.lit(0.0)
+    # Twice the wanted share of every language and some, of which the lowest ranks are kept: enough unless chance is absurdly unkind.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * wanted + 40) / r["n"]) for r in found], "_lang string, _share double")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(packed, pa.binary())], names=["lang", "rank", "bits"])
 
-    some = pool.withColumn("rank", rank).filter(F.col("rank") < share).select("lang", "rank", "text")
-    rows = some.mapInArrow(job, "lang string, rank double, bits binary").filter("bits is not null").orderBy("rank", "bits").limit(
-        2 * PER_LANGUAGE * len(found) if found else 1).toPandas()
-    rows = rows.groupby("lang", sort=True).head(PER_LANGUAGE)
+    some = pool.withColumn("rank", rank).join(shares, F.col("lang") == F.col("_lang")).filter(F.col("rank") < F.col("_share")).select("lang", "rank", "text")
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "bits"))
+    rows = some.mapInArrow(job, "lang string, rank double, bits binary").filter("bits is not null").withColumn("_at", lowest).filter(
+        F.col("_at") <= wanted).select("lang", "rank", "bits").toPandas().sort_values(["rank", "bits"], kind="stable")
     bits = np.unpackbits(np.frombuffer(b"".join(bytes(b) for b in rows["bits"]), np.uint8).reshape(len(rows), BITS // 8), axis=1) if len(rows) else np.empty((0, BITS), np.uint8)
     return bits, rows["lang"].to_numpy(dtype=object)
 
