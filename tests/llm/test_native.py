@@ -144,6 +144,16 @@ def test_clean_removes_only_documents_with_items(hand_made):
     assert not left & {400, 401, 403} and 402 in left and {100, 3, 6} <= left
 
 
+def test_items_are_told_apart_by_their_words(spark, documents):
+    """Two texts under one id, two without an id, one text under two ids."""
+    text = lambda a: " ".join(f"{a}{k}" for k in range(30))
+    items = spark.createDataFrame([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (2, text("e")), (3, text("e"))], "item_id long, text string")
+    docs = documents([(i, f"before {text(a)} after", "en", "s") for i, a in enumerate("abcde")] + [(9, text("f"), "en", "s")])
+    got = sorted((x.doc_id, x.item_id) for x in decontam.leaks(docs, items).fillna(-1).collect())
+    assert got == [(0, 1), (1, 1), (2, -1), (3, -1), (4, 2), (4, 3)]
+    assert [x.doc_id for x in decontam.clean(docs, items).collect()] == [9]
+
+
 def test_simhash_is_the_weighted_vote(spark):
     row = spark.createDataFrame([(["a b c", "dd ee f", "a b c"],)], "s array<string>").select(
         decontam.simhash(F.col("s")).alias("h"), F.transform("s", lambda x: F.xxhash64(x)).alias("x")).first()

@@ -7,7 +7,8 @@ value of a block within `FLIPS` flipped bits. Two fingerprints within BLOCKS * (
 FLIPS bits in one block, so none within that radius is lost. Candidates are checked exactly: shingles are counted with
 multiplicity and weigh as much as they have code points; 100 * weight in common >= 80 * weight in either.
 
-Shingles are five words (lower case); an item of fewer words is one shingle. Null and empty texts and items have no words
+Items are told apart by their words (`item`, a hash of them), so that texts under one item_id, or without one, are looked for each
+by itself; item_id only names them in the result. Shingles are five words (lower case); an item of fewer words is one shingle. Null and empty texts and items have no words
 and match nothing. Repeated documents give one row per (doc_id, item); an empty table gives an empty result; other columns
 are not looked at. The items' shingles are broadcast only after they were counted; beyond `BROADCAST_ROWS` the join
 shuffles.
@@ -99,10 +100,10 @@ def _flip(k: int, value: Column):
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, size in words, shingle length, shingles; items without words are left out."""
+    """item_id, key of the words, size in words, shingle length, shingles; items without words are left out."""
     w = words(F.lower(body("text")))
     return benchmark.select("item_id", w.alias("w")).filter(F.size("w") > 0).select(
-        "item_id", F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w"
+        "item_id", F.xxhash64(F.array_join("w", " ")).alias("item"), F.size("w").alias("size"), F.least(F.size("w"), F.lit(SHINGLE)).alias("k"), "w"
     ).withColumn("shingles", grams(F.col("w"), F.col("k"))).drop("w").dropDuplicates(["item_id", "size", "shingles"])
 
 
@@ -153,20 +154,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     distinct = cut.groupBy("window").agg(F.first("w").alias("w"), F.first("k").alias("k")).withColumn(
         "shingles", grams(F.col("w"), F.least(F.col("k"), F.size("w")))).drop("w")
     prints = stage(distinct.withColumn("print", simhash(F.col("shingles"))))
-    index = items.withColumn("item_print", simhash(F.col("shingles"))).select(
-        "item_id", F.col("k").alias("item_k"), "item_print", F.explode(probes(F.col("item_print"))).alias("b"))
+    texts = items.dropDuplicates(["item"])
+    index = texts.withColumn("item_print", simhash(F.col("shingles"))).select(
+        "item", F.col("k").alias("item_k"), "item_print", F.explode(probes(F.col("item_print"))).alias("b"))
     looked_up = prints.select("window", "k", "print", F.explode(blocks(F.col("print"))).alias("b"))
     near = looked_up.join(index, "b").filter(
         (F.col("k") == F.col("item_k")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    ).select("window", "item_id").distinct()
+    ).select("window", "item").distinct()
 
-    of_window, of_item = _counted(prints, "window"), _counted(items, "item_id")
+    of_window, of_item = _counted(prints, "window"), _counted(texts, "item")
     totals = lambda rows, key, name: rows.groupBy(key).agg(F.sum(F.col("n") * F.col("weight")).alias(name))
     common = near.join(of_window, "window").join(
-        of_item.select("item_id", "shingle", F.col("n").alias("m")), ["item_id", "shingle"]
-    ).groupBy("window", "item_id").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("common"))
-    same = common.join(totals(of_window, "window", "tw"), "window").join(totals(of_item, "item_id", "ti"), "item_id").withColumn(
+        of_item.select("item", "shingle", F.col("n").alias("m")), ["item", "shingle"]
+    ).groupBy("window", "item").agg(F.sum(F.least("n", "m") * F.col("weight")).alias("common"))
+    same = common.join(totals(of_window, "window", "tw"), "window").join(totals(of_item, "item", "ti"), "item").withColumn(
         "either", F.col("tw") + F.col("ti") - F.col("common")).filter(100 * F.col("common") >= PERCENT * F.col("either"))
+    same = same.join(items.select("item", "item_id"), "item").drop("item")
     return cut.drop("w").join(same, "window").select("doc_id", "_row", "item_id", "start", "size", "common", "either")
 
 
