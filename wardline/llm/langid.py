@@ -90,6 +90,7 @@ def training_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     wanted = min(PER_LANGUAGE, max(FEW, SAMPLE // max(len(found), 1)))
     rank = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(2**62)) / float(2**62)
     # Twice the wanted share of every language and some, of which the lowest ranks are kept: enough unless chance is absurdly unkind.
+    # One row a language, collected already: broadcast, so that no text is shuffled.
     shares = docs.sparkSession.createDataFrame([(r["lang"], (2.0 * wanted + 40) / r["n"]) for r in found], "_lang string, _share double")
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +98,7 @@ def training_bits(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             packed = [np.packbits(presence(t)).tobytes() if has_letter(t) else None for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(packed, pa.binary())], names=["lang", "rank", "bits"])
 
-    some = pool.withColumn("rank", rank).join(shares, F.col("lang") == F.col("_lang")).filter(F.col("rank") < F.col("_share")).select("lang", "rank", "text")
+    some = pool.withColumn("rank", rank).join(F.broadcast(shares), F.col("lang") == F.col("_lang")).filter(F.col("rank") < F.col("_share")).select("lang", "rank", "text")
     lowest = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "bits"))
     rows = some.mapInArrow(job, "lang string, rank double, bits binary").filter("bits is not null").withColumn("_at", lowest).filter(
         F.col("_at") <= wanted).select("lang", "rank", "bits").toPandas().sort_values(["rank", "bits"], kind="stable")
