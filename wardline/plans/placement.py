@@ -2,6 +2,7 @@
 
 `lookup_join` is a plain join without hints: nothing runs while a query is built, the planner broadcasts a side whose size
 it knows to be small, and adaptive execution turns a shuffled join into a broadcast or splits a hot key from real sizes.
+`spread_join` is for lookup sides too large to broadcast whose hot keys are known.
 """
 
 from __future__ import annotations
@@ -33,3 +34,17 @@ def lookup_join(
         fact_key, lookup_key = F.col(k), F.col(f"__{k}")
         condition = condition & (fact_key.eqNullSafe(lookup_key) if k in null_safe else fact_key == lookup_key)
     return fact.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
+
+
+def spread_join(fact: DataFrame, lookup: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """Inner join on `key`, of which `lookup` has one row with the number of the fact's rows that bear it in `count`.
+
+    Keys with more than one in `share` of the counted rows are broadcast: there are fewer than `share` of them, whatever the
+    sizes. All other keys are joined by a shuffle, in which none has more than that part of the rows. `count` is dropped.
+    """
+    limit = (lookup.agg(F.sum(count)).first()[0] or 0) // share
+    side = lookup.withColumnRenamed(key, "__key")
+    hot, rest = side.filter(F.col(count) > limit).drop(count), side.filter(F.col(count) <= limit).drop(count)
+    same = F.col(key) == F.col("__key")
+    by_shuffle = fact.join(F.broadcast(hot.select("__key")), same, "left_anti").join(rest, same)
+    return fact.join(F.broadcast(hot), same).union(by_shuffle).drop("__key")
