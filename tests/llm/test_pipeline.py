@@ -36,5 +36,5 @@ def test_run_is_the_stages(spark):
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert "pipeline" in names and {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import decontam, quality_rules, secrets
+from wardline.llm import centroids, decontam, filter_audit, quality_rules, secrets
 
 
 def _found(name: str, pattern: str, group: int = 0) -> str:
@@ -124,3 +124,62 @@ m AS (SELECT doc_id, item_id, start, size, common, tw + ti - common AS either FR
       WHERE 100 * common >= {decontam.PERCENT} * (tw + ti - common))
 SELECT doc_id, item_id, start::INTEGER AS start, size::INTEGER AS size, common::BIGINT AS common_weight, either::BIGINT AS either_weight
 FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / either DESC, start) = 1"""
+
+
+# Documents are counted by the set of filters they fail; orders are built by joins.
+FILTERS = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, [x FOR x IN string_split_regex(t, '[\x20\x09-\x0D]+') IF x <> ''] AS ws FROM d),
+f AS (SELECT part, doc_id, [
+        len(ws) < {filter_audit.MIN_WORDS}, 100 * len(list_distinct(ws)) < {filter_audit.MIN_DISTINCT_PCT} * len(ws),
+        100 * len(regexp_extract_all(t, '[A-Z]')) > {filter_audit.MAX_CAPITAL_PCT} * length(t), regexp_matches(t, '[#$%&*|]'),
+        coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false)] AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+sets AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+         FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+seq AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS places
+        FROM letter a JOIN letter b ON b.x <> a.x JOIN letter c ON c.x NOT IN (a.x, b.x)
+             JOIN letter d ON d.x NOT IN (a.x, b.x, c.x) JOIN letter e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, places, unnest(range(1, 6))::INTEGER AS step FROM seq),
+j AS (SELECT part, filter_order, step, places[step] AS i, n, good, toxic, fails[places[step]] AS hit,
+             list_bool_or([fails[k] FOR k IN places[:step - 1]]) IS TRUE AS gone,
+             list_sum([fails[k]::INT FOR k IN places]) = 1 AS lone
+      FROM sets, steps),
+r AS (SELECT part, filter_order, step, i,
+             sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+             sum(n) FILTER (hit AND lone) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost,
+             sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost
+      FROM j GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, i), 0)::BIGINT AS shapley
+FROM r"""
+
+
+def _centroids() -> str:
+    """Distances as |q|^2 - 2 q.c + |c|^2 in doubles, which hold these integers exactly."""
+    k, width, scale = centroids.CLUSTERS, centroids.WIDTH, centroids.SCALE
+    ctes = [
+        f"""v AS (SELECT row_number() OVER () AS rid, vec_id, [floor({scale} * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = {width} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {width})""",
+        f"""c0 AS (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id) NULLS LAST, q) - 1 AS c, q AS m FROM v
+  QUALIFY c < {k})""",
+    ]
+    for r in range(centroids.ROUNDS + 1):
+        ctes.append(f"""a{r} AS (SELECT rid, c, d FROM (
+  SELECT rid, c, list_inner_product(q, q) - 2 * list_inner_product(q, m) + list_inner_product(m, m) AS d FROM v, c{r})
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1)""")
+        if r < centroids.ROUNDS:
+            ctes.append(f"""s{r} AS (SELECT c, i, floor(sum(q[i])::BIGINT::DOUBLE / count(*)) AS x FROM a{r} JOIN v USING (rid), unnest(range(1, {width + 1})) AS u(i)
+  GROUP BY c, i)""")
+            ctes.append(f"""c{r + 1} AS (SELECT c, coalesce(n.m, c{r}.m) AS m FROM c{r} LEFT JOIN (
+  SELECT c, list(x ORDER BY i) AS m FROM s{r} GROUP BY c) n USING (c))""")
+    r = centroids.ROUNDS
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string([x::BIGINT FOR x IN m], ',')) AS centroid_sha256
+FROM a{r} JOIN v USING (rid) JOIN c{r} USING (c)"""
+
+
+CENTROIDS = _centroids()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bayes_quality, decontam, html_main, jaccard_join, langid, licenses, mixing, oracles, pitman_yor, quality_rules, secrets
+from wardline.llm import bayes_quality, centroids, decontam, filter_audit, html_main, jaccard_join, langid, licenses, mixing, oracles, pitman_yor, quality_rules, secrets, sharding
 from wardline.llm.text import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,22 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bayes_quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query(oracles.FILTERS)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query()
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(read(spark, sf_dir, "documents"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query(oracles.CENTROIDS)
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(read(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
