@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle_check import compare
-from wardline.llm import decontam, quality_rules, queries, secrets
+from wardline.llm import decontam, quality_rules, queries, secrets, text
 
 PROSE = "the of and to in is that for it was on are as with his they at be this from".split()
 
@@ -37,6 +37,7 @@ def hand_made(spark, documents, odd_rows):
     rows += [
         (400, "before it " + body + " after it", "en", "hot"), (401, "x " + body.replace("item20", "other"), "en", "hot"),
         (402, " ".join(body.split()[:14]) + " tail", "en", "hot"), (403, "said ONLY three   words here", "en", "cold"),
+        (404, "x " + body.replace("item29", "other"), "en", "hot"),
     ]
     return documents(rows), spark.createDataFrame(items, "item_id long, text string")
 
@@ -118,6 +119,18 @@ def test_much_boilerplate_is_found_in_few_pages(documents):
     assert quality_rules.cleaned(documents(same)).count() == 60
 
 
+def test_only_texts_with_lines_to_remove_are_shuffled(documents):
+    """The rest is judged where it is read: its side of the union has no exchange."""
+    own = lambda i: " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k) * 3 for k in range(26))
+    rows = [(i, own(i) + "\nthe same old line" * (i % 2), "en", "s") for i in range(120)]
+    docs = documents(rows)
+    some, none = text.parted(quality_rules.with_row_key(docs), "_row", quality_rules.with_row_key(docs.filter("doc_id % 2 = 1")).select("_row"))
+    assert {x.doc_id for x in some.collect()} >= set(range(1, 120, 2)) and some.count() + none.count() == 120 and none.count() > 50
+    assert "Exchange hashpartitioning" not in none._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    out = {x.doc_id: x.text for x in quality_rules.cleaned(docs).collect()}
+    assert len(out) == 120 and [i for i, t in out.items() if "same old" in t] == [1]
+
+
 def test_copies_do_not_make_a_line_common(documents):
     text = "\n".join(f"line {k} " + " ".join(f"w{k}x{j}" for j in range(8)) for k in range(5))
     out = quality_rules.judge(documents([(i, text, "en", "s") for i in range(80)])).filter("kept")
@@ -140,15 +153,16 @@ def test_hamming_blocks_lose_no_pair_within_the_radius(spark):
 
 def test_clean_removes_only_documents_with_items(hand_made):
     docs, items = hand_made
+    """One word changed inside costs five of 26 shingles: 21 of 31 are alike, under 80 %. At the end it costs one: 25 of 27."""
     left = {x.doc_id for x in decontam.clean(docs, items).collect()}
-    assert not left & {400, 401, 403} and 402 in left and {100, 3, 6} <= left
+    assert not left & {400, 403, 404} and {401, 402} <= left and {100, 3, 6} <= left
 
 
 def test_items_are_told_apart_by_their_words(spark, documents):
     """Two texts under one id, two without an id, one text under two ids."""
-    text = lambda a: " ".join(f"{a}{k}" for k in range(30))
-    items = spark.createDataFrame([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (2, text("e")), (3, text("e"))], "item_id long, text string")
-    docs = documents([(i, f"before {text(a)} after", "en", "s") for i, a in enumerate("abcde")] + [(9, text("f"), "en", "s")])
+    said = lambda a: " ".join(f"{a}{k}" for k in range(30))
+    items = spark.createDataFrame([(1, said("a")), (1, said("b")), (None, said("c")), (None, said("d")), (2, said("e")), (3, said("e"))], "item_id long, text string")
+    docs = documents([(i, f"before {said(a)} after", "en", "s") for i, a in enumerate("abcde")] + [(9, said("f"), "en", "s")])
     got = sorted((x.doc_id, x.item_id) for x in decontam.leaks(docs, items).fillna(-1).collect())
     assert got == [(0, 1), (1, 1), (2, -1), (3, -1), (4, 2), (4, 3)]
     assert [x.doc_id for x in decontam.clean(docs, items).collect()] == [9]

@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.text import body, let, packed, stage, words
+from wardline.llm.text import body, let, packed, parted, stage, words
 
 SHINGLE = 5
 PERCENT = 80
@@ -182,8 +182,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
+    """The documents that hold no item. Only texts that a bitmap of fixed size takes for such as hold one can be shuffled."""
     rows = stage(contaminated(docs, benchmark).select("_row").distinct())
     small, unpacked = packed(docs, ("doc_id", "text"))
     keyed = small.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "text"))
-    return unpacked(keyed.join(rows, F.col("_key") == F.col("_row"), "left_anti"))
+    maybe, clear = parted(keyed, "_key", rows)
+    return unpacked(maybe.join(rows, F.col("_key") == F.col("_row"), "left_anti").union(clear))

@@ -86,11 +86,8 @@ lines AS (SELECT w.rid, doc_id, source, p,
                  trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS line,
                  len([x FOR x IN string_split_regex(l, '[\x20\x09-\x0D]+') IF x <> '']) AS n
           FROM (SELECT rid, unnest(ls) AS l, unnest(range(len(ls))) AS p FROM w) w JOIN d USING (rid)),
-hashed AS (SELECT *, md5(min(md5(line)) OVER (PARTITION BY rid) || max(md5(line)) OVER (PARTITION BY rid)) AS sig FROM lines),
-hosts AS (SELECT source, count(DISTINCT sig) AS host_docs FROM hashed GROUP BY source),
-common AS (SELECT h.source, line, min(doc_id) AS first_doc FROM hashed h JOIN hosts o ON h.source IS NOT DISTINCT FROM o.source
-           GROUP BY h.source, line, host_docs
-           HAVING count(DISTINCT sig) > {_L.min_docs} AND count(DISTINCT sig) > {_L.share} * host_docs),
+hashed AS (SELECT lines.*, sig FROM lines JOIN (SELECT rid, string_agg(line, chr(10) ORDER BY p) AS sig FROM lines GROUP BY rid) USING (rid)),
+common AS (SELECT source, line, min(doc_id) AS first_doc FROM hashed GROUP BY source, line HAVING count(DISTINCT sig) > {_L.min_docs}),
 gone AS (SELECT rid, sum(n)::BIGINT AS n_gone FROM hashed h JOIN common c ON h.line = c.line AND h.source IS NOT DISTINCT FROM c.source
          WHERE doc_id IS DISTINCT FROM first_doc GROUP BY rid),
 m AS (SELECT d.doc_id, d.t, ls, len(ws) AS n_words, coalesce(n_rep, 0) AS n_repeat_words, coalesce(n_gone, 0) AS n_removed_words

@@ -1,18 +1,18 @@
 """Quality rules: per-text word and repetition rules, and lines that many documents of a host share.
 
-DataFrame expressions only. A line is normalised and hashed; per host it counts the distinct documents that hold it.
-Documents with the same first and last line hash (lowest and highest hash among their lines) count once, so that copies
-of one text, exact or near, do not make its lines common. A line is over the limit if more than `min_docs` and more than
-`share` of the host's distinct documents hold it: so `judge`, as the SQL of its query has it. `cleaned`, which the pipeline uses,
-goes by WHOLE: the limit is the count alone, alike for every size of host, and only documents with all lines alike count once;
-near copies count each. Such lines are removed from every document but the host's first that
-holds it (lowest doc_id), and a document of which less than `min_left` of the words are left is rejected as depleted.
+DataFrame expressions only. A line is normalised and hashed; per host it counts the distinct documents that hold it. Documents
+with all word lines alike count once, so that copies of one text do not make its lines common; near copies count each. A line
+that more than `min_docs` distinct documents of a host hold is over the limit, whatever the size of the host. Such lines are
+removed from every document but the host's first that holds it (lowest doc_id), and a document of which less than `min_left`
+of the words are left is rejected as depleted.
 
 Only lines over the limit are joined back to the documents, never the lines of all texts; counts are partial before each
-shuffle, so one line in every document, or one host with most documents, costs a task no more than any other.
+shuffle, so one line in every document, or one host with most documents, costs a task no more than any other. Texts are
+shuffled only in `cleaned`, and there only those that a bitmap of fixed size takes for texts with lines to remove.
 
 A null text is empty and has no words; a null source is a host of its own. Repeated rows are judged alike. An empty table
-gives an empty result. Only doc_id, source, text and n_chars are looked at; `cleaned` keeps all other columns, whatever their names.
+gives an empty result. Only doc_id, source, text and n_chars are looked at; `cleaned` keeps all other columns, whatever their
+names. Lines and documents are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.text import body, let, packed, stage, words
+from wardline.llm.text import body, let, packed, parted, stage, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -33,13 +33,10 @@ class Limits:
     max_repeat_pct: int = 30
     window: int = 8
     min_docs: int = 20
-    share: float = 0.01
     min_left: float = 0.5
-    all_lines: bool = False  # documents are told apart by all their lines, not by the lowest and the highest hash
 
 
-# More than 20 distinct documents, whatever the size of the host.
-WHOLE = Limits(share=0.0, all_lines=True)
+WHOLE = Limits()
 
 
 def word_lines(text: Column) -> Column:
@@ -106,69 +103,72 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 def line_rows(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per word line: _row, doc_id, source, signature of the document, place, hash and words of the line."""
     lines = F.transform(word_lines(body("text")), lambda x: F.struct(
-        F.md5(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
-    hashes = F.col("_l.line")
-    told_apart_by = F.array_join(hashes, "") if limits.all_lines else F.concat(F.array_min(hashes), F.array_max(hashes))
+        F.xxhash64(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("words")))
     return docs.select("_row", "doc_id", "source", lines.alias("_l")).select(
-        "_row", "doc_id", "source", F.md5(told_apart_by).alias("sig"), "_l"
-    ).select("_row", "doc_id", "source", "sig", F.posexplode("_l").alias("pos", "l")).select(
+        "_row", "doc_id", "source", F.xxhash64("_l.line").alias("sig"), F.posexplode("_l").alias("pos", "l")).select(
         "_row", "doc_id", "source", "sig", "pos", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
 
 
 def common_lines(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(source, line, first_doc) of the lines over the limit of their host."""
-    per_line = rows.groupBy("source", "line", "sig").agg(F.min("doc_id").alias("first_doc")).groupBy("source", "line").agg(
-        F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc")
-    ).filter(F.col("n_docs") > limits.min_docs)
-    hosts = rows.filter("pos = 0").groupBy("source", "sig").agg(F.lit(1).alias("x")).groupBy("source").agg(F.count("*").alias("host_docs"))
-    hosts = hosts.withColumnRenamed("source", "_host")
-    return per_line.join(hosts, F.col("source").eqNullSafe(F.col("_host"))).filter(
-        F.col("n_docs") > limits.share * F.col("host_docs")
-    ).select("source", "line", "first_doc")
+    per_document = rows.groupBy("source", "line", "sig").agg(F.min("doc_id").alias("first_doc"))
+    return per_document.groupBy("source", "line").agg(F.count("*").alias("n_docs"), F.min("first_doc").alias("first_doc")).filter(
+        F.col("n_docs") > limits.min_docs).drop("n_docs")
 
 
 def removals(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Per row key the lines to remove: _row, _places (array of line places among word lines), _removed (words in them)."""
+    """Per row key the lines to remove: _gone (the key), _places (array of line places among word lines), _removed (words in them)."""
     rows = line_rows(docs, limits)
     common = stage(common_lines(rows, limits)).select(
         F.col("source").alias("_s"), F.col("line").alias("_line"), "first_doc")
     hits = rows.join(common, F.col("source").eqNullSafe(F.col("_s")) & (F.col("line") == F.col("_line"))).filter(
         ~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     once = hits.groupBy("_row", "pos").agg(F.first("words").alias("words"))
-    return once.groupBy("_row").agg(F.collect_set("pos").alias("_places"), F.sum("words").alias("_removed"))
+    return once.groupBy(F.col("_row").alias("_gone")).agg(F.collect_set("pos").alias("_places"), F.sum("words").alias("_removed"))
+
+
+def verdict(measured: DataFrame, limits: Limits) -> DataFrame:
+    """Add `n_removed_words` and `kept` to rows with their counts and `_removed`."""
+    removed = F.coalesce("_removed", F.lit(0)).cast("long")
+    depleted = (F.col("n_words") - removed) < limits.min_left * F.col("n_words")
+    return measured.withColumns({"n_removed_words": removed, "kept": ~F.col("base_failed") & ~depleted}).drop("_row", "_gone", "_removed")
 
 
 def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, source and text with the counts, `base_failed`, `n_removed_words`, `kept` and `_places` of the removed lines."""
-    keyed = with_row_key(docs.select(*[c for c in ("doc_id", "source", "text", "n_chars", "_rest") if c in docs.columns]))
+    keyed = with_row_key(docs.select("doc_id", "source", "text"))
     gone = stage(removals(keyed, limits))
-    left = measures(keyed, limits).join(gone.withColumnRenamed("_row", "_gone"), F.col("_row") == F.col("_gone"), "left")
-    removed = F.coalesce("_removed", F.lit(0)).cast("long")
-    depleted = (F.col("n_words") - removed) < limits.min_left * F.col("n_words")
-    return left.withColumns({"n_removed_words": removed, "kept": ~F.col("base_failed") & ~depleted}).drop("_row", "_gone", "_removed")
+    return verdict(measures(keyed, limits).join(gone, F.col("_row") == F.col("_gone"), "left"), limits)
 
 
-def cleaned(docs: DataFrame, limits: Limits = WHOLE) -> DataFrame:
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the word lines at `places`. Word lines are numbered as they come; other lines stay where they are."""
+    def step(acc: Column, line: Column) -> Column:
+        real = line.rlike(r"[^\x20\x09-\x0D]")
+        cut = real & F.array_contains(places, acc["k"])
+        return F.struct(
+            (acc["k"] + real.cast("int")).alias("k"),
+            F.when(cut, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+    return F.array_join(F.aggregate(F.split(text, "\n", -1), zero, step)["out"], "\n")
+
+
+def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents kept, without the lines over the limit, with the columns of `docs`; n_chars follows the text."""
     docs, unpacked = packed(docs, ("doc_id", "source", "text", "n_chars"))
-    judged = judge(docs, limits).filter("kept")
-
-    def drop_lines(lines: Column) -> Column:
-        """Word lines are numbered as they come; other lines stay where they are."""
-        def step(acc: Column, line: Column) -> Column:
-            real = line.rlike(r"[^\x20\x09-\x0D]")
-            cut = real & F.array_contains(F.col("_places"), acc["k"])
-            return F.struct(
-                (acc["k"] + real.cast("int")).alias("k"),
-                F.when(cut, acc["out"]).otherwise(F.concat(acc["out"], F.array(line))).alias("out"),
-            )
+    keyed = with_row_key(docs)
+    gone = stage(removals(keyed, limits))
+    affected, whole = parted(keyed, "_row", gone.select("_gone"))
 
-        zero = F.struct(F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-        return F.array_join(F.aggregate(lines, zero, step)["out"], "\n")
+    def judged(rows: DataFrame) -> DataFrame:
+        return verdict(measures(rows, limits), limits).filter("kept")
 
-    text = F.when(F.col("_places").isNull(), F.col("text")).otherwise(drop_lines(F.split(F.col("text"), "\n", -1)))
-    out = judged.withColumn("text", text)
+    found = affected.join(gone, F.col("_row") == F.col("_gone"), "left")
+    cut = judged(found).withColumn("text", F.when(F.col("_places").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("_places"))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(
+        cut = cut.withColumn("n_chars", F.when(F.col("_places").isNull(), F.col("n_chars")).otherwise(
             F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return unpacked(out)
+    left = judged(whole.withColumn("_removed", F.lit(0)))
+    return unpacked(cut.select(*docs.columns).union(left.select(*docs.columns)))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardline.plans.placement import stage
 from wardline.session import scratch, shared_dir
 
-__all__ = ["BLANKS", "WORD", "body", "let", "read", "scratch", "shared_dir", "stage", "words", "discard", "packed", "release"]
+__all__ = ["BLANKS", "WORD", "body", "let", "read", "scratch", "shared_dir", "stage", "words", "discard", "packed", "parted", "release"]
 
 BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,21 @@ def packed(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[
     return small, unpacked
 
 
+def parted(df: DataFrame, key: str, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """(rows whose long `key` may be in the one column of `keys`, rows whose key is surely not in it).
+
+    A bitmap of 2^bits places (1 MB by default, so it may be broadcast) tells them apart; only the first part need go through a
+    join with `keys`. A null key is surely not in it. The more keys, the larger the first part; what comes out stays right."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    marks = keys.select(place(F.col(f"`{keys.columns[0]}`")).alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
+    looked_up = df.withColumn("_place", F.when(F.col(key).isNotNull(), place(F.col(key)))).join(
+        F.broadcast(marks), F.shiftright("_place", 6) == F.col("_word"), "left")
+    marked = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_place & 63 as int)) & 1 = 1"), F.lit(False))
+    rid = lambda x: x.drop("_place", "_word", "_bits")
+    return rid(looked_up.filter(marked)), rid(looked_up.filter(~marked))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are staged: it does so when its driver collects garbage."""
     gc.collect()
