@@ -8,8 +8,9 @@ into blocks, and in a block the probabilities of three documents at a time are m
 undecided; those of all blocks are dealt into blocks again, round by round, until a source has one block. There the flight
 stops when `LANDING` documents are left, and the rounding of these that comes nearest to the words aimed at is taken.
 
-A block has about `block` documents whatever the size of its source, so a source with most rows is worked by many tasks.
-One row per source reaches the driver. Random numbers depend on source, round and block only: reruns agree.
+A block has about `block` documents whatever the size of its source, and blocks are dealt to tasks one by one, so a source with
+most rows is worked by as many tasks as it has blocks (at most `TASKS`). One row per source reaches the driver, and goes out with
+the plan, in each round: memory there grows with the number of sources only. Random numbers depend on source, round and block only: reruns agree.
 
 A null text has size 0. Rows alike in doc_id, source and size are taken together and equally often. An empty table gives an
 empty result. Columns of the input other than doc_id, source and text are not looked at.
@@ -17,6 +18,7 @@ empty result. Columns of the input other than doc_id, source and text are not lo
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -31,6 +33,7 @@ BUDGET = Fraction(3, 2)
 MOST = 2
 BLOCK = 1000
 LANDING = 10
+TASKS = 10_000
 NEAR = 1e-9
 
 
@@ -149,16 +152,18 @@ def draw(units: DataFrame, n_units: DataFrame, block: int = BLOCK) -> DataFrame:
     loose, decided, round_no = units, None, 0
     counts = n_units
     while True:
-        most = counts.agg(F.max("units")).first()[0] or 0
-        blocks = F.greatest(F.ceil(F.col("units") / block), F.lit(1)).cast("int")
-        dealt = loose.join(counts.select(F.col("src").alias("_s"), blocks.alias("blocks")), F.col("src") == F.col("_s")).withColumns({
+        found = counts.select("src", "units").collect()  # one row per source, as they were collected for the targets
+        blocks = {r["src"]: max(math.ceil(r["units"] / block), 1) for r in found}
+        # By value and not by a join, which could deal a source's blocks to one task.
+        of_source = F.broadcast(units.sparkSession.createDataFrame(list(blocks.items()), "_s int, blocks int"))
+        dealt = loose.join(of_source, F.col("src") == F.col("_s")).withColumns({
             "block": F.pmod(F.xxhash64("doc_id", "size", F.lit(round_no)), "blocks").cast("int"), "last": F.col("blocks") == 1,
-        }).drop("_s", "blocks")
+        }).drop("_s", "blocks").repartition(max(min(sum(blocks.values()), TASKS), 1), "src", "block")
         flown = stage(dealt.groupBy("src", "block").applyInPandas(
             _block_job(round_no), "doc_id long, src int, size long, n long, p double"))
         decided = flown if decided is None else decided.union(flown)
         decided = decided.filter("p = 0 or p = 1")
-        if most <= block:
+        if max(blocks.values(), default=1) == 1:
             return decided
         loose = flown.filter("p > 0 and p < 1")
         counts = loose.groupBy("src").agg(F.count("*").alias("units"))
@@ -181,7 +186,8 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents taken, each once, with `size`, `source_size`, `target`, `copies` and `taken` (words, repeats counted)."""
+    """The documents taken, each once, with `size`, `source_size`, `target`, `copies` and `taken` (words, repeats counted); columns
+    of the input with these five names are replaced."""
     made = ["size", "source_size", "target", "copies", "taken"]
     decided = stage(mix(docs).filter("copies > 0").groupBy("doc_id", "source", "size").agg(
         *[F.first(c).alias(c) for c in made[1:]]))
