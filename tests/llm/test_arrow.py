@@ -323,14 +323,46 @@ def test_hints_do_not_empty_a_page():
 
 
 def test_hosts_agree_on_their_paths(spark):
+    """The host's path holds for a page whose longest part is another one, as long as it has half as much of its text."""
     good = "<html><body><div class='m'><p>" + "main text here " * 9 + "</p></div><div class='x'><p>short</p></div></body></html>"
-    odd = "<html><body><div class='m'><p>tiny</p></div><div class='x'><p>" + "long side text " * 30 + "</p></div></body></html>"
+    odd = "<html><body><div class='m'><p>main one</p></div><div class='x'><p>" + "longer side " * 6 + "</p></div><div class='m'><p>and the main rest of it goes here</p></div></body></html>"
     rows = [(i, "http://h.example/a", good) for i in range(5)] + [(9, "http://H.example/b", odd), (9, "http://H.example/b", odd), (10, None, None), (11, "http://h.example", "")]
     got = {x.page_id: x.text for x in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[9] == "tiny" and got[10] == "" and got[11] == "" and got[0].startswith("main text")
+    assert got[9] == "main one\nand the main rest of it goes here" and got[10] == "" and got[11] == "" and got[0].startswith("main text")
     assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_page_keeps_its_article_where_the_path_of_its_host_has_little(spark):
+    usual = "<html><body><article><p>" + "main text here " * 30 + "</p></article></body></html>"
+    odd = "<html><body><div class='x'><p>" + "prose of this page " * 50 + "</p></div><article><p>tiny</p></article></body></html>"
+    rows = [(i, "http://h.example/a", usual) for i in range(5)] + [(9, "http://h.example/b", odd)]
+    got = {x.page_id: x for x in html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9].path == "/html/body/article" and got[9].text.startswith("prose of this page prose") and len(got[9].text) > 900
+
+
+@pytest.mark.parametrize("piece", ["<script ", '<p "', "<div class=abcdef>", "<!-- ", "<p '>\"", "<nav>", "</td><div>", "<script>a</scrip", "<!x "])
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    found = html_main.blocks(page)
+    html_main.text_under(found, "/html/body")
+    assert time.perf_counter() - began < 3
+
+
+def test_tags_as_browsers_see_them():
+    said = lambda page: [b[1] for b in html_main.blocks(page)]
+    assert said("<p>a < b</p><p title='x > y'>c</p>") == ["a < b", "c"]
+    assert said("<p>one<!-- gone > --> two<script>if (a < b) '</p>'</script> three") == ["one two three"]
+    assert said("<p>one</p><!-- never closed <p>two") == ["one"]
+    assert said("<p>one</p><script>never closed <p>two") == ["one"]
+    assert said('<p class="never closed>one</p><p>two</p>') == ["one", "two"]
+    assert said("<!doctype html><?xml x?><p>one</p><p") == ["one", "<p"]
+    deep = "<div>" * 1000 + "text" + "</div>" * 1000 + "<p>after</p>"
+    assert said(deep) == ["text", "after"]
+
+
 def test_articles_of_the_given_pages(spark):
     import html as entities
     import re

@@ -3,13 +3,13 @@
 Every page is cut into blocks of text, each with the path of containers it stands in (tag and classes, numbers generalised).
 A page votes for the article or main that holds its running text, else for the deepest container that holds all its long blocks
 and headings; votes are counted per host and path in Spark. Each page is then extracted again: the blocks under its host's
-winning path, or under its own best path where the page has no such container or its own contains the host's. Menus, page
+winning path, or under its own best path where that contains the host's or the host's holds less than half of its running text. Menus, page
 headers, footers, sidebars, notices, adverts, forms, comments and what is no text are left out wherever they stand, by tag or by
 a whole class, id or role; a form or hinted container (other than menus, footers and comments) with most of the text is kept.
 
 Votes are partial before the shuffle and one row per host is joined back (its size is known when joined, so the planner
 broadcasts it only while small). A null page is empty and has no text; a null url is a host of its own. Unclosed and
-stray tags are borne. Repeated pages vote and are extracted each for itself. An empty table gives an empty result; other
+stray tags are borne, in time that grows with the page; containers more than `DEPTH` deep count as part of the last one. Repeated pages vote and are extracted each for itself. An empty table gives an empty result; other
 columns are not looked at.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,12 +27,12 @@ from pyspark.sql import functions as F
 from wardline.llm.text import stage
 
 # Elements whose content is no text of the page.
-SILENT = "script|style|noscript|template|svg|math|title|textarea|select|button|iframe|object|canvas|audio|video"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+SILENT = {
+    t: re.compile(rf"</{t}\s*>", re.I)
+    for t in "script style noscript template svg math title textarea select button iframe object canvas audio video".split()
+}
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_END = re.compile(r"[\"'>]")
 CONTAINERS = frozenset("html body main article section div nav header footer aside form fieldset ul ol dl table tbody thead tfoot tr td details dialog".split())
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd th blockquote pre figure figcaption caption hr address summary head".split())
 EMPTY = frozenset("br img hr input meta link area base col embed source track wbr".split())
@@ -54,6 +55,8 @@ CLASS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 SPACE = re.compile(r"[\s ]+")
 SHARE = 0.7
 MOST = 0.5
+KEPT = 0.5  # of the running text under a page's own path, so much at least must lie under its host's for that to be used
+DEPTH = 128  # containers below lie in the last one
 LONG = 60  # characters of a block that counts by itself as running text
 
 
@@ -82,11 +85,53 @@ def general_name(tag: str, attributes: str) -> tuple[str, bool | None]:
     return name, max((x for x in said if x is not None), default=None)
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, whether it ends, attributes) of tags, comments and whole silent elements (these two without a tag).
+
+    Every search goes on from the last place. A quote that is never closed, and a page without a further '>', end that kind of search
+    for the rest of the page, so that time grows with the page however it is broken. What is no tag is text."""
+    at, quoted = 0, True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", False, ""
+            continue
+        m = NAME.match(page, start + 1)
+        if not m and page[start + 1 : start + 2] not in ("!", "?"):
+            at = start + 1
+            continue
+        end = m.end() if m else start + 2
+        if m and quoted:
+            stop = TAG_END.search(page, end)
+            while stop and stop[0] != ">":
+                close = page.find(stop[0], stop.end())
+                stop = TAG_END.search(page, close + 1) if close >= 0 else None
+            quoted = stop is not None
+        if not m or not quoted:
+            stop = TAG_END.search(page, page.find(">", end)) if page.find(">", end) >= 0 else None
+        if stop is None:  # no tag can end any more
+            end = page.find("<!--", start)
+            if end >= 0:
+                yield end, len(page), "", False, ""
+            return
+        at = stop.end()
+        tag, ending = (m[2].lower(), bool(m[1])) if m else ("", False)
+        if tag in SILENT and not ending:
+            close = SILENT[tag].search(page, at)
+            at = close.end() if close else len(page)
+            yield start, at, "", False, ""
+        else:
+            yield start, at, tag, ending, page[end : at - 1]
+
+
 def blocks(page: str) -> list[tuple[str, str, int, bool]]:
     """(path, text, characters in links, whether a heading) of every block that is not left out, in page order."""
     out, stack, paths = [], [], [""]
     bad: list[tuple[int, ...]] = [()]  # by open container: numbers of those around it that are to be left out
     firm: list[bool] = []
+    opened: Counter[str] = Counter()
+    known: dict[tuple[str, str], str] = {}
     parts: list[str] = []
     linked, link_at, heading = 0, None, False
 
@@ -100,13 +145,10 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
         linked, link_at = 0, None if link_at is None else 0
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
-            continue
-        tag, ending = m[3].lower(), bool(m[2])
+    for start, end, tag, ending, attributes in tokens(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
         if tag == "a":
             if not ending:
                 link_at = len(parts)
@@ -121,19 +163,25 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             if tag not in CONTAINERS:
                 continue
             if not ending:
-                name, left_out = general_name(tag, m[4])
-                if tag == "header" and not any(t in ("article", "main") for t in stack):
+                name, left_out = general_name(tag, attributes)
+                if tag == "header" and not opened["article"] + opened["main"]:
                     left_out = True
+                above = paths[-1]
+                paths.append(known.setdefault((above, name), f"{above}/{name}") if len(stack) < DEPTH else above)
                 stack.append(tag)
-                paths.append(f"{paths[-1]}/{name}")
-                bad.append(bad[-1] if left_out is None else (*bad[-1], len(firm)))
-                if left_out is not None:
+                opened[tag] += 1
+                if left_out is None or len(bad[-1]) >= DEPTH:
+                    bad.append(bad[-1])
+                else:
+                    bad.append((*bad[-1], len(firm)))
                     firm.append(left_out)
-            elif tag in stack:
+            elif opened[tag]:
                 while True:
                     paths.pop()
                     bad.pop()
-                    if stack.pop() == tag:
+                    last = stack.pop()
+                    opened[last] -= 1
+                    if last == tag:
                         break
     if at < len(page):
         parts.append(page[at:])
@@ -163,10 +211,12 @@ def best_path(found: list[tuple[str, str, int, bool]]) -> tuple[str, float]:
     """The container of the running text, and how much it holds: the shallowest article or main that holds SHARE of it, else
     the deepest container of all long blocks and headings (of all blocks if there are none)."""
     totals: dict[str, float] = {}
+    at_path: Counter[str] = Counter()
     for block in found:
-        path = block[0]
+        at_path[block[0]] += weight_of(block)
+    for path, weight in at_path.items():
         while True:
-            totals[path] = totals.get(path, 0.0) + weight_of(block)
+            totals[path] = totals.get(path, 0.0) + weight
             if not path:
                 break
             path = path.rpartition("/")[0]
@@ -194,12 +244,13 @@ def under(path: str, root: str) -> bool:
 
 
 def text_under(found: list[tuple[str, str, int, bool]], root: str | None) -> str:
-    """Blocks under the host's path, or under the page's own best one if it has no such container or its own goes beyond it."""
-    chosen = [b[1] for b in found if root is not None and under(b[0], root)]
-    own, _ = best_path(found)
-    if not chosen or (own != root and under(root, own)):
-        chosen = [b[1] for b in found if under(b[0], own)]
-    return "\n".join(chosen)
+    """Blocks under the host's path, or under the page's own best one if its own goes beyond the host's or the host's holds less
+    than KEPT of the running text of its own (none, where the page has no such container)."""
+    chosen = [b for b in found if root is not None and under(b[0], root)]
+    own, weight = best_path(found)
+    if sum(map(weight_of, chosen)) < KEPT * weight or not chosen or (own != root and under(root, own)):
+        chosen = [b for b in found if under(b[0], own)]
+    return "\n".join(b[1] for b in chosen)
 
 
 def votes(pages: DataFrame) -> DataFrame:
