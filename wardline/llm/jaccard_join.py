@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.components import components
 from wardline.llm.ngrams import set_key, shingle_sets, spread
-from wardline.llm.text import discard, packed, release, stage
+from wardline.llm.text import discard, packed, parted, release, stage
 
 PERCENT = 80
 FREQUENT = 32
@@ -284,9 +284,9 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     spark = docs.sparkSession
     frequent = frequent_shingles(docs)
     release(spark)
-    # A key met by one class only joins nothing; the others are the index.
-    index = stage(spanning(signatures(docs, frequent)).distinct())
-    links, labels, tried = None, None, None
+    # A key met by one class only joins nothing; the others are the index. One exchange serves all three steps.
+    index = stage(spanning(signatures(docs, frequent).repartition("sig").dropDuplicates(["sig", "node"])))
+    links, labels, tried, spent = None, None, None, [index]
     for turn in range(STARS + 1):
         rows = index
         if labels is not None:
@@ -297,15 +297,18 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         release(spark)
         if pairs.isEmpty():
+            spent.append(pairs)
             if turn < STARS:
                 continue
             break
         found = verified(pairs, docs, classes)
+        spent += [pairs, found]
         tried = pairs if tried is None else tried.union(pairs)
         if labels is None or not found.isEmpty():
             links = found if links is None else labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
             labels = stage(components(links))
         release(spark)
+    discard(*spent)
     return labels
 
 
@@ -334,16 +337,22 @@ def join(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each group (a null one only if there is no other), once if its row is
     repeated; documents without words all stay."""
-    rows = stage(grouped(docs).filter("label is not null").withColumn(
+    found = grouped(docs)
+    rows = stage(found.filter("label is not null").withColumn(
         "who", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")))
+    discard(found)
     first = rows.groupBy("label").agg(F.min("who").alias("best"))
     judged = rows.join(first, "label").withColumn("stays", F.col("who").eqNullSafe(F.col("best")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))
     keys = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
     gone = stage(judged.filter("not stays").select(*keys).distinct())
     again = stage(judged.filter("stays").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(*keys))
+    discard(rows)
     small, unpacked = packed(docs, ("doc_id", "text"))
-    kept = small.join(gone, same, "left_anti")
+    # Only texts that a bitmap of fixed size takes for one of those that go are shuffled.
+    keyed = small.withColumn("_both", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    maybe, clear = parted(keyed, "_both", gone.select(F.xxhash64("_id", "_key").alias("k")))
+    kept = maybe.join(gone, same, "left_anti").union(clear).drop("_both")
     if not again.isEmpty():
         kept = kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
     return unpacked(kept)
