@@ -54,7 +54,7 @@ def test_every_request_leaves_one_event(day):
     assert (got[2].acting_for, got[2].chain, got[3].chain) == ("mr-priya", '["d-agent1"]', '["d-agent2","d-agent1"]')
     assert got[2].columns_masked == ["unit_cost_usd", "margin_pct", "contact_email", "contact_phone"]
     assert got[1].columns_masked == ["contact_email", "contact_phone"] and got[4].columns_masked == []
-    assert got[5].provider_org is None and got[9].row_digest == "0:0"
+    assert got[5].provider_org is None and got[9].row_digest == hashlib.sha256(b"").hexdigest()
 
 
 def test_exact_rows_are_on_record(day):
@@ -63,10 +63,24 @@ def test_exact_rows_are_on_record(day):
     assert sorted(map(tuple, served)) == [(1, 1002), (2, 1002), (3, 1002), (4, 1007)]
 
 
-def test_digest_names_a_set(spark):
-    ids = spark.range(0, 50)
-    digest = lambda df: df.agg(audit.set_digest("id")).first()[0]
-    assert digest(ids) == digest(ids.orderBy(F.desc("id"))) != digest(ids.filter("id <> 7"))
+def test_root_names_a_set(spark):
+    ids = spark.range(0, 9000).select(F.lit("s").alias("set_id"), F.col("id").alias("shipment_id"))
+    header = lambda df: tuple(audit.set_headers(df).first())
+    assert header(ids) == header(ids.orderBy(F.desc("shipment_id")).repartition(5)) and header(ids)[1] == 9000
+    assert header(ids) != header(ids.filter("shipment_id <> 7"))
+
+
+def test_changes_and_reads_make_one_trail(spark, day, keys):
+    """Dense numbers over all sources, a chain over them, and a change that is taken out shows at the next row."""
+    changes = frame(spark, [(i, T0 - dt.timedelta(seconds=2 - i), "ni-omar", "g-main", "grant.revoke", "data_grant", "{}", "allow", 1) for i in range(4)],
+                    "cmd_id long, event_ts timestamp, subject string, grant_id string, action string, resource string, request string, decision string, row_count long")
+    trail = stage(audit.one_trail(day[0], changes))
+    rows = trail.orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(12))
+    assert [(r.action, r.own) for r in rows] == [("grant.revoke", 0), ("grant.revoke", 1), ("grant.revoke", 2), *[("read", i) for i in (1, 2, 3, 4, 5, 6, 7, 9)], ("grant.revoke", 3)]
+    done = stage(audit.seal(trail, keys, 4))
+    assert tuple(audit.verify_chain(done, audit.heads(done), keys).first()) == (12, None)
+    assert [r.seq for r in audit.bad_rows(done.filter("seq <> 1"), audit.heads(done), keys).filter("bad").collect()] == [2]
 
 
 def test_chunks_are_bounded(spark):

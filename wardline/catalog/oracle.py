@@ -86,20 +86,14 @@ rd_rows AS (
     AND s.owner_org = q.provider_org AND list_contains(q.regions, s.region)
     AND @RANK_ROW@ <= @RANK_Q@ AND (s.partner_org IS NULL OR s.partner_org = q.grantee_org)
 ),
-rd_head AS (
-  SELECT request_id, count(*) AS n,
-    sum(CAST('0x' || substr(sha256(CAST(shipment_id AS VARCHAR)), 1, 13) AS BIGINT)) AS w0,
-    sum(CAST('0x' || substr(sha256(CAST(shipment_id AS VARCHAR)), 14, 13) AS BIGINT)) AS w1
-  FROM rd_rows GROUP BY request_id
-),
-ev AS (
+@MERKLE rd@ev AS (
   SELECT q.request_id AS seq, q.event_ts, CASE WHEN q.ok THEN q.subject END AS subject,
     CASE WHEN q.ok THEN q.grantee_principal END AS acting_for, q.grant_id, q.delegation_id,
     CASE WHEN q.ok THEN q.provider_org END AS provider_org, CASE WHEN q.ok THEN q.grantee_org END AS grantee_org,
     CASE WHEN q.ok THEN 'allow' ELSE 'deny' END AS decision,
     CASE WHEN q.unknown_cols THEN 'unknown columns: ["secret_notes"]' WHEN NOT q.ok THEN 'no_live_authorization' END AS deny_reason,
     coalesce(h.n, 0) AS row_count,
-    CASE WHEN q.ok THEN concat(coalesce(CAST(h.w0 AS VARCHAR), '0'), ':', coalesce(CAST(h.w1 AS VARCHAR), '0')) END AS row_digest,
+    CASE WHEN q.ok THEN coalesce(h.root, '@EMPTY@') END AS row_digest,
     q.subject AS presented, q.columns, q.allow_cost, q.allow_contact, q.ok, q.k, to_json(coalesce(q.chain, [])) AS chain
   FROM rd q LEFT JOIN rd_head h USING (request_id)
 ),
@@ -147,8 +141,29 @@ def hmac_sql(message: str, ipad: str = "ipad", opad: str = "opad") -> str:
     return f"sha256({opad} || unhex(sha256({ipad} || encode({message}))))"
 
 
+def merkle_ctes(of: str) -> str:
+    """`{of}_head` (request_id, n, root) of `{of}_rows` (request_id, shipment_id): chunks of 4096 ids, nodes of 256, four levels."""
+    levels = "".join(f"""{of}_n{k} AS (
+  SELECT request_id, {'0' if k == 4 else 'below // 256'} AS node, CAST(sum(n) AS BIGINT) AS n,
+    sha256(string_agg(concat(below, ':', hash), ',' ORDER BY below)) AS hash
+  FROM (SELECT request_id, node AS below, n, hash FROM {of}_n{k - 1}) GROUP BY request_id, {'' if k == 4 else 'below // 256'}
+),
+""".replace("request_id, \n)", "request_id\n)") for k in range(1, 5))
+    return f"""{of}_n0 AS (
+  SELECT request_id, shipment_id // 4096 AS node, count(*) AS n,
+    sha256(concat(shipment_id // 4096, ':', string_agg(CAST(shipment_id AS VARCHAR), ',' ORDER BY shipment_id))) AS hash
+  FROM {of}_rows GROUP BY request_id, shipment_id // 4096
+),
+{levels}{of}_head AS (
+  SELECT request_id, n, hash AS root FROM {of}_n4
+),
+"""
+
+
+EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
+
 FACTS = (
-    FACTS.replace("@LIVE_AS_OF@", live(f"TIMESTAMP '{AS_OF}'"))
+    FACTS.replace("@MERKLE rd@", merkle_ctes("rd")).replace("@EMPTY@", EMPTY).replace("@LIVE_AS_OF@", live(f"TIMESTAMP '{AS_OF}'"))
     .replace("@LIVE_EVENT@", live("r.event_ts"))
     .replace("@RANK_ROW@", rank("s.classification"))
     .replace("@RANK_MAX@", rank("a.max_classification"))

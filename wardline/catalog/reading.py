@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardline.catalog.oracle import rank
 from wardline.catalog.registry import Context, query
 from wardline.functions.crypto import key_pads
-from wardline.operators import caller, guard, quality
+from wardline.operators import guard, quality, query as asks
 from wardline.plans.placement import lookup_join
 from wardline.schemas import ALL_COLUMNS, BASE_COLUMNS
 from wardline.session import scratch
@@ -264,18 +265,49 @@ def select_columns(c: Context):
 SELECT auth_id, shipment_id, CAST(unit_cost_usd AS DOUBLE) AS unit_cost_usd FROM guarded
 WHERE unit_cost_usd > 100000 AND status = 'F' AND units BETWEEN 100 AND 250""")
 def caller_filter(c: Context):
-    kept = caller.caller_filter(c.guarded, "unit_cost_usd > 100000 AND status = 'F' AND units BETWEEN 100 AND 250")
+    kept = asks.read(c.shipments, c.auths, "unit_cost_usd > 100000 AND status = 'F' AND units BETWEEN 100 AND 250")
     return as_double(kept.select("auth_id", "shipment_id", "unit_cost_usd"))
 
 
 @query("caller_params", "SELECT auth_id, shipment_id, status, units FROM guarded WHERE status = 'O' AND units BETWEEN 10 AND 60")
 def caller_params(c: Context):
-    kept = caller.caller_filter(
-        c.guarded, "status = :status AND units BETWEEN :low AND :high", {"status": "O", "low": 10, "high": 60}
+    kept = asks.read(
+        c.shipments, c.auths, "status = :status AND units BETWEEN :low AND :high", {"status": "O", "low": 10, "high": 60}
     )
     return kept.select("auth_id", "shipment_id", "status", "units")
 
 
+@query("caller_order", """
+SELECT * FROM (SELECT auth_id, shipment_id, units, row_number() OVER (PARTITION BY auth_id
+  ORDER BY CAST(unit_cost_usd AS DOUBLE) DESC NULLS LAST, units, shipment_id) AS position FROM guarded WHERE units % 3 = 1) WHERE position <= 4""")
+def caller_order(c: Context):
+    """ORDER BY and LIMIT of a caller, for every credential; masked keys sort as NULL."""
+    kept = asks.read(c.shipments, c.auths, "units % 3 = 1")
+    at = F.row_number().over(Window.partitionBy("auth_id").orderBy(*asks.sort_keys("unit_cost_usd desc, units")))
+    return kept.withColumn("position", at).filter("position <= 4").select("auth_id", "shipment_id", "units", "position")
+
+
+@query("caller_aggregate", """
+SELECT a.auth_id, count(g.shipment_id) AS n, CAST(sum(g.units) AS BIGINT) AS total, CAST(max(g.unit_cost_usd) AS DOUBLE) AS dearest,
+  count(g.margin_pct) AS margins FROM auths a LEFT JOIN guarded g ON g.auth_id = a.auth_id AND g.units BETWEEN 100 AND 300 AND g.status <> 'P'
+GROUP BY a.auth_id""")
+def caller_aggregate(c: Context):
+    """Folded to policy cells: the fact is scanned once and joined with nothing."""
+    asked = "count(*) AS n, sum(units) AS total, max(unit_cost_usd) AS dearest, count(margin_pct) AS margins"
+    out = asks.aggregate(c.shipments, c.auths, asked, "units BETWEEN :low AND :high AND status <> 'P'", {"low": 100, "high": 300})
+    return as_double(out, ["dearest"])
+
+
+@query("caller_aggregate_rows", """
+SELECT a.auth_id, count(g.shipment_id) AS n, CAST(sum(g.units % 7) AS BIGINT) AS odd, count(DISTINCT g.carrier) AS carriers
+FROM auths a LEFT JOIN guarded g ON g.auth_id = a.auth_id AND g.unit_cost_usd > 50000 AND 100 / (g.units + 1) < 5 GROUP BY a.auth_id""")
+def caller_aggregate_rows(c: Context):
+    """Aggregates that are no sums of cells, under a predicate that must stay above the policy."""
+    return asks.aggregate(
+        c.shipments, c.auths, "count(*) AS n, sum(units % 7) AS odd, count(DISTINCT carrier) AS carriers",
+        "unit_cost_usd > 50000 AND 100 / (units + 1) < 5")
+
+
 SQL_PROBE = f"""
 SELECT q.request_id, s.shipment_id FROM (SELECT *, UNNEST({{ids}}) AS probe FROM req WHERE allowed) q
 JOIN gov_shipment s ON s.shipment_id = q.probe AND s.owner_org = q.provider_org AND list_contains(q.regions, s.region)

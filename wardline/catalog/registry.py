@@ -70,12 +70,19 @@ class Context(Derived):
 
     @cached_property
     def judged_reads(self) -> DataFrame:
-        return audit.judged_reads(self.requests, self.resolved)
+        asked = F.to_json(F.struct(
+            "columns", F.lit("units = :k").alias("where"), F.get_json_object("request", "$.k").try_cast("long").alias("k")))
+        return audit.judged_reads(self.requests.withColumn("asked", asked), self.resolved)
 
     @cached_property
     def served_rows(self) -> DataFrame:
         return audit.served_rows(self.judged_reads, self.shipments)
 
+    @cached_property
+    def served_chunks(self) -> DataFrame:
+        """The rows of every served set as they are stored, written once."""
+        return stage(audit.chunked(self.served_rows, ["set_id"]))
+
     @cached_property
     def events(self) -> DataFrame:
         return audit.read_events(self.judged_reads, audit.set_headers(self.served_rows))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.catalog.oracle import hmac_sql, rank
+from wardline.catalog import authority
+from wardline.catalog.oracle import AS_OF, EMPTY, hmac_sql, merkle_ctes, rank
 from wardline.catalog.registry import Context, query
-from wardline.operators import audit, auth, sets
+from wardline.operators import audit, auth, governance, merkle, query as asks, sets
 from wardline.plans.placement import lookup_join, stage
+from wardline.schemas import BASE_COLUMNS
 
 EVENT_OUT = [
     "seq", "subject", "acting_for", "grant_id", "delegation_id", "provider_org", "grantee_org", "decision", "deny_reason",
@@ -37,6 +39,75 @@ def audit_rows(c: Context):
     return c.events.select("seq", "set_id").join(sets_, "set_id").select("seq", "chunk", "ids")
 
 
+# --- any query of a caller on record ---------------------------------------
+CALLERS = [
+    asks.CallerQuery("q0", tuple(BASE_COLUMNS)),
+    asks.CallerQuery("q1", ("shipment_id", "status", "units"), "status = :s AND units BETWEEN :low AND :high", {"s": "F", "low": 100, "high": 250}),
+    asks.CallerQuery("q2", ("shipment_id", "unit_cost_usd"), "unit_cost_usd > 100000"),
+    asks.CallerQuery("q3", ("shipment_id", "units"), "1 / (units + 1) > :f", {"f": 0.01}, order_by="units desc", limit=5),
+    asks.CallerQuery("q4", ("shipment_id",), "(UNITS between 100 and 250) and Status = 'F'"),
+]
+_ASKED = "CASE request_id % 5 " + " ".join(f"WHEN {i} THEN '{q.asked().replace(chr(39), chr(39) * 2)}'" for i, q in enumerate(CALLERS)) + " END"
+
+
+@query("audit_caller", f"""WITH hit AS (SELECT r.request_id, s.shipment_id, s.units FROM req r JOIN gov_shipment s ON r.allowed
+    AND s.owner_org = r.provider_org AND list_contains(r.regions, s.region) AND {rank('s.classification')} <= {rank('r.max_classification')}
+    AND (s.partner_org IS NULL OR s.partner_org = r.grantee_org)
+    AND CASE r.request_id % 5 WHEN 0 THEN true WHEN 2 THEN r.allow_cost AND s.unit_cost_usd > 100000 WHEN 3 THEN 1 / (s.units + 1) > 0.01
+      ELSE s.status = 'F' AND s.units >= 100 AND s.units <= 250 END),
+ask_rows AS (SELECT request_id, shipment_id FROM hit QUALIFY request_id % 5 <> 3
+  OR row_number() OVER (PARTITION BY request_id ORDER BY units DESC, shipment_id) <= 5),
+{merkle_ctes('ask').rstrip().rstrip(',')}
+SELECT request_id AS seq, CASE WHEN allowed THEN 'allow' ELSE 'deny' END AS decision, coalesce(n, 0) AS row_count,
+  CASE WHEN allowed THEN coalesce(root, '{EMPTY}') END AS row_digest, CASE WHEN allowed THEN {_ASKED} END AS request
+FROM req LEFT JOIN ask_head USING (request_id)""")
+def audit_caller(c: Context):
+    """Reads with WHERE, ORDER BY and LIMIT as text: what was asked, and the root over the ids that were served."""
+    requests = c.requests.withColumn("query_id", F.concat(F.lit("q"), F.col("request_id") % 5))
+    judged = stage(audit.judged_reads(asks.with_queries(requests, CALLERS), c.resolved, asks.query_set_id()))
+    events = audit.read_events(judged, audit.set_headers(asks.served(judged, c.shipments, CALLERS)))
+    allowed = F.col("decision") == "allow"
+    return events.select("seq", "decision", "row_count", "row_digest", F.when(allowed, F.col("request")).alias("request"))
+
+
+# --- served rows against what was sealed -----------------------------------
+# Damage by the first id and the size of a chunk: last id dropped, first two swapped, whole chunk dropped.
+_DAMAGE = "CASE WHEN f % 5 = 3 THEN 'missing' WHEN n > 1 AND f % 5 IN (1, 2) THEN 'edited' END"
+_DAMAGED_SQL = f"""chunks AS (SELECT request_id AS seq, shipment_id // 4096 AS chunk, min(shipment_id) AS f, count(*) AS n FROM rd_rows GROUP BY ALL),
+damaged AS (SELECT *, {_DAMAGE} AS fault FROM chunks)"""
+
+
+def _damaged(c: Context):
+    first, n = F.col("row_ids")[0], F.size("row_ids")
+    swapped = F.concat(F.array(F.col("row_ids")[1], first), F.slice("row_ids", F.lit(3), F.greatest(n - 2, F.lit(0))))
+    edited = F.when((n > 1) & (first % 5 == 1), F.slice("row_ids", F.lit(1), n - 1)).when((n > 1) & (first % 5 == 2), swapped).otherwise(F.col("row_ids"))
+    return c.served_chunks.filter(first % 5 != 3).withColumn("row_ids", edited)
+
+
+@query("audit_rows_verify", f"WITH {_DAMAGED_SQL} SELECT seq, chunk, fault FROM damaged WHERE fault IS NOT NULL")
+def audit_rows_verify(c: Context):
+    """Chunks of served rows that no longer fit the leaves stored beside them, for every event that served them."""
+    faults = merkle.bad_chunks(_damaged(c), stage(merkle.tree(c.served_chunks)))
+    return c.judged_reads.select(F.col("request_id").alias("seq"), "set_id").join(faults, "set_id").select("seq", "chunk", "fault")
+
+
+@query("audit_rows_roots", f"WITH {_DAMAGED_SQL} SELECT DISTINCT seq FROM damaged WHERE fault IS NOT NULL")
+def audit_rows_roots(c: Context):
+    """Events whose stored rows no longer give the root in the event."""
+    sealed = c.events.filter("decision = 'allow'").select("seq", "set_id", F.col("row_digest").alias("root"))
+    bad = merkle.bad_sets(_damaged(c), sealed.select("set_id", "root").distinct())
+    return sealed.join(bad.select("set_id"), "set_id").select("seq")
+
+
+@query("audit_rows_proof", f"WITH {_DAMAGED_SQL} SELECT seq, chunk, fault IS NULL AS holds FROM damaged WHERE fault IS DISTINCT FROM 'missing'")
+def audit_rows_proof(c: Context):
+    """Single chunks against the root by their proofs: siblings of each level, no other rows."""
+    nodes, claimed = stage(merkle.tree(c.served_chunks)), _damaged(c)
+    roots_ = nodes.filter(F.col("level") == merkle.LEVELS).select("set_id", F.col("hash").alias("root"))
+    held = merkle.proved(claimed, merkle.proofs(nodes, claimed), roots_)
+    return c.judged_reads.select(F.col("request_id").alias("seq"), "set_id").join(held, "set_id").select("seq", "chunk", "holds")
+
+
 # --- sealing ---------------------------------------------------------------
 # The sealed trail carries one key per quarter of the sequence, so a rotation can be checked segment by segment.
 def _kid():
@@ -49,15 +120,16 @@ _FIELDS = [
     "CAST(chain AS VARCHAR)", "provider_org", "grantee_org", "'read'", "'shipment'", "decision", "deny_reason",
     "CAST(row_count AS VARCHAR)", "row_digest", "kid",
 ]
-_SEALED_SQL = f"""WITH RECURSIVE line AS (
+_LINKS_SQL = f"""line AS (
   SELECT seq, seq // 256 AS segment, seq % 256 AS pos, kid, concat({', '.join(_PREFIX.format(f) for f in _FIELDS)}) AS body, ipad, opad
-  FROM (SELECT *, CASE WHEN seq % 4096 < 2048 THEN 'default' ELSE 'k-1' END AS kid FROM ev) JOIN pad USING (kid)),
+  FROM (SELECT *, CASE WHEN seq % 4096 < 2048 THEN 'default' ELSE 'k-1' END AS kid FROM @TRAIL@) JOIN pad USING (kid)),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq) AS n FROM line),
 link AS (
   SELECT segment, n, seq, CAST(NULL AS VARCHAR) AS prev_hash, {hmac_sql("concat('0:', body)")} AS hash FROM numbered WHERE n = 1
   UNION ALL SELECT x.segment, x.n, x.seq, l.hash, {hmac_sql("concat('64:', l.hash, x.body)", 'x.ipad', 'x.opad')}
   FROM link l JOIN numbered x ON x.segment = l.segment AND x.n = l.n + 1)
 """
+_SEALED_SQL = "WITH RECURSIVE " + _LINKS_SQL.replace("@TRAIL@", "ev")
 
 
 def _sealable(c: Context):
@@ -161,9 +233,75 @@ def audit_bad_heads(c: Context):
     return audit.bad_heads(edited, seals, c.keys, _SEG)
 
 
-@query("audit_top_heads")
+def _top_sql() -> str:
+    """Chains over the last hashes of the segments, then over the ends of these chains, three levels of 1024."""
+    parts = ["h1 AS MATERIALIZED (SELECT segment AS seq, arg_max(hash, seq) AS covers FROM link GROUP BY segment)"]
+    one = "concat(length({acc}), ':', {acc}, length(CAST({x}.seq AS VARCHAR)), ':', {x}.seq, length({x}.covers), ':', {x}.covers)"
+    for k in (1, 2, 3):
+        first = hmac_sql(one.format(acc="''", x="x"), "p.ipad", "p.opad")
+        after = hmac_sql(one.format(acc="t.hash", x="x"), "p.ipad", "p.opad")
+        parts += [
+            f"o{k} AS MATERIALIZED (SELECT *, seq // 1024 AS segment, row_number() OVER (PARTITION BY seq // 1024 ORDER BY seq) AS n FROM h{k})",
+            f"""t{k} AS (SELECT x.segment, x.n, x.seq, {first} AS hash FROM o{k} x, pad p WHERE p.kid = 'default' AND x.n = 1
+  UNION ALL SELECT x.segment, x.n, x.seq, {after} FROM t{k} t JOIN o{k} x ON x.segment = t.segment AND x.n = t.n + 1 JOIN pad p ON p.kid = 'default')""",
+            f"h{k + 1} AS MATERIALIZED (SELECT segment AS seq, arg_max(hash, n) AS covers, max(seq) AS last_seq FROM t{k} GROUP BY segment)"]
+    ends = " UNION ALL ".join(f"SELECT {k} AS level, seq AS segment, last_seq, covers AS hash FROM h{k + 1}" for k in (1, 2, 3))
+    return _SEALED_SQL.rstrip() + ",\n" + ",\n".join(parts) + "\n" + ends
+
+
+@query("audit_top_heads", _top_sql())
 def audit_top_heads(c: Context):
-    return audit.seal_heads(audit.heads(audit.seal(_sealable(c), c.keys)), c.keys)
+    return audit.seal_heads(audit.heads(audit.seal(_sealable(c), c.keys, 256, SEAL_FIELDS)), c.keys)
+
+
+# --- reads and governance changes in one trail ------------------------------
+def _changes(c: Context):
+    """Accepted approvals and revocations, each at its own time."""
+    at = F.timestamp_micros(F.unix_micros(c.as_of) + F.col("cmd_id") * 1_000_000)
+    batch = authority.batch
+    approvals = governance.check_approvals(batch(c, authority._CMD_APPROVE), c.grants, c.principals).filter("reason IS NULL").select(
+        "cmd_id", "grant_id", F.col("approver").alias("actor"))
+    parts = [
+        governance.change_events(approvals, c.grants, "grant.approve"),
+        governance.change_events(batch(c, authority._CMD_GRANT), c.grants, "grant.revoke"),
+        governance.change_events(batch(c, authority._CMD_DELEG), c.grants, "delegation.revoke", c.delegations),
+    ]
+    return [p.withColumn("event_ts", at) for p in parts]
+
+
+_AT = f"TIMESTAMP '{AS_OF}' + k.cmd_id * INTERVAL 1 SECOND"
+_CHANGE = "{at} AS event_ts, k.cmd_id AS own, {who} AS subject, {acting} AS acting_for, g.grant_id, {dele} AS delegation_id, NULL AS chain, g.provider_org, g.grantee_org, '{action}' AS action, '{resource}' AS resource, 'allow' AS decision, NULL AS deny_reason, 1 AS row_count, NULL AS row_digest"
+_MIXED_SQL = f"""approvals AS ({authority._APPROVAL}),
+mixed AS (SELECT event_ts, seq AS own, subject, acting_for, grant_id, delegation_id, CAST(chain AS VARCHAR) AS chain, provider_org, grantee_org,
+    'read' AS action, 'shipment' AS resource, decision, deny_reason, row_count, row_digest FROM ev
+  UNION ALL SELECT {_CHANGE.format(at=_AT, who='k.approver', acting='NULL', dele='NULL', action='grant.approve', resource='data_grant')}
+    FROM approvals k JOIN gov_grant g USING (grant_id) WHERE k.reason IS NULL
+  UNION ALL SELECT {_CHANGE.format(at=_AT, who='k.actor', acting='NULL', dele='NULL', action='grant.revoke', resource='data_grant')}
+    FROM {authority.cmd(authority._CMD_GRANT)} k JOIN gov_grant g USING (grant_id)
+  UNION ALL SELECT {_CHANGE.format(at=_AT, who='k.actor', acting='d.delegator', dele='d.delegation_id', action='delegation.revoke', resource='delegation')}
+    FROM {authority.cmd(authority._CMD_DELEG)} k JOIN gov_delegation d USING (delegation_id) JOIN gov_grant g ON g.grant_id = d.grant_id),
+trail AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY event_ts, action, own) - 1 AS seq FROM mixed)"""
+_MIXED_LINKS = "WITH RECURSIVE " + _MIXED_SQL + ",\n" + _LINKS_SQL.replace("@TRAIL@", "trail").replace("'4:read'", "'4:read'").replace(
+    _PREFIX.format("'read'"), _PREFIX.format("action")).replace(_PREFIX.format("'shipment'"), _PREFIX.format("resource"))
+
+
+def _governed(c: Context):
+    return audit.seal(audit.one_trail(c.events, *_changes(c)).withColumn("kid", _kid()), c.keys, 256, SEAL_FIELDS)
+
+
+@query("audit_governance", _MIXED_LINKS + "SELECT l.seq, t.action, t.own, t.subject, l.segment, l.prev_hash, l.hash FROM link l JOIN trail t USING (seq)")
+def audit_governance(c: Context):
+    """Reads, approvals and revocations in one sealed trail."""
+    return _governed(c).select("seq", "action", "own", "subject", "segment", "prev_hash", "hash")
+
+
+@query("audit_governance_tamper", f"""WITH {_MIXED_SQL}, o AS (SELECT *, action <> 'read' AND own % 11 = 4 AS gone FROM trail)
+SELECT seq, action FROM (SELECT seq, action, gone, lag(gone) OVER (ORDER BY seq) AS gap FROM o) WHERE NOT gone AND gap""")
+def audit_governance_tamper(c: Context):
+    """A change taken out of the trail shows at the row after it."""
+    sealed = stage(_governed(c))
+    left = sealed.filter("not (action <> 'read' and own % 11 = 4)")
+    return audit.bad_rows(left, audit.heads(sealed), c.keys, SEAL_FIELDS).filter("bad").select("seq", "action")
 
 
 @query("win_prev_hash", """WITH h AS (SELECT shipment_id * 3 + shipment_id // 700 * 5000 AS seq, sha256(CAST(shipment_id AS VARCHAR)) AS hash FROM gov_shipment)

@@ -1,4 +1,4 @@
-"""HMAC-SHA-256 and order-free set digests from built-in expressions."""
+"""HMAC-SHA-256 and unambiguous texts from built-in expressions."""
 
 from __future__ import annotations
 
@@ -40,17 +40,3 @@ def length_prefixed(*fields: Column) -> Column:
     return F.concat(
         *[F.coalesce(F.concat(F.length(f).cast("string"), F.lit(":"), f), F.lit("-")) for f in fields]
     )
-
-
-def id_weight(id_col: Column | str, part: int = 0) -> Column:
-    """52 bits of SHA-256 of an id. Summed over a set they identify it whatever its order, in constant space."""
-    c = F.col(id_col) if isinstance(id_col, str) else id_col
-    return F.conv(F.substring(F.sha2(c.cast("string"), 256), part * 13 + 1, 13), 16, 10).cast("decimal(20,0)")
-
-
-def set_digest(id_col: Column | str) -> Column:
-    """Aggregate: order-free digest of a set of ids, combinable map-side."""
-    return F.concat_ws(
-        ":",
-        *[F.coalesce(F.sum(id_weight(id_col, p)), F.lit(0).cast("decimal(30,0)")).cast("string") for p in (0, 1)],
-    )

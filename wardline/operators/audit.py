@@ -2,7 +2,7 @@
 
 Two decisions keep it flat at scale. The rows a read served are stored once per *served set* (scope and
 predicate), in chunks of consecutive ids, instead of one array per event: a set may be a third of the table, a
-chunk cannot exceed `CHUNK` ids. And the hash chain is cut into segments of `SEGMENT` sequence numbers whose
+chunk cannot exceed `CHUNK` ids. The event carries their number and the root of a Merkle tree over the chunks. And the hash chain is cut into segments of `SEGMENT` sequence numbers whose
 last hashes (heads) are themselves sealed one level up, so every chain is short and all run in parallel, yet one top hash
 covers everything. Heads make up for the links across the cuts: later batches go on from them, and verification compares
 the trail with them, so rows missing at a segment's end, or whole segments, show like any other loss.
@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from wardline.functions.crypto import hmac_hex, key_pads, length_prefixed, set_digest
+from wardline.functions.crypto import hmac_hex, key_pads, length_prefixed
 from wardline.functions.scalars import class_rank
+from wardline.operators import merkle
 from wardline.operators.auth import CREDENTIAL, judge
 from wardline.operators.guard import CELL, admitted_partners, admitted_ranks, column_split, ranked
 from wardline.plans.placement import lookup_join
+from wardline.plans.ranking import ranked as placed
 
 CHUNK = 4096
 SEGMENT = 1024
@@ -61,13 +63,14 @@ def chunked(rows: DataFrame, by: list[str], ids: str = "shipment_id", out: str =
 
 
 def set_headers(rows: DataFrame) -> DataFrame:
-    """(set_id, row_count, row_digest); both fold map-side."""
-    return rows.groupBy("set_id").agg(F.count(F.lit(1)).alias("row_count"), set_digest("shipment_id").alias("row_digest"))
+    """(set_id, row_count, row_digest): the number of its rows and the root over its chunks, in one pass."""
+    return merkle.roots(chunked(rows, ["set_id"])).select("set_id", F.col("n").alias("row_count"), F.col("root").alias("row_digest"))
 
 
 # --- events ----------------------------------------------------------------
-def judged_reads(requests: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Requests judged at their own time, with their columns split and their served set named."""
+def judged_reads(requests: DataFrame, resolved: DataFrame, named: Column | None = None) -> DataFrame:
+    """Requests judged at their own time, with their columns split and their served set named: by `named`, or as the rows in scope
+    whose column equals the parameter `k` of the request."""
     df = column_split(judge(requests, resolved))
     unknown = F.size("columns_unknown") > 0
     return (
@@ -79,17 +82,18 @@ def judged_reads(requests: DataFrame, resolved: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("decision", F.when(unknown, "deny").otherwise(F.col("decision")))
-        .withColumn("set_id", F.when(F.col("decision") == "allow", set_id()))
+        .withColumn("set_id", F.when(F.col("decision") == "allow", set_id() if named is None else named))
     )
 
 
 def read_events(judged: DataFrame, headers: DataFrame) -> DataFrame:
     """One event per read, allowed or refused. A refusal is unattributed: the identity it claimed is kept only
-    inside the request text. An allowed read that served nothing keeps its event with zero rows."""
+    inside the request text. An allowed read that served nothing keeps its event with zero rows. What was asked is the text in
+    `asked` where the requests have it, else the request as it came."""
     df = lookup_join(judged, headers, ["set_id"], "left")
     ok = F.col("decision") == "allow"
     when_ok = lambda c: F.when(ok, F.col(c)).alias(c)
-    asked = F.to_json(F.struct("columns", F.lit("units = :k").alias("where"), F.col("param").alias("k")))
+    asked = F.col("asked") if "asked" in judged.columns else F.to_json(F.struct("columns", "request"))
     claimed = F.coalesce("subject", "claimed_sub") if "claimed_sub" in judged.columns else F.col("subject")
     refused = F.to_json(F.struct("columns", claimed.alias("claimed_sub")))
     return df.select(
@@ -100,7 +104,7 @@ def read_events(judged: DataFrame, headers: DataFrame) -> DataFrame:
         F.coalesce("row_count", F.lit(0)).cast("long").alias("row_count"), "set_id", when_ok("row_digest"),
         when_ok("columns_served"), when_ok("columns_masked"),
     ).withColumn(
-        "row_digest", F.when(ok, F.coalesce("row_digest", F.lit("0:0")))
+        "row_digest", F.when(ok, F.coalesce("row_digest", F.lit(merkle.EMPTY)))
     ).withColumn("provider_org", F.when(ok, F.col("provider_org"))).withColumn(
         "grantee_org", F.when(ok, F.col("grantee_org"))
     )
@@ -113,6 +117,22 @@ def audit_reads(requests: DataFrame, resolved: DataFrame, shipments: DataFrame)
     return read_events(judged, set_headers(rows)), rows
 
 
+def one_trail(reads: DataFrame, *changes: DataFrame) -> DataFrame:
+    """Reads and governance changes as one trail in order of time, numbered from 0 without gaps.
+
+    `reads` are events with their own numbers in `seq`; `changes` have `event_ts` and a number `cmd_id`, and what else an event has
+    is NULL for them. Equal times go by action, then by own number. Numbers come from ranges and their counts, so no task sees
+    the whole trail.
+    """
+    fields = [f for f in reads.schema.fields if f.name != "seq"]
+    mixed = reads.withColumn("own", F.col("seq")).drop("seq")
+    for part in changes:
+        mixed = mixed.unionByName(part.select(
+            *[(F.col(f.name) if f.name in part.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields],
+            F.col("cmd_id").cast("long").alias("own")))
+    return placed(mixed, [], ["event_ts", "action", "own"], "seq")
+
+
 # --- sealing and verification ----------------------------------------------
 SEALED_FIELDS = (
     "seq", "event_ts", "subject", "acting_for", "grant_id", "delegation_id", "chain", "provider_org", "grantee_org",
