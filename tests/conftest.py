@@ -31,9 +31,9 @@ def spark():
 
 @pytest.fixture(scope="session")
 def world(spark):
-    from wardline.sources.seed import seed
+    from tests.scenario import world
 
-    return seed(spark, AS_OF)
+    return world(spark, AS_OF)
 
 
 @pytest.fixture(scope="session")

@@ -20,14 +20,14 @@ REQUEST = "request_id long, event_ts timestamp, subject string, grant_id string,
 T0 = dt.datetime(2024, 1, 16, 0, 0, 1, tzinfo=dt.timezone.utc)
 
 
-def request(i, subject, grant="g-main", dele=None, columns=ALL, k=80):
+def request(i, subject, grant="g-trade", dele=None, columns=ALL, k=42):
     return (i, T0, subject, grant, dele, "read", json.dumps({"k": k}), columns)
 
 
 DAY = [
-    request(1, "mr-priya"), request(2, "mr-agent-1", dele="d-agent1"), request(3, "mr-agent-2", dele="d-agent2", columns=["shipment_id", "carrier"]),
-    request(4, "co-lena", "g-contoso", k=95), request(5, "co-agent-1", dele="d-agent1"), request(6, "mr-priya", dele="d-agent1"),
-    request(7, "mr-priya", columns=["shipment_id", "nope"]), request(9, "mr-priya", k=12),
+    request(1, "bo-kira"), request(2, "bo-plan", dele="d-plan"), request(3, "bo-route", dele="d-route", columns=["shipment_id", "carrier"]),
+    request(4, "cb-mina", "g-cobalt", k=29), request(5, "cb-bot", dele="d-plan"), request(6, "bo-kira", dele="d-plan"),
+    request(7, "bo-kira", columns=["shipment_id", "nope"]), request(9, "bo-kira", k=81),
 ]
 
 
@@ -47,11 +47,11 @@ def sealed(day, keys):
 def test_every_request_leaves_one_event(day):
     got = {r.seq: r for r in day[0].collect()}
     assert {s: (r.decision, r.subject, r.row_count) for s, r in got.items()} == {
-        1: ("allow", "mr-priya", 1), 2: ("allow", "mr-agent-1", 1), 3: ("allow", "mr-agent-2", 1), 4: ("allow", "co-lena", 1),
-        5: ("deny", None, 0), 6: ("deny", None, 0), 7: ("deny", None, 0), 9: ("allow", "mr-priya", 0)}
+        1: ("allow", "bo-kira", 1), 2: ("allow", "bo-plan", 1), 3: ("allow", "bo-route", 1), 4: ("allow", "cb-mina", 1),
+        5: ("deny", None, 0), 6: ("deny", None, 0), 7: ("deny", None, 0), 9: ("allow", "bo-kira", 0)}
     assert got[7].deny_reason == 'unknown columns: ["nope"]' and got[5].deny_reason == auth.NO_AUTH
-    assert json.loads(got[6].request)["claimed_sub"] == "mr-priya"
-    assert (got[2].acting_for, got[2].chain, got[3].chain) == ("mr-priya", '["d-agent1"]', '["d-agent2","d-agent1"]')
+    assert json.loads(got[6].request)["claimed_sub"] == "bo-kira"
+    assert (got[2].acting_for, got[2].chain, got[3].chain) == ("bo-kira", '["d-plan"]', '["d-route","d-plan"]')
     assert got[2].columns_masked == ["unit_cost_usd", "margin_pct", "contact_email", "contact_phone"]
     assert got[1].columns_masked == ["contact_email", "contact_phone"] and got[4].columns_masked == []
     assert got[5].provider_org is None and got[9].row_digest == hashlib.sha256(b"").hexdigest()
@@ -60,7 +60,7 @@ def test_every_request_leaves_one_event(day):
 def test_exact_rows_are_on_record(day):
     events, rows, _ = day
     served = events.join(audit.chunked(rows, ["set_id"]), "set_id").select("seq", F.explode("row_ids").alias("id")).collect()
-    assert sorted(map(tuple, served)) == [(1, 1002), (2, 1002), (3, 1002), (4, 1007)]
+    assert sorted(map(tuple, served)) == [(1, 3), (2, 3), (3, 3), (4, 2)]
 
 
 def test_root_names_a_set(spark):
@@ -72,7 +72,7 @@ def test_root_names_a_set(spark):
 
 def test_changes_and_reads_make_one_trail(spark, day, keys):
     """Dense numbers over all sources, a chain over them, and a change that is taken out shows at the next row."""
-    changes = frame(spark, [(i, T0 - dt.timedelta(seconds=2 - i), "ni-omar", "g-main", "grant.revoke", "data_grant", "{}", "allow", 1) for i in range(4)],
+    changes = frame(spark, [(i, T0 - dt.timedelta(seconds=2 - i), "al-jonas", "g-trade", "grant.revoke", "data_grant", "{}", "allow", 1) for i in range(4)],
                     "cmd_id long, event_ts timestamp, subject string, grant_id string, action string, resource string, request string, decision string, row_count long")
     trail = stage(audit.one_trail(day[0], changes))
     rows = trail.orderBy("seq").collect()
@@ -105,8 +105,8 @@ def test_untouched_trail_verifies(sealed, keys):
 
 
 @pytest.mark.parametrize("column,value", [
-    ("row_count", 99), ("provider_org", "contoso"), ("grantee_org", "contoso"), ("chain", "[]"), ("deny_reason", "x"), ("row_digest", "1:1"),
-    ("columns_served", None), ("subject", "mr-tomas"), ("hash", "00"), ("prev_hash", "00"),
+    ("row_count", 99), ("provider_org", "cobalt"), ("grantee_org", "cobalt"), ("chain", "[]"), ("deny_reason", "x"), ("row_digest", "1:1"),
+    ("columns_served", None), ("subject", "bo-lev"), ("hash", "00"), ("prev_hash", "00"),
 ])
 def test_an_edit_is_found_at_its_row(sealed, keys, column, value):
     edited = sealed.withColumn(column, F.when(F.col("seq") == 2, F.lit(value)).otherwise(F.col(column)))
@@ -160,7 +160,7 @@ def test_key_rotation_verifies_by_segment(day, keys):
 
 
 def test_two_sides_see_their_own(spark, day):
-    viewers = frame(spark, [("nw-dana", "northwind"), ("mr-priya", "meridian"), ("mr-tomas", "meridian")], "sub string, viewer_org string")
+    viewers = frame(spark, [("al-ines", "alpina"), ("bo-kira", "borealis"), ("bo-lev", "borealis")], "sub string, viewer_org string")
     provider = {r.seq for r in audit.provider_view(day[0], viewers).collect()}
     consumer = {r.seq for r in audit.consumer_view(day[0], viewers).collect()}
     assert provider == {1, 2, 3, 4, 9} and consumer == {1, 2, 3, 9}
@@ -173,23 +173,23 @@ def test_reconciliation(day, world):
     args = (rows, world["shipment"], world["data_grant"])
     assert audit.reconcile(events, *args).count() == audit.reconcile(events, *args, resolved).count() == 0
     assert audit.unapproved(events, world["data_grant"]).count() == 0
-    # a read of another partner's row, filed under g-main
-    wrong = events.withColumn("grant_id", F.when(F.col("seq") == 4, "g-main").otherwise(F.col("grant_id")))
+    # a read of another partner's row, filed under g-trade
+    wrong = events.withColumn("grant_id", F.when(F.col("seq") == 4, "g-trade").otherwise(F.col("grant_id")))
     flagged = audit.reconcile(wrong, *args)
     assert [tuple(r) for r in flagged.collect()] == [(4, 1)]
-    assert [tuple(r) for r in audit.reconcile_rows(wrong, *args).collect()] == [(4, 1007)]
+    assert [tuple(r) for r in audit.reconcile_rows(wrong, *args).collect()] == [(4, 2)]
     found = {r.seq: r.incident for r in audit.classify(wrong, flagged).collect()}
     assert found == {1: "as_configured", 2: "as_configured", 3: "as_configured", 4: "enforcement_fault", 5: "attempt", 6: "attempt",
                      7: "attempt", 9: "as_configured"}
-    lapsed = events.withColumn("grant_id", F.when(F.col("seq") == 1, "g-unapproved").otherwise(F.col("grant_id")))
+    lapsed = events.withColumn("grant_id", F.when(F.col("seq") == 1, "g-asked").otherwise(F.col("grant_id")))
     assert [r.seq for r in audit.unapproved(lapsed, world["data_grant"]).collect()] == [1]
 
 
 def test_strict_reconciliation_sees_the_region(day, world):
     events, rows, resolved = day
-    uk = world["shipment"].withColumn("region", F.when(F.col("shipment_id") == 1002, "UK").otherwise(F.col("region")))
-    assert audit.reconcile(events, rows, uk, world["data_grant"]).count() == 0  # UK is inside the grant
-    strict = audit.reconcile(events, rows, uk, world["data_grant"], resolved).collect()
+    moved = world["shipment"].withColumn("region", F.when(F.col("shipment_id") == 3, "west").otherwise(F.col("region")))
+    assert audit.reconcile(events, rows, moved, world["data_grant"]).count() == 0  # west is inside the grant
+    strict = audit.reconcile(events, rows, moved, world["data_grant"], resolved).collect()
     assert sorted(r.seq for r in strict) == [2, 3]  # but not inside the delegations
 
 
@@ -202,5 +202,5 @@ def test_previous_by_seq_over_gaps(spark):
 
 def test_reconstruct_reports_direct_and_delegated(day, world):
     got = {r.seq: r for r in audit.reconstruct(day[0], world["data_grant"], world["delegation"]).collect()}
-    assert (got[1].approved_by, got[1].delegator) == ("nw-dana", None)
-    assert (got[3].delegator, got[3].delegatee, got[3].depth, got[3].purpose) == ("mr-agent-1", "mr-agent-2", 2, "carrier lookup subtask")
+    assert (got[1].approved_by, got[1].delegator) == ("al-ines", None)
+    assert (got[3].delegator, got[3].delegatee, got[3].depth, got[3].purpose) == ("bo-plan", "bo-route", 2, "finds routes for the plan")

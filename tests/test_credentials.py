@@ -20,7 +20,7 @@ def token(claims, key=K1, body=None):
     return body + "." + hmac.new(key, body.encode(), hashlib.sha256).hexdigest()
 
 
-GOOD = {"sub": "mr-priya", "grant_id": "g-main", "exp": FUTURE}
+GOOD = {"sub": "bo-kira", "grant_id": "g-trade", "exp": FUTURE}
 CASES = {
     "good": (token(GOOD), None),
     "good_named_key": (token({**GOOD, "kid": "k2"}, K2), None),
@@ -55,11 +55,11 @@ def test_bad_tokens_give_null_claims(spark, keys):
     df = frame(spark, [(n, t) for n, (t, _) in CASES.items()], "name string, token string")
     for r in credentials.verify_tokens(df, keys, at()).collect():
         good = CASES[r.name][1] is None
-        assert r.verified == good and (r.sub, r.grant_id) == (("mr-priya", "g-main") if good else (None, None))
+        assert r.verified == good and (r.sub, r.grant_id) == (("bo-kira", "g-trade") if good else (None, None))
 
 
 def test_signing_round_trip_matches_python(spark, keys):
-    claims = frame(spark, [("mr-priya", "g-main", str(FUTURE), None), ("ünï", None, str(FUTURE), "k2")],
+    claims = frame(spark, [("bo-kira", "g-trade", str(FUTURE), None), ("ünï", None, str(FUTURE), "k2")],
                    "sub string, grant_id string, exp string, kid string")
     out = credentials.sign_claims(claims, keys, ["sub", "grant_id", "exp", "kid"]).collect()
     for r in out:
@@ -78,8 +78,8 @@ def test_long_keys_are_hashed_first(spark):
 
 
 def test_viewers(spark, world, keys):
-    rows = [("nw-dana", "northwind"), ("mr-priya", "northwind"), ("mr-agent-1", "meridian"), ("co-lena", "contoso"), ("nobody", "contoso")]
+    rows = [("al-ines", "alpina"), ("bo-kira", "alpina"), ("bo-plan", "borealis"), ("cb-mina", "cobalt"), ("nobody", "cobalt")]
     tokens = frame(spark, [(token({"sub": s, "audit_org": o, "exp": FUTURE}),) for s, o in rows]
-                   + [(token({"sub": "nw-omar", "audit_org": "northwind", "exp": FUTURE}, b"forged"),)], "token string")
+                   + [(token({"sub": "al-jonas", "audit_org": "alpina", "exp": FUTURE}, b"forged"),)], "token string")
     got = credentials.viewer_orgs(tokens, keys, world["principal"], at()).select("sub", "viewer_org").collect()
-    assert sorted(map(tuple, got)) == [("co-lena", "contoso"), ("nw-dana", "northwind")]
+    assert sorted(map(tuple, got)) == [("cb-mina", "cobalt"), ("al-ines", "alpina")]

@@ -34,7 +34,7 @@ def test_seal_carries_the_chain_across_batches_and_restarts(spark, keys, tmp_pat
 def test_revocation_bites_on_the_next_batch(spark, world, keys, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "request_id long, event_ts timestamp, token string, columns array<string>, request string"
-    claims = {"sub": "mr-agent-1", "grant_id": "g-main", "delegation_id": "d-agent1", "exp": FUTURE}
+    claims = {"sub": "bo-plan", "grant_id": "g-trade", "delegation_id": "d-plan", "exp": FUTURE}
     state = {"now": world}
 
     def governance():
@@ -44,13 +44,13 @@ def test_revocation_bites_on_the_next_batch(spark, world, keys, tmp_path):
         frame(spark, rows, schema).write.mode("append").parquet(src)
         jobs.stream_guarded(spark.readStream.schema(schema).parquet(src), governance, out, ck).awaitTermination()
 
-    ask = lambda i, tok: (i, T0, tok, ALL, json.dumps({"k": 80}))
+    ask = lambda i, tok: (i, T0, tok, ALL, json.dumps({"k": 42}))
     put_and_run([ask(1, token(claims)), ask(2, token(claims, b"forged")), ask(3, None)])
-    state["now"] = edit(world, "delegation", "delegation_id", "d-agent1", revoked_at=F.lit("2024-01-16").cast("timestamp"))
+    state["now"] = edit(world, "delegation", "delegation_id", "d-plan", revoked_at=F.lit("2024-01-16").cast("timestamp"))
     put_and_run([ask(4, token(claims))])
     events = {r.seq: (r.decision, r.row_count, r.subject) for r in spark.read.parquet(f"{out}/events").collect()}
-    assert events == {1: ("allow", 1, "mr-agent-1"), 2: ("deny", 0, None), 3: ("deny", 0, None), 4: ("deny", 0, None)}
-    assert [r.row_ids for r in spark.read.schema("set_id string, chunk long, row_ids array<long>").parquet(f"{out}/rows").collect()] == [[1002]]
+    assert events == {1: ("allow", 1, "bo-plan"), 2: ("deny", 0, None), 3: ("deny", 0, None), 4: ("deny", 0, None)}
+    assert [r.row_ids for r in spark.read.schema("set_id string, chunk long, row_ids array<long>").parquet(f"{out}/rows").collect()] == [[3]]
 
 
 def test_denial_counts_update_and_late_events_drop(spark, tmp_path):

@@ -14,8 +14,8 @@ from wardline.session import shared_dir
 from wardline.sources import sinks, tables
 
 
-def test_seed_sizes(world):
-    assert {n: df.count() for n, df in world.items()} == {"org": 3, "principal": 9, "shipment": 24, "data_grant": 4, "delegation": 2}
+def test_scenario_sizes(world):
+    assert {n: df.count() for n, df in world.items()} == {"org": 4, "principal": 10, "shipment": 60, "data_grant": 4, "delegation": 3}
 
 
 def test_load_round_trip(spark, world, tmp_path):
@@ -28,10 +28,10 @@ def test_load_round_trip(spark, world, tmp_path):
 
 def test_scan_reads_only_what_is_asked(spark, world, tmp_path):
     world["shipment"].write.partitionBy("owner_org", "region").parquet(str(tmp_path / "shipment"))
-    scan = tables.load(spark, str(tmp_path), ("shipment",))["shipment"].filter("owner_org = 'contoso' AND units > 100").select("shipment_id")
+    scan = tables.load(spark, str(tmp_path), ("shipment",))["shipment"].filter("owner_org = 'cobalt' AND units > 80").select("shipment_id")
     plan = scan._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(owner_org" in plan and "GreaterThan(units,100)" in plan and "unit_cost_usd" not in plan
-    assert [r.shipment_id for r in scan.collect()] == [3002]
+    assert "PartitionFilters: [isnotnull(owner_org" in plan and "GreaterThan(units,80)" in plan and "unit_cost_usd" not in plan
+    assert [r.shipment_id for r in scan.collect()] == [59]
 
 
 def test_append_never_overwrites(spark, tmp_path):
