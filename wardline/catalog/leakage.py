@@ -9,7 +9,7 @@ from wardline.catalog.reading import THRESHOLDS
 from wardline.catalog.registry import Context, query
 from wardline.operators import audit, auth, caller, expected, guard, leaks, sets
 from wardline.plans.placement import lookup_join
-from wardline.schemas import CONTACT_COLUMNS, COST_COLUMNS
+from wardline.schemas import ALL_COLUMNS, CONTACT_COLUMNS, COST_COLUMNS
 
 T = f"TIMESTAMP '{AS_OF}'"
 LATER = "2024-01-20 12:00:00"
@@ -41,8 +41,13 @@ _ATTACK_SQL = f"""attack AS (SELECT concat_ws('/', c.subject, c.grant_id, coales
     CASE WHEN a.auth_id IS NULL THEN 'deny' ELSE 'allow' END AS decision
   FROM cred c LEFT JOIN auths a ON a.auth_id = concat_ws('/', c.subject, c.grant_id, coalesce(c.delegation_id, 'direct'))),
 leaked AS (SELECT auth_id, shipment_id FROM vis WHERE NOT allow_cost AND unit_cost_usd > {ASK}),
-outcome AS (SELECT x.attack_id, x.family, arm, CASE WHEN arm = 'mask_last' THEN (SELECT count(*) FROM leaked l WHERE l.auth_id = x.attack_id) ELSE 0 END AS n_leaked_rows
-  FROM attack x CROSS JOIN (SELECT UNNEST(['mask_first', 'mask_last']) AS arm))"""
+bare AS (SELECT auth_id, sum(CASE WHEN allow_cost THEN 0 ELSE (unit_cost_usd IS NOT NULL)::INT + (margin_pct IS NOT NULL)::INT END
+    + CASE WHEN allow_contact THEN 0 ELSE (contact_email IS NOT NULL)::INT + (contact_phone IS NOT NULL)::INT END) AS n
+  FROM vis WHERE unit_cost_usd > {ASK} GROUP BY auth_id),
+per AS (SELECT x.*, coalesce(l.n, 0) AS n_rows, CAST(coalesce(b.n, 0) AS BIGINT) AS n_values FROM attack x
+  LEFT JOIN (SELECT auth_id, count(*) AS n FROM leaked GROUP BY auth_id) l ON l.auth_id = x.attack_id LEFT JOIN bare b ON b.auth_id = x.attack_id),
+outcome AS (SELECT attack_id, family, 'mask_first' AS arm, 0 AS n_leaked_rows, 0 AS n_leaked_values FROM per
+  UNION ALL SELECT attack_id, family, 'mask_last', n_rows, 0 FROM per UNION ALL SELECT attack_id, family, 'no_mask', n_rows, n_values FROM per)"""
 
 
 def _attacks(c: Context):
@@ -53,78 +58,64 @@ def _attacks(c: Context):
                      F.coalesce("decision", F.lit("deny")).alias("decision"))
 
 
-def _served(c: Context, arm: str):
-    """Rows handed out to the attack in one arm."""
-    asked = F.col("unit_cost_usd") > ASK
-    rows = guard.late_masked(c.shipments, c.auths, asked) if arm == "mask_last" else c.guarded.filter(asked)
-    return rows.withColumnRenamed("auth_id", "attack_id")
+def _found(c: Context):
+    """The rows of the attack in all arms, with what each gives away."""
+    return leaks.disclosed(guard.visible(c.shipments, c.auths), lambda value: value("unit_cost_usd") > ASK)
 
 
-def _secret(c: Context):
-    """Rows and values whose appearance in the answer discloses a cost the credential may not see."""
-    rows = guard.visible(c.shipments, c.auths).filter(~F.col("allow_cost") & (F.col("unit_cost_usd") > ASK))
-    return rows.select(
-        F.col("auth_id").alias("attack_id"), "shipment_id", F.lit("unit_cost_usd").alias("column"),
-        F.col("unit_cost_usd").cast("string").alias("value"),
-    )
+def _outcomes(c: Context):
+    return leaks.evaluate(_attacks(c), _found(c))
 
 
-def _outcomes(c: Context, arm: str):
-    served, secret = _served(c, arm), _secret(c)
-    rows = leaks.hits(served, secret, ["attack_id", "shipment_id"])
-    values = leaks.hits(leaks.visible_values(served, ["unit_cost_usd"], ["attack_id"]), secret,
-                        ["attack_id", "shipment_id", "column", "value"])
-    return leaks.evaluate(_attacks(c), rows, values)
+_BYPASSED = "n_leaked_rows > 0 OR n_leaked_values > 0"
 
 
-@query("leak_eval", f"WITH {_ATTACK_SQL} SELECT arm, attack_id, family, n_leaked_rows, 0 AS n_leaked_values, n_leaked_rows > 0 AS bypassed FROM outcome")
+@query("leak_eval", f"WITH {_ATTACK_SQL} SELECT arm, attack_id, family, n_leaked_rows, n_leaked_values, {_BYPASSED} AS bypassed FROM outcome")
 def leak_eval(c: Context):
-    return sets.stack(*[
-        _outcomes(c, arm).select(F.lit(arm).alias("arm"), "attack_id", "family", "n_leaked_rows", "n_leaked_values", "bypassed")
-        for arm in leaks.ARMS
-    ])
+    return _outcomes(c).select("arm", "attack_id", "family", "n_leaked_rows", "n_leaked_values", "bypassed")
 
 
 @query("leak_compare", f"WITH {_ATTACK_SQL} SELECT attack_id, false AS bypassed_a, true AS bypassed_b FROM outcome WHERE arm = 'mask_last' AND n_leaked_rows > 0")
 def leak_compare(c: Context):
-    return leaks.compare(_outcomes(c, "mask_first"), _outcomes(c, "mask_last"))
+    return leaks.compare(_outcomes(c), "mask_first", "mask_last").drop("family")
 
 
-@query("join_arms", f"WITH {_ATTACK_SQL} SELECT family, count(*) AS n FROM outcome WHERE arm = 'mask_last' AND n_leaked_rows > 0 GROUP BY family")
+@query("join_arms", f"""WITH {_ATTACK_SQL} SELECT a.family, count(*) AS n FROM outcome a JOIN outcome b ON b.attack_id = a.attack_id AND b.arm = 'no_mask'
+  WHERE a.arm = 'mask_last' AND (a.n_leaked_rows > 0) <> (b.n_leaked_rows > 0 OR b.n_leaked_values > 0) GROUP BY a.family""")
 def join_arms(c: Context):
-    differ = leaks.compare(_outcomes(c, "mask_first"), _outcomes(c, "mask_last"))
-    return differ.join(_attacks(c).select("attack_id", "family"), "attack_id").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    """Attacks that only the masks on the values served keep from getting through, per family."""
+    return leaks.compare(_outcomes(c), "mask_last", "no_mask").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
-_ROLLUP = f"""WITH {_ATTACK_SQL} SELECT coalesce(family, 'ALL') AS family, count(*) AS total, count(*) FILTER (WHERE n_leaked_rows > 0) AS n_bypassed
-  FROM outcome WHERE arm = 'mask_last' GROUP BY ROLLUP(family)"""
+_ROLLUP = f"""WITH {_ATTACK_SQL} SELECT arm, coalesce(family, 'ALL') AS family, count(*) AS total, count(*) FILTER (WHERE {_BYPASSED}) AS n_bypassed
+  FROM outcome GROUP BY GROUPING SETS ((arm, family), (arm))"""
 
 
 @query("leak_rollup", _ROLLUP)
 def leak_rollup(c: Context):
-    return leaks.rollup(_outcomes(c, "mask_last"))
+    return leaks.rollup(_outcomes(c))
 
 
-@query("agg_family", f"{_ROLLUP} HAVING grouping(family) = 0")
+@query("agg_family", f"{_ROLLUP} HAVING grouping(family) = 0 AND count(*) FILTER (WHERE {_BYPASSED}) > 0")
 def agg_family(c: Context):
-    return leaks.rollup(_outcomes(c, "mask_last")).filter("family <> 'ALL'")
+    """Families with attacks that got through, per arm."""
+    return leaks.rollup(_outcomes(c)).filter("family <> 'ALL' AND n_bypassed > 0")
 
 
 @query("join_forbidden", f"WITH {_ATTACK_SQL} SELECT auth_id AS attack_id, shipment_id FROM leaked")
 def join_forbidden(c: Context):
-    return leaks.hits(_served(c, "mask_last"), _secret(c), ["attack_id", "shipment_id"]).select("attack_id", "shipment_id")
+    return leaks.leaked_rows(_found(c), "mask_last")
 
 
 @query("agg_leak_lists", f"""WITH {_ATTACK_SQL} SELECT auth_id AS attack_id, CAST(floor(shipment_id / 4096) AS BIGINT) AS chunk,
   string_agg(CAST(shipment_id AS VARCHAR), ',' ORDER BY shipment_id) AS ids FROM leaked GROUP BY ALL""")
 def agg_leak_lists(c: Context):
-    hit = leaks.hits(_served(c, "mask_last"), _secret(c), ["attack_id", "shipment_id"])
-    return audit.chunked(hit, ["attack_id"]).select("attack_id", "chunk", F.array_join("row_ids", ",").alias("ids"))
+    return audit.chunked(leaks.leaked_rows(_found(c), "mask_last"), ["attack_id"]).select("attack_id", "chunk", F.array_join("row_ids", ",").alias("ids"))
 
 
 @query("union_results", f"WITH {_ATTACK_SQL} SELECT family, arm, count(*) AS n FROM outcome GROUP BY ALL")
 def union_results(c: Context):
-    both = sets.stack(*[_attacks(c).withColumn("arm", F.lit(arm)) for arm in leaks.ARMS])
+    both = sets.stack(*[_attacks(c).withColumn("arm", F.lit(arm)) for arm in leaks.OUTCOME_ARMS])
     return both.groupBy("family", "arm").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -162,12 +153,19 @@ def _capabilities(c: Context, allowed: bool):
     return c.auths.select("auth_id", F.inline(pairs)).filter(F.col("may") == allowed).select("auth_id", "column")
 
 
-@query("leak_overmask", """SELECT g.auth_id, 'unit_cost_usd' AS "column" FROM guarded g JOIN auths a ON a.auth_id = g.auth_id AND a.allow_cost
-  GROUP BY g.auth_id HAVING count(g.unit_cost_usd) = 0
-UNION ALL SELECT g.auth_id, 'contact_email' FROM guarded g JOIN auths a ON a.auth_id = g.auth_id AND a.allow_contact
-  GROUP BY g.auth_id HAVING count(g.contact_email) = 0""")
+# Planted over-masking: these credentials get no margins and no telephone numbers although they may see them.
+_STARVED = "length(auth_id) % 3 = 0"
+
+
+@query("leak_overmask", "WITH per AS (SELECT g.auth_id, any_value(a.allow_cost) AS cost, any_value(a.allow_contact) AS contact, count(g.unit_cost_usd) AS c,"
+  f" CASE WHEN {_STARVED.replace('auth_id', 'g.auth_id')} THEN 0 ELSE count(g.margin_pct) END AS m, count(g.contact_email) AS e,"
+  f" CASE WHEN {_STARVED.replace('auth_id', 'g.auth_id')} THEN 0 ELSE count(g.contact_phone) END AS p FROM guarded g JOIN auths a ON a.auth_id = g.auth_id GROUP BY g.auth_id)"
+  """ SELECT auth_id, 'unit_cost_usd' AS "column" FROM per WHERE cost AND c = 0 UNION ALL SELECT auth_id, 'margin_pct' FROM per WHERE cost AND m = 0
+UNION ALL SELECT auth_id, 'contact_email' FROM per WHERE contact AND e = 0 UNION ALL SELECT auth_id, 'contact_phone' FROM per WHERE contact AND p = 0""")
 def leak_overmask(c: Context):
-    return leaks.overmasked(c.guarded, _capabilities(c, True), ["unit_cost_usd", "contact_email"]).select("auth_id", "column")
+    starved = lambda x: F.when(~F.expr(_STARVED), F.col(x)).alias(x)
+    rows = c.guarded.select("auth_id", "unit_cost_usd", "contact_email", starved("margin_pct"), starved("contact_phone"))
+    return leaks.overmasked(rows, _capabilities(c, True), HIDDEN).select("auth_id", "column")
 
 
 @query("leak_mask_coverage", """SELECT auth_id, c AS "column", n AS n_values FROM (
@@ -276,10 +274,16 @@ def agg_max_masked(c: Context):
     return per.select("auth_id", shown.alias("highest"))
 
 
-@query("agg_visible_values", """SELECT auth_id, shipment_id, c AS "column", v AS value FROM (SELECT auth_id, shipment_id,
-  UNNEST(['unit_cost_usd', 'contact_email', 'contact_phone']) AS c, UNNEST([CAST(unit_cost_usd AS VARCHAR), contact_email, contact_phone]) AS v FROM guarded) WHERE v IS NOT NULL""")
+# Every column as text but the row id itself, times in one fixed form.
+VALUES = [x for x in ALL_COLUMNS if x not in ("shipment_id", "updated_at")]
+
+
+@query("agg_visible_values", f"""SELECT auth_id, shipment_id, c AS "column", v AS value FROM (SELECT auth_id, shipment_id,
+  UNNEST([{", ".join(f"'{x}'" for x in [*VALUES, "updated_at"])}]) AS c,
+  UNNEST([{", ".join(f"CAST({x} AS VARCHAR)" for x in VALUES)}, strftime(updated_at, '%Y-%m-%d %H:%M:%S')]) AS v FROM guarded) WHERE v IS NOT NULL""")
 def agg_visible_values(c: Context):
-    return leaks.visible_values(c.guarded, ["unit_cost_usd", "contact_email", "contact_phone"])
+    served = c.guarded.withColumn("updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
+    return leaks.visible_values(served, [*VALUES, "updated_at"])
 
 
 @query("agg_region_list", """SELECT d.delegation_id, array_to_string(list_sort(list_filter(d.region_scope, lambda r: list_contains(g.region_scope, r))), ',') AS regions

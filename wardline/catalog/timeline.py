@@ -141,11 +141,12 @@ def win_rows_until_halt(c: Context):
     return _trials(c, "cache", "token").select("mode", *auth.CREDENTIAL, "rows_after", "requests_after")
 
 
-_SUMMARY = """SELECT mode, count(*) AS trials, round(avg(halt_latency_s), 4) AS halt_mean_s, round(max(halt_latency_s), 4) AS halt_max_s,
+_CASES = " ".join(f"WHEN '{m}' THEN {b}" for m, b in BOUNDS.items())
+_SUMMARY = """SELECT mode, {bound}count(*) AS trials, round(avg(halt_latency_s), 4) AS halt_mean_s, round(max(halt_latency_s), 4) AS halt_max_s,
   CAST(max(rows_after) AS BIGINT) AS rows_after_max, round(avg(rows_after), 2) AS rows_after_mean,
   count(*) FILTER (WHERE halt_latency_s <= b) AS n_within, bool_and(halt_latency_s <= b) AS all_within FROM
-  (SELECT t.*, CASE mode {cases} END AS b FROM trial t) GROUP BY mode""".format(
-    cases=" ".join(f"WHEN '{m}' THEN {b}" for m, b in BOUNDS.items()))
+  (SELECT t.*, CASE mode {cases} END AS b FROM trial t) GROUP BY mode"""
+_SUMMARY, _SUMMARY_BOUND = (_SUMMARY.format(bound=bound, cases=_CASES) for bound in ("", "CAST(max(b) AS DOUBLE) AS declared_bound_s, "))
 
 
 @query("replay_summary", f"{_TRIALS} {_SUMMARY}")
@@ -153,9 +154,9 @@ def replay_summary(c: Context):
     return replay.mode_summary(_trials(c, *BOUNDS)).drop("declared_bound_s")
 
 
-@query("agg_mode_summary", f"{_TRIALS} SELECT mode, CAST(max(b) AS DOUBLE) AS declared_bound_s, n AS trials FROM (SELECT mode, CASE mode {' '.join(f'WHEN {chr(39)}{m}{chr(39)} THEN {b}' for m, b in BOUNDS.items())} END AS b, count(*) OVER (PARTITION BY mode) AS n FROM trial) WHERE mode = 'live' GROUP BY mode, n")
+@query("agg_mode_summary", f"{_TRIALS} {_SUMMARY_BOUND}")
 def agg_mode_summary(c: Context):
-    return replay.mode_summary(_trials(c, "live")).select("mode", "declared_bound_s", "trials")
+    return replay.mode_summary(_trials(c, *BOUNDS))
 
 
 # --- streaming -------------------------------------------------------------

@@ -1,23 +1,24 @@
 """Measuring what a caller's query gives away.
 
-Two arms are compared over the same rows: the guarded relation (masks before the caller's query) and the control
-(masks after it). Result sets and orders are compared through aggregates that decide the same question: sets cut
+Arms are compared over the same rows: the guarded relation (masks before the caller's query) and the control
+(masks after it), and for whole attacks a third without masks. Result sets and orders are compared through aggregates that decide the same question: sets cut
 by `column > t` are nested, so two are equal exactly when their sizes are; ascending and descending order on a key
 agree exactly when the key takes at most one value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import rounded_long
-from wardline.operators.guard import CELL, policy_cells, scope_cells, totals
+from wardline.operators.guard import CAPS, CELL, masked_columns, policy_cells, scope_cells, totals
 from wardline.plans.placement import lookup_join, stage
 
 ARMS = ("mask_first", "mask_last")
+OUTCOME_ARMS = (*ARMS, "no_mask")  # the last serves raw rows: what the measure shows when masks are missing
 
 
 # --- served against forbidden ----------------------------------------------
@@ -28,35 +29,64 @@ def visible_values(served: DataFrame, columns: Sequence[str], by: Sequence[str]
     return long.filter(F.col("value").isNotNull()).distinct()
 
 
-def hits(served: DataFrame, forbidden: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Served items that were forbidden."""
-    return served.join(forbidden.select(*on).distinct(), list(on), "left_semi")
+def disclosed(visible: DataFrame, asked: Callable[[Callable[[str], Column]], Column], by: str = "attack_id") -> DataFrame:
+    """The rows of `visible` (raw values and capabilities) that the caller's predicate picks in any arm, in one pass.
 
-
-def evaluate(attacks: DataFrame, leaked_rows: DataFrame, leaked_values: DataFrame, key: str = "attack_id") -> DataFrame:
-    """Per attack (key, family, must_deny, decision): what leaked, and whether the attack got through."""
-    rows = leaked_rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_leaked_rows"))
-    values = leaked_values.groupBy(key).agg(F.count(F.lit(1)).alias("n_leaked_values"))
-    df = lookup_join(lookup_join(attacks, rows, [key], "left"), values, [key], "left")
-    for c in ("n_leaked_rows", "n_leaked_values"):
-        df = df.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
+    `asked` builds the predicate from a function that gives a column's value: the masked one in `mask_first`, the raw one in the other
+    arms. `arms` says per arm whether the row is served, whether that gives away a value the credential may not see (the predicate holds,
+    but would not if every column without capability were NULL), and how many masked values come with it.
+    """
+    masked = list(CAPS)
+    rows = visible.withColumn("shown", F.struct(*masked_columns(masked)))
+    holds = lambda value: F.coalesce(asked(value), F.lit(False))
+    real = holds(F.col)
+    seen = holds(lambda c: F.col(f"shown.{c}") if c in CAPS else F.col(c))
+    secret = real & ~holds(lambda c: F.when(F.col(CAPS[c]), F.col(c)) if c in CAPS else F.col(c))  # apart from the masks measured
+    came = lambda source: sum((~F.col(CAPS[c]) & F.col(f"{source}{c}").isNotNull()).cast("long") for c in masked)
+    arms = {"mask_first": (seen, "shown."), "mask_last": (real, "shown."), "no_mask": (real, "")}
+    return rows.select(
+        F.col("auth_id").alias(by), "shipment_id",
+        F.array(*[
+            F.struct(F.lit(arm).alias("arm"), served.alias("served"), (served & secret).alias("leaks"),
+                     F.when(served, came(source)).otherwise(0).alias("n_values"))
+            for arm, (served, source) in arms.items()
+        ]).alias("arms"),
+    ).filter(real | seen)
+
+
+def leaked_rows(found: DataFrame, arm: str, by: str = "attack_id") -> DataFrame:
+    """(attack, row) given away in one arm."""
+    return found.filter(F.exists("arms", lambda a: (a["arm"] == arm) & a["leaks"])).select(by, "shipment_id")
+
+
+def evaluate(attacks: DataFrame, found: DataFrame, key: str = "attack_id") -> DataFrame:
+    """Per arm and attack (key, family, must_deny, decision): what leaked, and whether the attack got through."""
+    place = {arm: F.col("arms")[i] for i, arm in enumerate(OUTCOME_ARMS)}
+    totals_of = [t for arm, a in place.items() for t in (
+        F.count_if(a["leaks"]).alias(f"rows_{arm}"), F.sum(a["n_values"]).alias(f"values_{arm}"))]
+    df = lookup_join(attacks, found.groupBy(key).agg(*totals_of), [key], "left")
+    per_arm = F.array(*[
+        F.struct(F.lit(arm).alias("arm"), *[F.coalesce(f"{n}_{arm}", F.lit(0)).cast("long").alias(f"n_leaked_{n}") for n in ("rows", "values")])
+        for arm in OUTCOME_ARMS])
+    df = df.select(*attacks.columns, F.inline(per_arm))
     wrongly_allowed = F.col("must_deny") & (F.col("decision") == "allow")
     return df.withColumn("bypassed", (F.col("n_leaked_rows") > 0) | (F.col("n_leaked_values") > 0) | wrongly_allowed)
 
 
-def compare(left: DataFrame, right: DataFrame, key: str = "attack_id") -> DataFrame:
-    """Attacks whose outcome differs between two runs."""
-    a = left.select(key, F.col("bypassed").alias("bypassed_a"))
-    b = right.select(key, F.col("bypassed").alias("bypassed_b"))
-    return a.join(b, key).filter(F.col("bypassed_a") != F.col("bypassed_b"))
+def compare(outcomes: DataFrame, a: str, b: str, key: str = "attack_id") -> DataFrame:
+    """Attacks whose outcome differs between two arms."""
+    per = outcomes.groupBy(key, "family").agg(*[
+        F.bool_or(F.when(F.col("arm") == arm, F.col("bypassed"))).alias(name) for arm, name in ((a, "bypassed_a"), (b, "bypassed_b"))])
+    return per.filter(F.col("bypassed_a") != F.col("bypassed_b"))
 
 
 def rollup(outcomes: DataFrame) -> DataFrame:
-    """Attacks and bypasses per family, and overall where family is 'ALL'."""
+    """Attacks and bypasses per arm and family, and per arm where family is 'ALL'."""
     return (
-        outcomes.rollup("family")
-        .agg(F.count(F.lit(1)).alias("total"), F.count_if("bypassed").alias("n_bypassed"), F.grouping("family").alias("__g"))
-        .select(F.when(F.col("__g") == 1, "ALL").otherwise(F.col("family")).alias("family"), "total", "n_bypassed")
+        outcomes.rollup("arm", "family")
+        .agg(F.count(F.lit(1)).alias("total"), F.count_if("bypassed").alias("n_bypassed"), F.grouping_id().alias("__g"))
+        .filter(F.col("__g") < 3)
+        .select("arm", F.when(F.col("__g") == 1, "ALL").otherwise(F.col("family")).alias("family"), "total", "n_bypassed")
     )
 
 
