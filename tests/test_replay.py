@@ -33,9 +33,9 @@ def simulate(times, opens, closes, ttl):
     return out, fill
 
 
-@pytest.mark.parametrize("seed,slice_ttls", [(1, 1), (2, 3), (3, 64)])
-def test_cache_replay_matches_simulation(spark, seed, slice_ttls):
-    rnd, ttl = random.Random(seed), 5
+@pytest.mark.parametrize("seed,slots,ttl", [(1, 1, 5), (2, 7, 1), (3, 1 << 16, 5), (4, 1 << 16, 300)])
+def test_cache_replay_matches_simulation(spark, seed, slots, ttl):
+    rnd = random.Random(seed)
     cases, reqs, res, i = {}, [], [], 0
     for c in range(12):
         span, n = rnd.choice([40, 200]), rnd.choice([1, 5, 60, 400])
@@ -51,10 +51,36 @@ def test_cache_replay_matches_simulation(spark, seed, slice_ttls):
             cases[i] = ok
             i += 1
     requests, resolved = frame(spark, reqs, REQ), frame(spark, res, RES)
-    got = {r.request_id: r.allowed for r in replay.replay_cache(requests, resolved, ttl, slice_ttls).collect()}
+    got = {r.request_id: r.allowed for r in replay.replay_cache(requests, resolved, ttl, slots).collect()}
     assert got == cases
 
 
+def test_cache_replay_of_a_caller_with_most_requests(spark):
+    rnd, ttl = random.Random(9), 2
+    busy = sorted(round(rnd.uniform(0, 300), 6) for _ in range(3000))
+    calls = {"busy": busy, **{f"s{i}": [float(i), i + 1.5, i + 40.0] for i in range(200)}}
+    requests = frame(spark, [(n, at(t), s, "g", None) for n, (s, t) in enumerate((s, t) for s, ts in calls.items() for t in ts)], REQ)
+    resolved = frame(spark, [(s, "g", None, at(1), at(250), at(250)) for s in calls], RES)
+    fills = replay.last_refresh(requests, resolved, ttl)
+    want = {s: simulate(ts, 1, 250, ttl)[1] for s, ts in calls.items()}
+    assert {r.subject: r.refreshed_at for r in fills.collect()} == {s: at(t).replace(tzinfo=None) for s, t in want.items() if t is not None}
+
+
+def test_cache_replay_runs_no_python_and_takes_no_requests(spark, capsys):
+    resolved = frame(spark, [("s", "g", None, at(0), at(9), at(9))], RES)
+    none = frame(spark, [], REQ)
+    assert replay.last_refresh(none, resolved, 5).count() == 0
+    assert replay.replay_cache(none, resolved, 5).columns == [*none.columns, "allowed"]
+    times = frame(spark, [(("s", "g", None), 1), (("s", "g", None), 9)], "c struct<subject string, grant_id string, delegation_id string>, t long")
+    reach = replay._reach(times, 1, 9, 4, 1 << 16)
+    assert sorted((r.t, r.prev, r.exit) for r in reach.collect()) == [(1, None, 9), (9, 1, None)]
+    reach.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" in plan and "Arrow" not in plan and "Python" not in plan
+    with pytest.raises(ValueError):
+        replay.last_refresh(none, resolved, 0)
+
+
 def test_live_token_and_inflight(spark):
     requests = frame(spark, [(n, at(t), "s", "g", None) for n, t in enumerate([0.0, 1.0, 9.9, 10.0, 12.0])], REQ)
     resolved = frame(spark, [("s", "g", None, at(0.5), at(10), at(10))], RES)

@@ -107,7 +107,7 @@ def replay_cache(c: Context):
 
 @query("win_cache_epochs", f"{_CACHE} SELECT subject, grant_id, delegation_id, epoch_us(max(fill)) AS refreshed_us FROM walk WHERE fill IS NOT NULL GROUP BY ALL")
 def win_cache_epochs(c: Context):
-    fills = replay.last_refresh(c.requests, c.resolved, TTL, slice_ttls=4)
+    fills = replay.last_refresh(c.requests, c.resolved, TTL)
     return fills.select(*auth.CREDENTIAL, F.unix_micros("refreshed_at").alias("refreshed_us"))
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.auth import CREDENTIAL, live_at
-from wardline.plans.placement import lookup_join
+from wardline.plans.placement import lookup_join, stage
 
 US = 1_000_000
 
@@ -28,59 +28,68 @@ def replay_live(requests: DataFrame, resolved: DataFrame) -> DataFrame:
     return df.withColumn("allowed", F.coalesce(live_at(F.col("event_ts")), F.lit(False))).drop("opens_at", "closes_at")
 
 
-def last_refresh(requests: DataFrame, resolved: DataFrame, ttl_s: int, slice_ttls: int = 64) -> DataFrame:
+def _reach(times: DataFrame, lo: int, hi: int, ttl: int, slots: int) -> DataFrame:
+    """Per credential `c` and time `t`: the time before it (`prev`) and the first one at least `ttl` later (`exit`).
+
+    Every time also asks for what comes at `t + ttl`. Times and asks meet in slots of equal length; what a slot cannot
+    answer is read off the slots around it, of which a credential has at most `slots`.
+    """
+    width = (hi - lo) // slots + 1
+    mark = lambda x, event: F.struct(x.alias("x"), F.lit(event).alias("event"))
+    marks = times.select("c", F.explode(F.array(mark(F.col("t"), True), mark(F.col("t") + ttl, False))).alias("m")).select("c", "m.*")
+    cut = marks.filter(F.col("x") <= hi).withColumn("slot", F.floor((F.col("x") - lo) / width))
+    time = F.when(F.col("event"), F.col("x"))
+    inside, around = Window.partitionBy("c", "slot"), Window.partitionBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    near = cut.withColumn("after", F.min(time).over(inside.orderBy(F.desc("x"), F.desc("event")))).withColumn(
+        "before", F.max(time).over(inside.orderBy("x", "event").rowsBetween(Window.unboundedPreceding, -1)))
+    far = cut.groupBy("c", "slot").agg(F.min(time).alias("first"), F.max(time).alias("last")).select(
+        "c", "slot", F.min("first").over(around.orderBy(F.desc("slot"))).alias("later"),
+        F.max("last").over(around.orderBy("slot")).alias("earlier"))
+    met = near.join(far, ["c", "slot"])
+    event = F.col("event")
+    return met.groupBy("c", F.when(event, F.col("x")).otherwise(F.col("x") - ttl).alias("t")).agg(
+        F.max(F.when(event, F.coalesce("before", "earlier"))).alias("prev"),
+        F.max(F.when(~event, F.coalesce("after", "later"))).alias("exit"))
+
+
+def last_refresh(requests: DataFrame, resolved: DataFrame, ttl_s: int, slots: int = 1 << 16) -> DataFrame:
     """(credential, refreshed_at): when the cache was last filled before the authority ended.
 
     A credential's live interval is contiguous, so while it lasts every miss refills the cache: the first request at
-    or after the end of the last fill. That chain is cut into time slices so that one busy credential is worked by
-    many tasks: each slice works out, for every place the chain may enter it, where it leaves; the slices of a
-    credential are then folded in order.
+    or after the end of the last fill. That chain is followed by doubling: time is cut into cells, at first of one
+    `ttl`, and every time at which the chain may enter a cell knows its last fill there (`leave`) and the entry of a
+    later cell that follows (`exit`). Each round joins neighbouring cells, by equality on (credential, time), and keeps
+    the entries of the wider cells only: about half as many, so all rounds together cost about as much as the first,
+    and a busy credential is spread over all tasks.
     """
-    ttl, width = ttl_s * US, ttl_s * US * slice_ttls
+    if ttl_s <= 0:
+        raise ValueError("a cache has to keep its entries for a time")
+    ttl = ttl_s * US
     live = _with_scope(requests, resolved).filter(live_at(F.col("event_ts")))
-    times = live.select(*CREDENTIAL, F.unix_micros("event_ts").alias("t")).distinct()
-    sliced = times.withColumn("slice", F.floor(F.col("t") / width))
-
-    def walk(table):
-        import numpy as np
-        import pyarrow as pa
-
-        t = np.sort(table.column("t").to_numpy())
-        nxt = np.searchsorted(t, t + ttl)
-        leave = np.arange(len(t))
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                leave[i] = leave[nxt[i]]
-        start = table.column("slice")[0].as_py() * width
-        entries = int(np.searchsorted(t, start + ttl)) + 1  # later entries cannot happen: the cache is shorter
-        leave, t_in = leave[:entries], t[:entries]
-        last = np.append(np.flatnonzero(np.diff(leave)), len(leave) - 1)  # keep the last entry of each run
-        one = lambda c: table.column(c).slice(0, 1).combine_chunks()
-        return pa.table({
-            **{c: one(c) for c in ("subject", "grant_id", "delegation_id", "slice")},
-            "enter": pa.array([t_in[last].tolist()], pa.list_(pa.int64())),
-            "leave": pa.array([t[leave[last]].tolist()], pa.list_(pa.int64())),
-        })
-
-    key = "subject string, grant_id string, delegation_id string"
-    maps = sliced.groupBy(*CREDENTIAL, "slice").applyInArrow(walk, f"{key}, slice long, enter array<long>, leave array<long>")
-    ordered = maps.groupBy(*CREDENTIAL).agg(F.array_sort(F.collect_list(F.struct("slice", "enter", "leave"))).alias("s"))
-
-    def step(filled, x):
-        reach = F.filter(F.arrays_zip(x["enter"].alias("enter"), x["leave"].alias("leave")), lambda p: p["enter"] >= filled + ttl)
-        return F.when(F.size(reach) > 0, reach[0]["leave"]).otherwise(filled)
-
-    folded = F.aggregate("s", F.lit(-(1 << 62)).cast("long"), step)
-    return ordered.select(*CREDENTIAL, F.timestamp_micros(folded).alias("refreshed_at"))
-
-
-def replay_cache(requests: DataFrame, resolved: DataFrame, ttl_s: int, slice_ttls: int = 64) -> DataFrame:
+    times = stage(live.select(F.struct(*CREDENTIAL).alias("c"), F.unix_micros("event_ts").alias("t")).distinct())
+    lo, hi = times.agg(F.min("t"), F.max("t")).first()
+    if lo is None:
+        return live.select(*CREDENTIAL, F.col("event_ts").alias("refreshed_at"))
+    nodes, cell = stage(_reach(times, lo, hi, ttl, slots).withColumn("leave", F.col("t"))), ttl
+    while cell <= hi - lo:
+        cell *= 2
+        start = lambda c: F.col(c) - (F.col(c) - lo) % cell  # noqa: B023, E731
+        stays = F.coalesce(start("exit") == start("t"), F.lit(False))
+        onward = nodes.select(F.col("c").alias("_c"), F.col("t").alias("_t"), F.col("leave").alias("_leave"), F.col("exit").alias("_exit"))
+        entry = nodes.filter(F.col("prev").isNull() | (F.col("prev") < start("t") + ttl))
+        moved = entry.filter(stays).join(onward, (F.col("c") == F.col("_c")) & (F.col("exit") == F.col("_t"))).select(
+            "c", "t", "prev", F.col("_exit").alias("exit"), F.col("_leave").alias("leave"))
+        nodes = stage(moved.unionByName(entry.filter(~stays)))
+    return nodes.filter(F.col("prev").isNull()).select("c.*", F.timestamp_micros("leave").alias("refreshed_at"))
+
+
+def replay_cache(requests: DataFrame, resolved: DataFrame, ttl_s: int, slots: int = 1 << 16) -> DataFrame:
     """Requests with `allowed` under an authorisation cache: filled on a miss, kept `ttl_s`, dropped on a refusal.
 
     While the authority lives every request is allowed, hit or miss; once it has ended only what is left of the
     last fill is.
     """
-    fills = last_refresh(requests, resolved, ttl_s, slice_ttls)
+    fills = last_refresh(requests, resolved, ttl_s, slots)
     df = lookup_join(_with_scope(requests, resolved), fills, CREDENTIAL, "left", null_safe=["delegation_id"])
     cached = (F.col("event_ts") >= F.col("closes_at")) & (
         F.unix_micros("event_ts") < F.unix_micros("refreshed_at") + F.lit(ttl_s * US)
