@@ -226,20 +226,17 @@ def row_policy(c: Context):
 SELECT auth_id, count(*) AS n_rows, count(unit_cost_usd) AS n_cost, count(margin_pct) AS n_margin,
   CAST(sum(unit_cost_usd) AS DOUBLE) AS cost FROM guarded GROUP BY auth_id""")
 def mask_cost(c: Context):
-    return c.guarded.groupBy("auth_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("unit_cost_usd").alias("n_cost"), F.count("margin_pct").alias("n_margin"),
-        F.sum("unit_cost_usd").cast("double").alias("cost"),
-    )
+    """Folded to policy cells, like every total of a caller; credentials that see no row are left out."""
+    asked = "count(*) AS n_rows, count(unit_cost_usd) AS n_cost, count(margin_pct) AS n_margin, sum(unit_cost_usd) AS cost"
+    return as_double(asks.aggregate(c.shipments, c.auths, asked).filter("n_rows > 0"), ["cost"])
 
 
 @query("mask_contact", """
 SELECT auth_id, count(*) AS n_rows, count(contact_email) AS n_email, count(contact_phone) AS n_phone,
   max(contact_email) AS last_email FROM guarded GROUP BY auth_id""")
 def mask_contact(c: Context):
-    return c.guarded.groupBy("auth_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("contact_email").alias("n_email"), F.count("contact_phone").alias("n_phone"),
-        F.max("contact_email").alias("last_email"),
-    )
+    asked = "count(*) AS n_rows, count(contact_email) AS n_email, count(contact_phone) AS n_phone, max(contact_email) AS last_email"
+    return asks.aggregate(c.shipments, c.auths, asked).filter("n_rows > 0")
 
 
 @query("guarded_scan", SQL_GUARDED)
@@ -343,12 +340,12 @@ def probe_any(c: Context):
 SELECT a.auth_id, count(g.shipment_id) AS n_foreign FROM auths a
 LEFT JOIN guarded g ON g.auth_id = a.auth_id AND g.owner_org <> a.provider_org GROUP BY a.auth_id""")
 def probe_other_owner(c: Context):
-    foreign = lookup_join(c.guarded.select("auth_id", "owner_org", "shipment_id"), c.auths.select("auth_id", "provider_org"),
-                          ["auth_id"]).filter("owner_org <> provider_org")
-    per = foreign.groupBy("auth_id").agg(F.count(F.lit(1)).alias("n"))
-    return c.auths.select("auth_id").join(per, "auth_id", "left").select(
-        "auth_id", F.coalesce("n", F.lit(0)).alias("n_foreign")
-    )
+    """The owner of every cell a credential is let into, next to the provider of its grant: no join with the fact."""
+    scope = guard.scope_cells(c.auths, keep=("auth_id", "provider_org"))
+    let_in = lookup_join(scope, guard.policy_cells(c.shipments), guard.CELL, null_safe=["partner_org"])
+    foreign = F.when(F.col("owner_org") != F.col("provider_org"), F.col("n_rows")).otherwise(0)
+    per = let_in.groupBy("auth_id").agg(F.sum(foreign).alias("n"))
+    return c.auths.select("auth_id").join(per, "auth_id", "left").select("auth_id", F.coalesce("n", F.lit(0)).alias("n_foreign"))
 
 
 THRESHOLDS = (0, 50000, 150000, 300000, 10000000)

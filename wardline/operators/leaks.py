@@ -133,6 +133,14 @@ def mask_coverage(guarded: DataFrame, masked: DataFrame, columns: Sequence[str])
     return lookup_join(counts, masked.select("auth_id", "column"), ["auth_id", "column"], "left_semi")
 
 
+def unmasked_values(shipments: DataFrame, auths: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(auth_id, column, n_values): what would come through if nothing were masked, counted per policy cell in one scan."""
+    cells = policy_cells(shipments, *[F.count(c).alias(c) for c in columns])
+    per = totals(cells, auths, *[F.sum(c).alias(c) for c in columns])
+    hidden = [F.struct(F.lit(c).alias("column"), F.when(~F.col(CAPS[c]), F.col(c)).alias("n_values")) for c in columns]
+    return per.select("auth_id", F.inline(F.array(*hidden))).filter(F.col("n_values") > 0)
+
+
 # --- side channels ---------------------------------------------------------
 def side_channel_cells(shipments: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """Everything the channels below need, folded to one row per policy cell in one scan."""
