@@ -10,7 +10,7 @@ from wardline import catalog
 from wardline.operators import guard, leaks
 
 FOLDED = [
-    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family",
+    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls",
 ]
 
 
@@ -37,3 +37,12 @@ def test_leaks_counted_on_cells(world, scopes):
     want = leaks._count_leaks(rows, ["attack_id"])
     got = leaks.disclosed_counts(world["shipment"], scopes, asked)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_matches_counted_on_kinds(world, scopes):
+    kinds, fewer = leaks.kinds(world["shipment"]), scopes.withColumn("region_scope", F.slice("region_scope", 1, 1))
+    rows = lambda who: guard.visible(world["shipment"], who)
+    want = leaks.match_rows(rows(fewer), rows(scopes))
+    got = leaks.match_kinds(guard.visible(kinds, fewer), guard.visible(kinds, scopes), kinds)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert got.agg(F.max("n_missing")).first()[0] > 0
