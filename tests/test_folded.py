@@ -10,7 +10,7 @@ from wardline import catalog
 from wardline.operators import guard, leaks
 
 FOLDED = [
-    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls",
+    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected",
 ]
 
 
