@@ -10,7 +10,7 @@ from wardline import catalog
 from wardline.operators import guard, leaks
 
 FOLDED = [
-    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected",
+    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds",
 ]
 
 
@@ -46,3 +46,10 @@ def test_matches_counted_on_kinds(world, scopes):
     got = leaks.match_kinds(guard.visible(kinds, fewer), guard.visible(kinds, scopes), kinds)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
     assert got.agg(F.max("n_missing")).first()[0] > 0
+
+
+def test_shown_values_counted_on_cells(world, scopes):
+    columns = list(guard.CAPS)
+    want = leaks.value_counts(guard.guarded(world["shipment"], scopes), columns)
+    got = leaks.long_counts(leaks.shown_counts(world["shipment"], scopes, columns), columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
