@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.helpers import auths, creds
 from wardline import catalog
-from wardline.operators import guard, leaks
+from wardline.operators import guard, leaks, query
 
 FOLDED = [
-    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds",
+    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds", "caller_order",
 ]
 
 
@@ -53,3 +54,13 @@ def test_shown_values_counted_on_cells(world, scopes):
     want = leaks.value_counts(guard.guarded(world["shipment"], scopes), columns)
     got = leaks.long_counts(leaks.shown_counts(world["shipment"], scopes, columns), columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+@pytest.mark.parametrize("where", [None, "units % 3 = 1", "unit_cost_usd IS NULL OR units > 20"])
+def test_first_rows_found_in_cells(world, scopes, where):
+    order = "unit_cost_usd desc, units"
+    at = F.row_number().over(Window.partitionBy("auth_id").orderBy(*query.sort_keys(order)))
+    want = query.read(world["shipment"], scopes, where).withColumn("position", at).filter("position <= 3")
+    got = query.top(world["shipment"], scopes, order, 3, where)
+    assert sorted(map(tuple, got.select("auth_id", "position", "shipment_id").collect())) == sorted(
+        map(tuple, want.select("auth_id", "position", "shipment_id").collect())) != []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wardline.catalog.oracle import rank
@@ -279,9 +278,8 @@ SELECT * FROM (SELECT auth_id, shipment_id, units, row_number() OVER (PARTITION
   ORDER BY CAST(unit_cost_usd AS DOUBLE) DESC NULLS LAST, units, shipment_id) AS position FROM guarded WHERE units % 3 = 1) WHERE position <= 4""")
 def caller_order(c: Context):
     """ORDER BY and LIMIT of a caller, for every credential; masked keys sort as NULL."""
-    kept = asks.read(c.shipments, c.auths, "units % 3 = 1")
-    at = F.row_number().over(Window.partitionBy("auth_id").orderBy(*asks.sort_keys("unit_cost_usd desc, units")))
-    return kept.withColumn("position", at).filter("position <= 4").select("auth_id", "shipment_id", "units", "position")
+    top = asks.top(c.shipments, c.auths, "unit_cost_usd desc, units", 4, "units % 3 = 1")
+    return top.select("auth_id", "shipment_id", "units", "position")
 
 
 @query("caller_aggregate", """

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
@@ -154,13 +154,17 @@ def sort_keys(order_by: str | None, tie: str = "shipment_id") -> list[Column]:
     return [*[getattr(F.col(c), way[down, first])() for c, down, first in ordering(order_by)], F.col(tie)]
 
 
-def read(shipments: DataFrame, auths: DataFrame, where: str | None = None, args: dict[str, Any] | None = None) -> DataFrame:
-    """The guarded rows that the predicate keeps. Conjuncts that raise nothing reach the scan of `shipments`."""
+def read(
+    shipments: DataFrame, auths: DataFrame, where: str | None = None, args: dict[str, Any] | None = None,
+    relation: Callable[[DataFrame, DataFrame], DataFrame] = guard.guarded,
+) -> DataFrame:
+    """The guarded rows that the predicate keeps. Conjuncts that raise nothing reach the scan of `shipments`. `relation` may be
+    `guard.guarded_cells`: the same masked rows without their credentials."""
     parts = conjuncts(shipments.sparkSession, where, args)
     for p in parts:
         if p.on_fact:
             shipments = shipments.filter(F.expr(p.text))
-    rows = guard.guarded(shipments, auths)
+    rows = relation(shipments, auths)
     for p in parts:
         if p.calm and p.above:
             rows = rows.filter(F.expr(p.text))
@@ -168,6 +172,22 @@ def read(shipments: DataFrame, auths: DataFrame, where: str | None = None, args:
     return fence(rows).filter(F.expr(" AND ".join(rest))) if rest else rows
 
 
+def top(
+    shipments: DataFrame, auths: DataFrame, order_by: str, n: int, where: str | None = None, args: dict[str, Any] | None = None
+) -> DataFrame:
+    """The first `n` guarded rows of every credential, with their `position`.
+
+    The first rows of a credential are among the first of each of its cells, as it sees them. Those are found once for all
+    credentials, so that a credential meets at most `n` rows a cell.
+    """
+    def first(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(*by).orderBy(*sort_keys(order_by)))
+        return rows.withColumn("position", at).filter(F.col("position") <= n)
+
+    cells = first(read(shipments, auths, where, args, guard.guarded_cells), guard.SEEN_BY).drop("position")
+    return first(guard.to_credentials(cells, auths), ["auth_id"])
+
+
 def aggregate(
     shipments: DataFrame, auths: DataFrame, asked: str, where: str | None = None, args: dict[str, Any] | None = None
 ) -> DataFrame:
