@@ -11,7 +11,7 @@ from wardline import catalog
 from wardline.operators import guard, leaks, query
 
 FOLDED = [
-    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds", "caller_order",
+    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds", "caller_order", "limit_caller",
 ]
 
 
