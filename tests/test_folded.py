@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tests.helpers import auths, creds
+from tests.helpers import auths, creds, frame
 from wardline import catalog
-from wardline.operators import guard, leaks, query
+from wardline.operators import guard, leaks, merkle, query
+from wardline.plans.placement import stage
 
 FOLDED = [
     "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds", "caller_order", "limit_caller",
@@ -64,3 +65,15 @@ def test_first_rows_found_in_cells(world, scopes, where):
     got = query.top(world["shipment"], scopes, order, 3, where)
     assert sorted(map(tuple, got.select("auth_id", "position", "shipment_id").collect())) == sorted(
         map(tuple, want.select("auth_id", "position", "shipment_id").collect())) != []
+
+
+def test_chunks_proved_together(spark):
+    chunk = "set_id string, chunk bigint, row_ids array<bigint>"
+    nodes = stage(merkle.tree(frame(spark, [("a", 0, [1, 2]), ("a", 255, [3]), ("a", 256, [4]), ("a", 70000, [5]), ("b", 0, [1, 2])], chunk)))
+    claimed = frame(spark, [("a", 0, [1, 2]), ("a", 255, [9]), ("a", 256, [4]), ("a", 70000, [5]), ("b", 0, [2, 1]), ("b", 7, [1])], chunk)
+    roots = nodes.filter(F.col("level") == merkle.LEVELS).select("set_id", F.col("hash").alias("root"))
+    hurt = nodes.withColumn("hash", F.when(F.expr("set_id = 'a' and level = 1 and node = 1"), "00").otherwise(F.col("hash")))
+    for stored in (nodes, hurt):
+        want = merkle.proved(claimed, merkle.proofs(stored, claimed), roots).collect()
+        got = merkle.proved_all(claimed, stored, roots).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6
