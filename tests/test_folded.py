@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import auths, creds, frame
 from wardline import catalog
-from wardline.operators import guard, leaks, merkle, query
+from wardline.operators import audit, guard, leaks, merkle, query
 from wardline.plans.placement import stage
 
 FOLDED = [
@@ -77,3 +77,18 @@ def test_chunks_proved_together(spark):
         want = merkle.proved(claimed, merkle.proofs(stored, claimed), roots).collect()
         got = merkle.proved_all(claimed, stored, roots).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6
+
+
+def test_grants_of_equal_terms_are_checked_once(spark, world):
+    terms = ("alpina", "borealis", "public")
+    grants = frame(spark, [("g1", *terms), ("g2", *terms), ("g3", "alpina", "borealis", None), ("g4", None, None, None)],
+                   "grant_id string, provider_org string, grantee_org string, max_classification string")
+    events = frame(spark, [(i, "read", "allow", "s", f"g{i}") for i in (1, 2, 3, 4, 5)],
+                   "seq bigint, action string, decision string, set_id string, grant_id string")
+    rows = frame(spark, [("s", 3), ("s", 18), ("s", 46)], "set_id string, shipment_id bigint")
+    _, _, bad = audit._checked(events, rows, world["shipment"], grants, None)
+    counts = {r.seq: r.n_bad for r in audit.reconcile(events, rows, world["shipment"], grants).collect()}
+    assert counts[1] == counts[2] < counts[3] == 3 and not {4, 5} & counts.keys()
+    assert bad.count() == counts[1] + 3  # not once more for g2
+    found = audit.reconcile_rows(events, rows, world["shipment"], grants)
+    assert {r.seq: r["count"] for r in found.groupBy("seq").count().collect()} == counts
