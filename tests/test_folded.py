@@ -92,3 +92,15 @@ def test_grants_of_equal_terms_are_checked_once(spark, world):
     assert bad.count() == counts[1] + 3  # not once more for g2
     found = audit.reconcile_rows(events, rows, world["shipment"], grants)
     assert {r.seq: r["count"] for r in found.groupBy("seq").count().collect()} == counts
+
+
+@pytest.mark.parametrize("name", ["agg_string"])
+def test_rows_are_worked_on_once_per_scope(spark, monkeypatch, name):
+    real = guard.visible
+
+    def visible(shipments, who):
+        assert "scope_id" in who.columns, "credentials, not scopes"
+        return real(shipments, who)
+
+    monkeypatch.setattr(guard, "visible", visible)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").columns
