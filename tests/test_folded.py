@@ -94,7 +94,7 @@ def test_grants_of_equal_terms_are_checked_once(spark, world):
     assert {r.seq: r["count"] for r in found.groupBy("seq").count().collect()} == counts
 
 
-@pytest.mark.parametrize("name", ["agg_string", "join_forbidden", "agg_leak_lists", "agg_visible_values"])
+@pytest.mark.parametrize("name", ["agg_string", "join_forbidden", "agg_leak_lists", "agg_visible_values", "in_boundary"])
 def test_rows_are_worked_on_once_per_scope(spark, monkeypatch, name):
     real = guard.visible
 
