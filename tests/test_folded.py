@@ -12,7 +12,7 @@ from wardline.operators import audit, guard, leaks, merkle, query
 from wardline.plans.placement import stage
 
 FOLDED = [
-    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds", "caller_order", "limit_caller",
+    "leak_eval", "leak_compare", "join_arms", "leak_rollup", "agg_family", "leak_controls", "join_expected", "leak_overmask", "leak_mask_holds", "caller_order", "limit_caller", "set_missing_extra",
 ]
 
 
