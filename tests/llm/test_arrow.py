@@ -281,6 +281,25 @@ def test_every_preceding_word_has_its_restaurant(spark, documents):
     assert (held.score / held.n_tokens).mean() > 0.6 * (held.base_score / held.n_tokens).mean()
 
 
+def test_pairs_met_once_by_frequent_words_are_joined_with_nothing(spark, documents):
+    """They are most of all pairs; the totals of their words give what the join gave."""
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(60)), "en", "s") for i in range(150)]
+    plain = pitman_yor.seat(pitman_yor.stage(pitman_yor.pair_counts(documents(rows))))
+    want = {(x.u, x.w): x for x in pitman_yor.pair_probabilities(plain).collect()}
+    few = pitman_yor.seat(pitman_yor.stage(pitman_yor.pair_counts(documents(rows))), frequent=40)
+    got = {(x.u, x.w): x for x in pitman_yor.pair_probabilities(few).collect()}
+    assert got.keys() == {k for k, x in want.items() if x.total > 1 or x.n < few.least or x.wc < few.least}
+    assert 0 < len(got) < len(want) and {x.total == 1 for x in got.values()} == {True, False}
+    assert all(x.lp == pytest.approx(want[k].lp) for k, x in got.items())
+    lp = [x.lp - (x.once1 if x.c else x.once0) for x in want.values() if x.total == 1]
+    assert np.allclose(lp, 0)
+    whole, small = (pitman_yor.score(documents(rows), frequent=k).toPandas().sort_values("doc_id") for k in (pitman_yor.FREQUENT, 40))
+    for name in ("n_tokens", "n_known", "base_score", "score"):
+        assert np.allclose(whole[name], small[name])
+    assert whole.score.sum() == pytest.approx(sum(x.total * x.lp for x in want.values()))
+
+
 def test_main_text():
     page = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body class="page-12">
     <header><h1>Site</h1></header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->

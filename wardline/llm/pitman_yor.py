@@ -9,8 +9,13 @@ sum of their logarithms. A context that no training text has leaves its words to
 
 (context, word) pairs are counted in the task and grouped by Spark, one row per pair. A pair seen once sits at its one table
 in every sweep, so only the others are joined with the totals of their context and of their word and seated; totals by
-context and by word are tables of their own and only sums over all of them reach the driver. When texts are scored, the
-FREQUENT most frequent pairs, a fixed bound, are looked up in the task; all other tokens by a join on the pair.
+context and by word are tables of their own and only sums over all of them reach the driver. Pairs of two of the
+FREQUENT most frequent words, a fixed bound, look the totals up in the task; the pairs of other words are joined by a shuffle.
+
+When texts are scored, the FREQUENT most frequent pairs are looked up in the task. A pair met once in all texts is no row of any
+join if both its words are among the FREQUENT most frequent: the totals of the two words and whether its text trains give its
+probability. So the task scores every other token of two frequent words as if its pair were met once there, and a join on the
+pair puts right those met more often and adds the tokens of rare words. Once all pairs are counted, only these are kept.
 
 `score_few` is the model of one row per word with only the CONTEXTS most frequent words as contexts (a token's is the latest of
 them before it). No query uses it.
@@ -40,6 +45,7 @@ SWEEPS = 3
 STRENGTH = 1.0
 EXACT_SEATS = 64
 TOKENS = 3_000_000
+PAIR_TOKENS = 1_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -377,16 +383,17 @@ def pair_counts(docs: DataFrame) -> DataFrame:
             _, first, at = np.unique(pair_keys(before, ids), return_index=True, return_inverse=True)
             c = np.bincount(at, weights=np.concatenate([w for _, w in held]), minlength=len(first))
             total = np.bincount(at, minlength=len(first))
+            by = np.lexsort((ids[first], before[first]))  # rows next to each other share their context: less to write
             return pa.RecordBatch.from_arrays([
-                pa.array(before[first].view(np.int64)), pa.array(ids[first].view(np.int64)),
-                pa.array(c.astype(np.int64)), pa.array(total.astype(np.int64))], names=["u", "w", "c", "total"])
+                pa.array(before[first][by].view(np.int64)), pa.array(ids[first][by].view(np.int64)),
+                pa.array(c[by].astype(np.int64)), pa.array(total[by].astype(np.int64))], names=["u", "w", "c", "total"])
 
         for batch in batches:
             trains = ~batch.column("held").to_numpy(zero_copy_only=False)
             for first, h, counts in word_hashes(batch.column("text")):
                 held.append((with_ends(h, counts), np.repeat(trains[first : first + len(counts)], counts + 1)))
                 size += len(held[-1][0])
-                if size >= TOKENS:
+                if size >= PAIR_TOKENS:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -398,7 +405,10 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
 class Restaurants:
     """Seatings of all sweeps. contexts: u, n (customers), t0, t1, ... (tables after each sweep). words: w, c, n0, n1, ...
-    (customers of the parent) and s0, s1, ... (its tables). pairs: u, w, c, total, t1, ... . parent: totals of n and s of each sweep."""
+    (customers of the parent) and s0, s1, ... (its tables). pairs: u, w, c, total, t1, ... . parent: totals of n and s of each sweep.
+    If pairs are `joined_pairs` only, least is the training count from which a word is frequent; as a context it has as many customers."""
+
+    least: int | None = None
 
     def __init__(self, contexts, words, pairs, parent, discounts, n, v):
         self.contexts, self.words, self.pairs, self.parent = contexts, words, pairs, parent
@@ -437,8 +447,55 @@ def _seat_words(rows: DataFrame, sweep: int, weight: float, discount: float) ->
     return rows.mapInArrow(job, ", ".join(f"{k} long" for k in [*names, f"s{sweep}"]))
 
 
-def seat(pairs: DataFrame, sweeps: int = SWEEPS) -> Restaurants:
-    """Seat the pairs; the first sweep puts every dish at one table."""
+def known_totals(contexts: DataFrame, words: DataFrame, least: int) -> dict[str, np.ndarray]:
+    """Columns of `contexts` (u, n, ...) and `words` (w, wc, ...) by name, for the frequent words only; u is sorted."""
+    often = contexts.filter(F.col("n") >= least).join(words.filter(F.col("wc") >= least), F.col("u") == F.col("w")).drop("w").toArrow()
+    columns = {k: often[k].to_numpy() for k in often.column_names}
+    columns["u"] = columns["u"].view(np.uint64)
+    order = np.argsort(columns["u"])
+    return {k: x[order] for k, x in columns.items()}
+
+
+def joined_pairs(pairs: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """`pairs` without those that are met once and have two frequent words (training count of `least` or more), and `rare`: whether
+    one of the two words is not frequent."""
+    often = words.filter(F.col("c") >= least).select("w").toArrow()["w"].to_numpy()
+    lookup = pairs.sparkSession.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (_, u), (_, w) = (find(lookup.value, batch.column(k).to_numpy().view(np.uint64)) for k in ("u", "w"))
+            rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(~(u & w))], names=[*batch.schema.names, "rare"])
+            yield rows.filter(pa.array((batch.column("total").to_numpy() > 1) | ~(u & w)))
+
+    return pairs.mapInArrow(job, "u long, w long, c long, total long, rare boolean")
+
+
+def with_totals(rows: DataFrame, contexts: DataFrame, words: DataFrame, least: int | None) -> DataFrame:
+    """`rows` with the columns of `contexts` (u, n, ...) and `words` (w, wc, ...). If `joined_pairs` made the rows, those of two
+    frequent words are looked up in the task."""
+    if least is None:
+        return rows.join(contexts, "u").join(words, "w")
+    lookup = rows.sparkSession.sparkContext.broadcast(known_totals(contexts, words, least))
+    sides = [("u", [f for f in contexts.schema.fields if f.name != "u"]), ("w", [f for f in words.schema.fields if f.name != "w"])]
+    names = [*rows.columns, *[f.name for _, fields in sides for f in fields]]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*rows.schema.fields, *[f for _, fields in sides for f in fields]])
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [*batch.columns]
+            for key, fields in sides:
+                at, _ = find(lookup.value["u"], batch.column(key).to_numpy().view(np.uint64))
+                found += [pa.array(lookup.value[f.name][at]) for f in fields]
+            yield pa.RecordBatch.from_arrays(found, names=names)
+
+    seldom = rows.filter("rare").join(contexts, "u").join(words, "w").select(*names)
+    return rows.filter("NOT rare").mapInArrow(job, schema).union(seldom)
+
+
+def seat(pairs: DataFrame, sweeps: int = SWEEPS, frequent: int | None = None) -> Restaurants:
+    """Seat the pairs; the first sweep puts every dish at one table. With `frequent`, at most so many words are frequent; only
+    their `joined_pairs` are kept after the totals are taken, and the staged table `pairs` is deleted."""
     spark = pairs.sparkSession
     once = [F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") > 0).alias("t0")]
     contexts = stage(pairs.groupBy("u").agg(*once))
@@ -449,13 +506,17 @@ def seat(pairs: DataFrame, sweeps: int = SWEEPS) -> Restaurants:
         F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("n0") == 1), F.count_if(F.col("n0") == 2),
         F.coalesce(F.sum("n0"), F.lit(0))).first()
     all_ = Restaurants(contexts, words, None, [(float(w[4]), float(w[1]))], (discount_of(p[0], p[1]), discount_of(w[2], w[3])), w[0], w[1])
+    if frequent is not None:
+        all_.least = at_least(words, "c", frequent)
+        whole, pairs = pairs, stage(joined_pairs(pairs, words, all_.least))
+        discard(whole)
     d = all_.discounts
     seated = pairs.filter("c > 1")
     for sweep in range(1, sweeps):
         k = sweep - 1
-        of_context = all_.contexts.select("u", (F.lit(STRENGTH) + F.lit(d[0]) * F.col(f"t{k}")).alias("open"))
-        of_word = all_.words.select("w", all_.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias("p"))
-        weighed = seated.join(of_context, "u").join(of_word, "w").select(*seated.columns, (F.col("open") * F.col("p")).alias("weight"))
+        of_context = all_.contexts.select("u", "n", (F.lit(STRENGTH) + F.lit(d[0]) * F.col(f"t{k}")).alias("open"))
+        of_word = all_.words.select("w", F.col("c").alias("wc"), all_.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias("p"))
+        weighed = with_totals(seated, of_context, of_word, all_.least).select(*seated.columns, (F.col("open") * F.col("p")).alias("weight"))
         before, seated = seated, stage(_seat_pairs(weighed, sweep, d[0]))
 
         def totals(side: DataFrame, key: str, name: str, seated: DataFrame = seated, t: str = f"t{sweep}") -> DataFrame:
@@ -476,17 +537,42 @@ def seat(pairs: DataFrame, sweeps: int = SWEEPS) -> Restaurants:
     return all_
 
 
-def pair_probabilities(of: Restaurants) -> DataFrame:
-    """u, w, total, wc (training count of the word), lp (log10 probability of the word in the context) of every pair."""
+def _used(of: Restaurants) -> range:
+    """The sweeps averaged over."""
     last = len(of.parent) - 1
-    used = range(min(1, last), last + 1)
-    d = of.discounts[0]
-    contexts = of.contexts.select("u", "n", *[(F.lit(STRENGTH) + F.lit(d) * F.col(f"t{k}")).alias(f"o{k}") for k in used])
-    words = of.words.select("w", F.col("c").alias("wc"), *[of.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias(f"p{k}") for k in used])
+    return range(min(1, last), last + 1)
+
+
+def totals_used(of: Restaurants) -> tuple[DataFrame, DataFrame]:
+    """(u, n, o1, ...: the weight of what lies above the context), (w, wc, p1, ...: the word's probability there), by sweep."""
+    opens = [(F.lit(STRENGTH) + F.lit(of.discounts[0]) * F.col(f"t{k}")).alias(f"o{k}") for k in _used(of)]
+    above = [of.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias(f"p{k}") for k in _used(of)]
+    return of.contexts.select("u", "n", *opens), of.words.select("w", F.col("c").alias("wc"), *above)
+
+
+def pair_probabilities(of: Restaurants) -> DataFrame:
+    """u, w, c, total, n (customers of the context), wc (training count of the word), lp (log10 probability of the word in the
+    context) of every pair, and once0 and once1: what lp would be, were the pair met once, in a held-out or in a training text."""
+    used, d = _used(of), of.discounts[0]
+    rows = with_totals(of.pairs, *totals_used(of), of.least)
     tables_of = lambda k: F.col(f"t{k}") if k else F.least("c", F.lit(1))
-    p = sum((F.col("c") - F.lit(d) * tables_of(k) + F.col(f"o{k}") * F.col(f"p{k}") for k in used), F.lit(0.0))
-    lp = F.log10(p / (len(used) * (F.col("n") + F.lit(STRENGTH))))
-    return of.pairs.join(contexts, "u").join(words, "w").select("u", "w", "total", "wc", lp.alias("lp"))
+    above = sum((F.col(f"o{k}") * F.col(f"p{k}") for k in used), F.lit(0.0))
+    own = sum((F.col("c") - F.lit(d) * tables_of(k) for k in used), F.lit(0.0))
+    log = lambda p: F.log10(p / (len(used) * (F.col("n") + F.lit(STRENGTH))))
+    return rows.select(
+        "u", "w", "c", "total", "n", "wc", log(own + above).alias("lp"), log(above).alias("once0"),
+        log(F.lit(len(used) * (1 - d)) + above).alias("once1"))
+
+
+def corrections(pairs: DataFrame, least: int) -> DataFrame:
+    """Of `pair_probabilities`, what texts need beside the totals of frequent words: _pair, wc (training count of the word, if
+    rare), more0 and more1 (what a token of the pair adds to the score of a held-out and of a training text; NULL if there is no
+    such text)."""
+    rare = (F.col("n") < least) | (F.col("wc") < least)
+    more = lambda once: F.when(rare, F.col("lp")).otherwise(F.col("lp") - F.col(once))
+    return pairs.select(
+        F.xxhash64("u", "w").alias("_pair"), F.when(F.col("wc") < least, F.col("wc")).alias("wc"),
+        F.when(F.col("total") > F.col("c"), more("once0")).alias("more0"), F.when(F.col("c") > 0, more("once1")).alias("more1"))
 
 
 def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> DataFrame:
@@ -494,22 +580,29 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
     spark = docs.sparkSession
     counts = stage(pair_counts(docs))
     release(spark)
-    seated = seat(counts, sweeps)
-    n, v = seated.n, seated.v
-    pairs = stage(pair_probabilities(seated))
-    discard(counts, seated.contexts, seated.words)
+    seated = seat(counts, sweeps, frequent)
+    n, v, least, discount = seated.n, seated.v, seated.least, seated.discounts[0]
+    pairs = pair_probabilities(seated)
+    often_met = at_least(seated.pairs, "total", frequent)
+    often = pairs.filter(F.col("total") >= often_met).select("u", "w", "wc", "lp").toArrow()
+    known = known_totals(*totals_used(seated), least)
+    rare = stage(corrections(pairs.filter(F.col("total") < often_met), least))
+    discard(seated.pairs, seated.contexts, seated.words)
     release(spark)
 
-    least = at_least(pairs, "total", frequent)
-    often = pairs.filter(F.col("total") >= least).select("u", "w", "wc", "lp").toPandas()
-    keys = pair_keys(*(often[k].to_numpy(np.int64).view(np.uint64) for k in ("u", "w")))
-    order = np.argsort(keys)
     base_of = lambda c: (c + 1) / float(n + v + 1)
-    wc = often["wc"].to_numpy(np.int64)[order]
-    lookup = spark.sparkContext.broadcast((keys[order], np.log10(base_of(wc)), often["lp"].to_numpy(float)[order], wc > 0))
+    keys = pair_keys(*(often[k].to_numpy().view(np.uint64) for k in ("u", "w")))
+    order = np.argsort(keys)
+    wc = often["wc"].to_numpy()[order]
+    used = _used(seated)
+    lookup = spark.sparkContext.broadcast((
+        (keys[order], np.log10(base_of(wc)), often["lp"].to_numpy()[order], wc > 0),
+        (known["u"], np.log10(base_of(known["wc"])), known["wc"] > 0, len(used) * (known["n"] + STRENGTH),
+         [known[f"o{k}"] for k in used], [known[f"p{k}"] for k in used])))
+    new = len(used) * (1 - discount)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base, lp, known = lookup.value
+        (keys, base, lp, seen), (word_ids, word_base, word_seen, customers, opens, parents) = lookup.value
         row = TaskContext.get().partitionId() << 40
         for batch, first, h, counts in ((b, *t) for b in batches for t in word_hashes(b.column("text"))):
             ids, lengths = with_ends(h, counts), counts + 1
@@ -517,32 +610,43 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
             owner = np.repeat(np.arange(docs_here), lengths)
             at, there = find(keys, pair_keys(before, ids))
             own, at, far = owner[there], at[there], ~there
-            add = lambda x: np.bincount(own, weights=x[at], minlength=docs_here) if len(x) else np.zeros(docs_here)
-            rows = row + np.arange(docs_here)
+            add = lambda x, own, at: np.bincount(own, weights=x[at], minlength=docs_here) if len(x) else np.zeros(docs_here)
+            n_known, base_score, score = add(seen, own, at), add(base, own, at), add(lp, own, at)
+
+            trains = ~batch.column("held").slice(first, docs_here).to_numpy(zero_copy_only=False)
+            far_owner, u, w = owner[far], before[far], ids[far]
+            at, there = find(word_ids, w)
+            n_known += add(word_seen, far_owner[there], at[there])
+            base_score += add(word_base, far_owner[there], at[there])
+            context, there_too = find(word_ids, u)
+            both = there & there_too
+            own, at, context = far_owner[both], at[both], context[both]
+            p = new * trains[own] + sum(o[context] * q[at] for o, q in zip(opens, parents, strict=True))
+            score += np.bincount(own, weights=np.log10(p / customers[context]) if len(own) else None, minlength=docs_here)
+
+            # The lowest bit tells what the text is.
+            rows = 2 * (row + np.arange(docs_here)) + trains
             row += docs_here
-            none = int(far.sum())
             join = lambda a, b: pa.array(np.concatenate([a, b]))
-            only = lambda a, kind: pa.concat_arrays([pa.array(a).cast(kind), pa.nulls(none, kind)])
-            doc_id = batch.column("doc_id").slice(first, docs_here).cast(pa.int64())
+            whole = pa.StructArray.from_arrays(
+                [batch.column("doc_id").slice(first, docs_here).cast(pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(n_known.astype(np.int64)),
+                 pa.array(base_score), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
             yield pa.RecordBatch.from_arrays([
-                join(rows, rows[owner[far]]), join(rows, before[far].view(np.int64)), join(rows, ids[far].view(np.int64)),
-                pa.concat_arrays([doc_id, pa.nulls(none, pa.int64())]), only(lengths, pa.int64()), only(add(known), pa.int64()),
-                only(add(base), pa.float64()), only(add(lp), pa.float64()),
-            ], names=["row", "u", "w", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+                join(rows, rows[far_owner]), join(rows, u.view(np.int64)), join(rows, w.view(np.int64)),
+                pa.concat_arrays([whole, pa.nulls(len(far_owner), whole.type)])], names=["row", "u", "w", "whole"])
 
-    parts = docs.select("doc_id", "text").mapInArrow(
-        job, "row long, u long, w long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    parts = docs.select("doc_id", "text", held_out().alias("held")).mapInArrow(
+        job, "row long, u long, w long, whole struct<doc_id: long, n_tokens: long, n_known: long, base_score: double, score: double>")
     # The row of a whole document carries its own number as pair, so that these spread evenly; it takes nothing from the join.
-    pair = F.xxhash64("u", "w")
-    parts = parts.withColumn("_pair", pair).drop("u", "w")
-    rare = pairs.filter(F.col("total") < least).select(pair.alias("_pair"), "wc", "lp")
+    parts = parts.select("row", F.xxhash64("u", "w").alias("_pair"), "whole")
     joined = parts.join(rare, "_pair", "left")
-    whole = F.col("n_tokens").isNotNull()
+    whole = F.col("whole").isNotNull()
+    more = F.when(F.col("row").bitwiseAND(F.lit(1)) == 1, F.col("more1")).otherwise(F.col("more0"))
     summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(whole, F.col("n_known")).otherwise((F.col("wc") > 0).cast("long"))).alias("n_known"),
-        F.sum(F.when(whole, F.col("base_score")).otherwise(F.log10(base_of(F.col("wc"))))).alias("base_score"),
-        F.sum(F.when(whole, F.col("score")).otherwise(F.col("lp"))).alias("score"),
+        F.max("whole.doc_id").alias("doc_id"), F.sum("whole.n_tokens").alias("n_tokens"),
+        F.sum(F.when(whole, F.col("whole.n_known")).otherwise((F.col("wc") > 0).cast("long"))).alias("n_known"),
+        F.sum(F.when(whole, F.col("whole.base_score")).otherwise(F.log10(base_of(F.col("wc"))))).alias("base_score"),
+        F.sum(F.when(whole, F.col("whole.score")).otherwise(more)).alias("score"),
     )
     return summed.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
