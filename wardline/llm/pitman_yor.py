@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +45,7 @@ SWEEPS = 3
 STRENGTH = 1.0
 EXACT_SEATS = 64
 TOKENS = 3_000_000
-PAIR_TOKENS = 1_000_000
+PAIR_TOKENS = 2_000_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -400,7 +400,9 @@ def pair_counts(docs: DataFrame) -> DataFrame:
             yield flush()
 
     rows = docs.select("text", held_out().alias("held")).mapInArrow(job, "u long, w long, c long, total long")
-    return rows.groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
+    # A task's pairs are nearly all distinct by now: they are dealt out as they are, finely, so that no task sums up many at once.
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "u", "w").groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("total").alias("total"))
 
 
 class Restaurants:
@@ -448,8 +450,9 @@ def _seat_words(rows: DataFrame, sweep: int, weight: float, discount: float) ->
 
 
 def known_totals(contexts: DataFrame, words: DataFrame, least: int) -> dict[str, np.ndarray]:
-    """Columns of `contexts` (u, n, ...) and `words` (w, wc, ...) by name, for the frequent words only; u is sorted."""
-    often = contexts.filter(F.col("n") >= least).join(words.filter(F.col("wc") >= least), F.col("u") == F.col("w")).drop("w").toArrow()
+    """Columns of `contexts` (u, n, ...) and `words` (w, wc, ...) by name, for the frequent words only; u is sorted. A word's n as a
+    context is its training count, so wc is left out."""
+    often = contexts.filter(F.col("n") >= least).join(words.filter(F.col("wc") >= least), F.col("u") == F.col("w")).drop("w", "wc").toArrow()
     columns = {k: often[k].to_numpy() for k in often.column_names}
     columns["u"] = columns["u"].view(np.uint64)
     order = np.argsort(columns["u"])
@@ -471,12 +474,11 @@ def joined_pairs(pairs: DataFrame, words: DataFrame, least: int) -> DataFrame:
     return pairs.mapInArrow(job, "u long, w long, c long, total long, rare boolean")
 
 
-def with_totals(rows: DataFrame, contexts: DataFrame, words: DataFrame, least: int | None) -> DataFrame:
-    """`rows` with the columns of `contexts` (u, n, ...) and `words` (w, wc, ...). If `joined_pairs` made the rows, those of two
-    frequent words are looked up in the task."""
-    if least is None:
+def with_totals(rows: DataFrame, contexts: DataFrame, words: DataFrame, known: Broadcast | None = None) -> DataFrame:
+    """`rows` with the columns of `contexts` (u, n, ...) and `words` (w, wc, ...). With the totals of frequent words in `known`, rows
+    of two such words (`joined_pairs` says which) look them up in the task."""
+    if known is None:
         return rows.join(contexts, "u").join(words, "w")
-    lookup = rows.sparkSession.sparkContext.broadcast(known_totals(contexts, words, least))
     sides = [("u", [f for f in contexts.schema.fields if f.name != "u"]), ("w", [f for f in words.schema.fields if f.name != "w"])]
     names = [*rows.columns, *[f.name for _, fields in sides for f in fields]]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*rows.schema.fields, *[f for _, fields in sides for f in fields]])
@@ -485,8 +487,8 @@ def with_totals(rows: DataFrame, contexts: DataFrame, words: DataFrame, least: i
         for batch in batches:
             found = [*batch.columns]
             for key, fields in sides:
-                at, _ = find(lookup.value["u"], batch.column(key).to_numpy().view(np.uint64))
-                found += [pa.array(lookup.value[f.name][at]) for f in fields]
+                at, _ = find(known.value["u"], batch.column(key).to_numpy().view(np.uint64))
+                found += [pa.array(known.value[f.name if f.name in known.value else "n"][at]) for f in fields]
             yield pa.RecordBatch.from_arrays(found, names=names)
 
     seldom = rows.filter("rare").join(contexts, "u").join(words, "w").select(*names)
@@ -516,7 +518,7 @@ def seat(pairs: DataFrame, sweeps: int = SWEEPS, frequent: int | None = None) ->
         k = sweep - 1
         of_context = all_.contexts.select("u", "n", (F.lit(STRENGTH) + F.lit(d[0]) * F.col(f"t{k}")).alias("open"))
         of_word = all_.words.select("w", F.col("c").alias("wc"), all_.parent_probability(k, F.col(f"n{k}"), F.col(f"s{k}")).alias("p"))
-        weighed = with_totals(seated, of_context, of_word, all_.least).select(*seated.columns, (F.col("open") * F.col("p")).alias("weight"))
+        weighed = with_totals(seated, of_context, of_word).select(*seated.columns, (F.col("open") * F.col("p")).alias("weight"))
         before, seated = seated, stage(_seat_pairs(weighed, sweep, d[0]))
 
         def totals(side: DataFrame, key: str, name: str, seated: DataFrame = seated, t: str = f"t{sweep}") -> DataFrame:
@@ -550,11 +552,11 @@ def totals_used(of: Restaurants) -> tuple[DataFrame, DataFrame]:
     return of.contexts.select("u", "n", *opens), of.words.select("w", F.col("c").alias("wc"), *above)
 
 
-def pair_probabilities(of: Restaurants) -> DataFrame:
+def pair_probabilities(of: Restaurants, known: Broadcast | None = None) -> DataFrame:
     """u, w, c, total, n (customers of the context), wc (training count of the word), lp (log10 probability of the word in the
     context) of every pair, and once0 and once1: what lp would be, were the pair met once, in a held-out or in a training text."""
     used, d = _used(of), of.discounts[0]
-    rows = with_totals(of.pairs, *totals_used(of), of.least)
+    rows = with_totals(of.pairs, *totals_used(of), known)
     tables_of = lambda k: F.col(f"t{k}") if k else F.least("c", F.lit(1))
     above = sum((F.col(f"o{k}") * F.col(f"p{k}") for k in used), F.lit(0.0))
     own = sum((F.col("c") - F.lit(d) * tables_of(k) for k in used), F.lit(0.0))
@@ -582,10 +584,10 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
     release(spark)
     seated = seat(counts, sweeps, frequent)
     n, v, least, discount = seated.n, seated.v, seated.least, seated.discounts[0]
-    pairs = pair_probabilities(seated)
+    known = spark.sparkContext.broadcast(known_totals(*totals_used(seated), least))
+    pairs = pair_probabilities(seated, known)
     often_met = at_least(seated.pairs, "total", frequent)
     often = pairs.filter(F.col("total") >= often_met).select("u", "w", "wc", "lp").toArrow()
-    known = known_totals(*totals_used(seated), least)
     rare = stage(corrections(pairs.filter(F.col("total") < often_met), least))
     discard(seated.pairs, seated.contexts, seated.words)
     release(spark)
@@ -595,14 +597,14 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
     order = np.argsort(keys)
     wc = often["wc"].to_numpy()[order]
     used = _used(seated)
-    lookup = spark.sparkContext.broadcast((
-        (keys[order], np.log10(base_of(wc)), often["lp"].to_numpy()[order], wc > 0),
-        (known["u"], np.log10(base_of(known["wc"])), known["wc"] > 0, len(used) * (known["n"] + STRENGTH),
-         [known[f"o{k}"] for k in used], [known[f"p{k}"] for k in used])))
+    lookup = spark.sparkContext.broadcast((keys[order], np.log10(base_of(wc)), often["lp"].to_numpy()[order], wc > 0))
     new = len(used) * (1 - discount)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (keys, base, lp, seen), (word_ids, word_base, word_seen, customers, opens, parents) = lookup.value
+        keys, base, lp, seen = lookup.value
+        word_ids, customers = known.value["u"], known.value["n"]
+        opens, parents = ([known.value[f"{x}{k}"] for k in used] for x in "op")
+        word_base, word_seen = np.log10(base_of(customers)), customers > 0
         row = TaskContext.get().partitionId() << 40
         for batch, first, h, counts in ((b, *t) for b in batches for t in word_hashes(b.column("text"))):
             ids, lengths = with_ends(h, counts), counts + 1
@@ -622,7 +624,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS, frequent: int = FREQUENT) -> Da
             both = there & there_too
             own, at, context = far_owner[both], at[both], context[both]
             p = new * trains[own] + sum(o[context] * q[at] for o, q in zip(opens, parents, strict=True))
-            score += np.bincount(own, weights=np.log10(p / customers[context]) if len(own) else None, minlength=docs_here)
+            score += np.bincount(own, weights=np.log10(p / (len(used) * (customers[context] + STRENGTH))) if len(own) else None, minlength=docs_here)
 
             # The lowest bit tells what the text is.
             rows = 2 * (row + np.arange(docs_here)) + trains
