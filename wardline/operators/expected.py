@@ -1,13 +1,16 @@
 """A second derivation of what a credential should see, in SQL, sharing no code with `auth` or `guard`.
 
 Rules are tested one by one at the given time and regions are met by membership, so a fault in the interval or
-cell reasoning of the main path cannot hide here.
+cell reasoning of the main path cannot hide here. The join that hands rows to credentials is the one of `plans/tiles.py`,
+which tests hold against the plain join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from wardline.plans.tiles import handed_out
+
 _SCOPE = """
 WITH hop AS (
   SELECT d.delegation_id, d.grant_id, d.delegator, d.delegatee, d.depth, d.parent_delegation, d.region_scope,
@@ -42,9 +45,12 @@ SELECT *, concat_ws('/', subject, grant_id, coalesce(delegation_id, 'direct')) A
 FROM (SELECT * FROM direct UNION ALL SELECT * FROM delegated)
 """
 
-_ROWS = """
-SELECT a.auth_id, s.shipment_id, a.allow_cost, a.allow_contact
-FROM {shipments} s JOIN (SELECT *, explode(array_distinct(regions)) AS reg FROM {scopes}) a
+# A rule reads four attributes of a row, so it is tested once for every combination of them that occurs.
+_KINDS = "SELECT DISTINCT owner_org, region, classification, partner_org FROM {shipments}"
+
+_ADMITTED = """
+SELECT a.auth_id, s.owner_org, s.region, s.classification, s.partner_org, a.allow_cost, a.allow_contact
+FROM {kinds} s JOIN (SELECT *, explode(array_distinct(regions)) AS reg FROM {scopes}) a
   ON s.owner_org = a.provider_org AND s.region = a.reg
 WHERE decode(s.classification, 'public', 1, 'internal', 2, 'restricted', 3)
    <= decode(a.max_classification, 'public', 1, 'internal', 2, 'restricted', 3)
@@ -60,4 +66,7 @@ def expected_scopes(credentials: DataFrame, grants: DataFrame, delegations: Data
 
 
 def expected_rows(shipments: DataFrame, scopes: DataFrame) -> DataFrame:
-    return shipments.sparkSession.sql(_ROWS, shipments=shipments, scopes=scopes)
+    spark, read = shipments.sparkSession, ["owner_org", "region", "classification", "partner_org"]
+    admitted = spark.sql(_ADMITTED, kinds=spark.sql(_KINDS, shipments=shipments), scopes=scopes)
+    met = handed_out(shipments.select("shipment_id", *read), admitted, read, "auth_id", "shipment_id", null_safe=["partner_org"])
+    return met.select("auth_id", "shipment_id", "allow_cost", "allow_contact")
