@@ -12,8 +12,8 @@ from wardline.plans import tiles
 from wardline.plans.placement import lookup_join
 
 HANDED_OUT = [
-    "row_policy", "join_shipment_auth", "guarded_scan", "late_mask_scan", "select_columns", "caller_params",
-    "expected_access", "agg_visible_values", "join_forbidden", "in_boundary", "agg_string", "set_missing_extra",
+    "row_policy", "join_shipment_auth", "guarded_scan", "late_mask_scan", "select_columns", "caller_params", "expected_access",
+    "agg_visible_values", "join_forbidden", "in_boundary", "agg_string", "set_missing_extra", "audit_rows",
 ]
 PLAN, KIRA, MINA = ("bo-plan", "g-trade", "d-plan"), ("bo-kira", "g-trade", None), ("cb-mina", "g-cobalt", None)
 
