@@ -72,3 +72,24 @@ def test_stored_answer_is_short(spark, world, tmp_path):
     guard.visible(mixed, who).select("auth_id", "shipment_id").write.parquet(out)
     size = sum(f.stat().st_size for f in (tmp_path / "answer").glob("*.parquet"))
     assert spark.read.parquet(out).count() == 4_000_000 and size < 4_000_000 * 0.3
+
+
+# --- limits and aggregates of all credentials -------------------------------
+@pytest.mark.parametrize("n", [1, 7, 30])
+def test_first_rows_lie_with_the_first_credentials(world, scopes, n):
+    from wardline.operators import caller
+
+    twice = scopes.unionByName(scopes.filter("subject = 'bo-kira'"))
+    some = guard.first_credentials(world["shipment"], twice, n)
+    asked = lambda who: caller.limit_caller(caller.sort_caller(
+        guard.guarded(world["shipment"], who), [("auth_id", "asc"), ("unit_cost_usd", "desc")]), n).select("auth_id", "shipment_id").collect()
+    assert asked(some) == asked(twice) != []
+    assert n > 1 or some.select("auth_id").distinct().count() == 1
+
+
+def test_only_the_first_credentials_meet_the_rows(spark, monkeypatch):
+    real, met = guard.visible, []
+    monkeypatch.setattr(guard, "visible", lambda rows, who: met.append(who) or real(rows, who))
+    assert catalog.QUERIES["limit_all"](spark, "/root/testdata/sf0.001").count() <= 100
+    assert [who.select("auth_id").distinct().count() <= 100 for who in met] == [True]
+    assert "n_rows" in _plan(met[0])
