@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import auths, creds, frame
 from wardline import catalog
-from wardline.operators import guard
+from wardline.operators import guard, query
 from wardline.plans import tiles
 from wardline.plans.placement import lookup_join
 
@@ -93,3 +93,16 @@ def test_only_the_first_credentials_meet_the_rows(spark, monkeypatch):
     assert catalog.QUERIES["limit_all"](spark, "/root/testdata/sf0.001").count() <= 100
     assert [who.select("auth_id").distinct().count() <= 100 for who in met] == [True]
     assert "n_rows" in _plan(met[0])
+
+
+def test_credentials_of_equal_scope_are_aggregated_once(spark, world, scopes, monkeypatch):
+    named = scopes.withColumn("auth_id", F.explode(F.array(*[F.concat("auth_id", F.lit(f"#{i}")) for i in range(4)])))
+    twice = named.unionByName(named.filter("auth_id like 'bo-kira%#1'"))  # resolved twice: its rows count twice, as in the guarded relation
+    real, met = guard.visible, []
+    monkeypatch.setattr(guard, "visible", lambda rows, who: met.append(who) or real(rows, who))
+    asked, where = "count(*) AS n, sum(units % 7) AS odd, count(DISTINCT carrier) AS carriers", "100 / (units + 1) < 5"
+    got = query.aggregate(world["shipment"], twice, asked, where)
+    plain = query.aggregate(world["shipment"], twice, f"{asked}, max(auth_id) AS me", where)
+    assert _bag(got) == _bag(plain, got.columns) != []
+    assert {r.me for r in plain.filter("n > 0").collect()} == {r.auth_id for r in plain.filter("n > 0").collect()}
+    assert met[0].count() == 5 < met[1].count() == 13  # three scopes once, and the one that counts twice
